@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from linkweave.runtime import pick, settle, ship
 
 #: Classes besides the end and the rest, dimensions, noise samples to a batch and their weight, tokens to a batch.
-CLASSES, DIMENSIONS, NOISE, RATIO, TOKENS = 2046, 24, 64, 16, 8192
-RATE = 0.15
+CLASSES, DIMENSIONS, NOISE, RATIO, TOKENS = 2046, 24, 128, 16, 2048
+RATE = 0.07
 #: Words whose counts are broadcast, their longest size; documents that warm up the model; models averaged at once.
 LOOKUP, WORD_BYTES, WARM_DOCS, FAN = 200_000, 64, 2000, 32
 #: Distinct words that a counting task holds before it hands them on.
