@@ -218,12 +218,27 @@ def _average(models: DataFrame) -> bytes | None:
     return None if row is None else bytes(row[0])
 
 
+def _frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent words, LOOKUP at most, by falling count: all those from a count on, found from a histogram."""
+    steps = counts.groupBy(F.floor(F.log2("c") * 32).alias("step")).count().orderBy(F.desc("step")).collect()  # bounded: 32 for each doubling
+    room, least = LOOKUP, None
+    for row in steps:
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    if least is None:
+        return [], np.empty(0, np.int64)
+    top = counts.filter(F.floor(F.log2("c") * 32) >= least).toPandas()
+    order = sorted(zip(-top["c"].to_numpy(np.int64), map(bytes, top["word"]), strict=True))
+    return [w for _, w in order], np.array([-c for c, _ in order], np.int64)
+
+
 def fit(rows: DataFrame, counts: DataFrame):
     """From (doc_id, text) and (word, c): totals, the broadcast lookup and the trained model."""
     spark = rows.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    short = counts.filter(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("c"), "word").limit(LOOKUP).toPandas()
-    words, c = [bytes(x) for x in short["word"]], short["c"].to_numpy(np.int64)
+    words, c = _frequent(counts.filter(F.octet_length("word") <= WORD_BYTES))
     table = Lookup(words, c, CLASSES)
     unigram = np.zeros(CLASSES + 2)
     np.add.at(unigram, table.classes, c)
@@ -231,9 +246,12 @@ def fit(rows: DataFrame, counts: DataFrame):
     rest_n, rest_v = float(unigram[REST]), v - int((table.classes != REST).sum())
     unigram = np.maximum(unigram, 0.1)
     lookup = spark.sparkContext.broadcast(table)
-    sample = rows.orderBy(F.xxhash64("doc_id", "text")).limit(WARM_DOCS)
+    ends = int(c[words.index(END)]) if END in words else 0
+    # Rows are drawn by their place, so that copies of one text are drawn apart.
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(max(1, ends // WARM_DOCS))) == 0
+    sample = rows.withColumn("drawn", drawn).filter("drawn").drop("drawn")
     flat = None
-    for part, seed in ((sample.coalesce(1), 1), (rows, 2)):
+    for part, seed in ((sample.repartition(1), 1), (rows, 2)):
         begin = spark.sparkContext.broadcast((unigram, flat))
         learnt = _average(_train(part, lookup, begin, seed))
         flat = flat if learnt is None else np.frombuffer(learnt, np.float32)
