@@ -40,19 +40,20 @@ def expected_f(pairs: DataFrame, floor: float = 0.6, empty_bias: float = 1.0) ->
     return chosen.select(*pairs.columns)
 
 
-def _binomial(p: list[float]) -> np.ndarray:
-    """The distribution of a number of successes."""
-    out = np.ones(1)
+def _binomials(p: list[float]) -> list[np.ndarray]:
+    """The distribution of the number of successes among the first k, for each k from 0."""
+    out = [np.ones(1)]
     for x in p:
-        out = np.convolve(out, [1 - x, x])
+        out.append(np.append(out[-1] * (1 - x), 0.0) + np.append(0.0, out[-1] * x))
     return out
 
 
 def exact_prefix(p: list[float], empty_bias: float = 1.0) -> int:
     """How many of the probabilities, falling, to take for the best exact expected F0.5."""
     best, size = math.prod(1 - x for x in p) * empty_bias, 0
+    hits, misses = _binomials(p), _binomials(p[::-1])[::-1]
     for k in range(1, len(p) + 1):
-        hit, miss = _binomial(p[:k]), _binomial(p[k:])
+        hit, miss = hits[k], misses[k]
         a, b = np.arange(1, k + 1)[:, None], np.arange(len(miss))[None, :]
         value = float((hit[1:, None] * miss[None, :] * 1.25 * a / (1.25 * a + 0.25 * b + (k - a))).sum())
         if value > best + 1e-12:
@@ -65,11 +66,15 @@ def exact_expected_f(pairs: DataFrame, least: float = 0.02, most: int = 24, empt
     order = Window.partitionBy("s1").orderBy(F.desc("p"), "src", "tgt")
     top = pairs.filter(F.col("p") >= least).withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= most)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k")
-        return pdf.head(exact_prefix(pdf["p"].tolist(), empty_bias)).drop(columns="_k")
+    @F.pandas_udf("int")
+    def prefix(p: pd.Series) -> pd.Series:
+        return p.map(lambda x: exact_prefix(list(x), empty_bias))
 
-    return top.groupBy("s1").applyInPandas(choose, pairs.schema)
+    # At most ``most`` pairs meet in a row, so one Arrow batch serves many entities.
+    falling = F.array_sort(F.collect_list(F.struct("_k", *[c for c in pairs.columns if c != "s1"])))
+    lists = top.groupBy("s1").agg(falling.alias("x")).withColumn("n", prefix(F.transform("x", lambda r: r["p"])))
+    chosen = lists.select("s1", F.explode(F.slice("x", F.lit(1), F.col("n"))).alias("x"))
+    return chosen.select(*[F.col("s1") if c == "s1" else F.col(f"x.{c}") for c in pairs.columns])
 
 
 def same_address_boost(pairs: DataFrame, lift: float = 0.5, alike: float = 80.0) -> DataFrame:

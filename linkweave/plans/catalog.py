@@ -1,8 +1,702 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, with their SQL for DuckDB.
+
+Roles: documents of ``src0`` are the first source and others the targets, their language is the group; scored pairs are
+lineitems with a score made of their keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkweave.functions import similarity as sim
+from linkweave.functions import text as tx
+from linkweave.operators import adapt, blocking, context, decide, dense, evaluate, learn, sparse, validate
+from linkweave.sources import tables as src
+from linkweave.streaming.incremental import unscored
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark, sf_dir, table):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _r(c, name=None):
+    out = F.round(c, 6)
+    return out.alias(name) if name else out
+
+
+# ---- text ----------------------------------------------------------------------------------------------------------
+
+#: What base() does to Latin text, in SQL.
+def _base_sql(c: str) -> str:
+    c = f"translate(coalesce({c}, ''), '°ºª', '   ')"
+    for a, b in (("№", " no "), ("ß", "ss"), ("æ", "ae"), ("Æ", "ae"), ("œ", "oe"), ("Œ", "oe"), ("ø", "o"), ("Ø", "o"), ("ł", "l"), ("Ł", "l"), ("đ", "d"), ("Đ", "d")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"trim(regexp_replace(replace(replace(lower(strip_accents({c})), '&', ' and '), '''', ''), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_TOK = "list_filter(string_split({}, ' '), lambda t: t <> '')"
+_DOC_TOK = _TOK.format(_base_sql("text"))
+
+
+@query(f"SELECT doc_id, {_base_sql('text')} AS base FROM documents")
+def normalize_base(spark, sf_dir):
+    """whole texts as lower-case ASCII words."""
+    return _read(spark, sf_dir, "documents").select("doc_id", tx.base(F.col("text")).alias("base"))
+
+
+_MERGED_SQL = """list_reduce(list_transform(
+    list_zip({t}, range(len({t}))), lambda x: {{'s': x[1], 'one': regexp_full_match(x[1], '[a-z]')}}),
+    lambda a, b: {{'s': a.s || CASE WHEN a.one AND b.one THEN '' ELSE ' ' END || b.s, 'one': b.one}}).s"""
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, """ + _TOK.format(_base_sql("text")) + """ AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(t) = 0 THEN '' ELSE """ + _MERGED_SQL.format(t="t") + """ END AS merged FROM t""")
+def merge_initials(spark, sf_dir):
+    """runs of single letters become a word."""
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", tx.merge_initials(tx.base(F.col("text"))).alias("merged"))
+
+
+@query("""SELECT page_id, regexp_extract(lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)), '^\\s*(?:https?://)?(?:www\\.)?([a-z0-9][a-z0-9-]*)\\.(?:com|net|org|in|co|fr|biz|info|us|io)(?:\\.[a-z][a-z])?\\s*$', 1) AS stem FROM pages""")
+def domain_stem(spark, sf_dir):
+    """F8: names that are a domain."""
+    host = F.lower(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1))
+    return _read(spark, sf_dir, "pages").select("page_id", tx.domain_stem(host).alias("stem"))
+
+
+@query("""
+WITH t AS (SELECT page_id, """ + _TOK.format("trim(regexp_replace(regexp_replace(" + _base_sql("url") + ", '([0-9])([a-z])', '\\1 \\2', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g'))") + """ AS t FROM pages),
+n AS (SELECT page_id, list_filter(t, lambda x: regexp_full_match(x, '[0-9]+')) AS n FROM t)
+SELECT page_id, array_to_string(n, ' ') AS nums, coalesce(list_filter(n, lambda x: length(x) >= 5)[-1], '') AS zip FROM n""")
+def numbers_and_zip(spark, sf_dir):
+    """numbers in order and the last of five digits or more."""
+    parted = F.regexp_replace(tx.base(F.col("url")), r"(?<=[0-9])(?=[a-z])|(?<=[a-z])(?=[0-9])", " ")
+    n = tx.numbers(tx.tokens(parted))
+    return _read(spark, sf_dir, "pages").select("page_id", F.array_join(n, " ").alias("nums"), tx.zip_of(n).alias("zip"))
+
+
+def _name_tokens(c):
+    return tx.name_tokens(F.col(c))
+
+
+@query()
+def name_fields(spark, sf_dir):
+    """A business name's canonical words, core, legal forms, alternative name."""
+    names = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("raw")).unionByName(
+        _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("raw"))
+    )
+    return names.select("id", "raw", tx.name_fields(F.col("raw")).alias("f")).select("id", "raw", "f.*")
+
+
+@query()
+def address_fields(spark, sf_dir):
+    """An address's canonical words, numbers, post code; French conventions beside them."""
+    rows = _read(spark, sf_dir, "pages").select("page_id", tx.address_fields(F.col("url")).alias("f"), tx.french_address(tx.address_tokens(F.col("url"))).alias("fr"))
+    return rows.select("page_id", "f.*", F.array_join("fr", " ").alias("addr_fr"))
+
+
+_SKEL = "x"
+for _a, _b in (("ph", "f"), ("[ckq]", "k"), ("w", "v"), ("z", "j"), ("x", "ks")):
+    _SKEL = f"regexp_replace({_SKEL}, '{_a}', '{_b}', 'g')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, i, t[i] AS raw FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, {_DOC_TOK} AS t FROM documents))),
+u AS (SELECT DISTINCT raw, CASE WHEN regexp_matches(raw, '[0-9]') AND regexp_matches(raw, '[a-z]') THEN translate(raw, '0134578', 'oleastb') ELSE raw END AS x FROM w),
+s AS (SELECT raw, {_SKEL} AS y FROM u),
+v AS (SELECT raw, CASE WHEN length(y) > 1 THEN substr(y, 1, 1) || regexp_replace(substr(y, 2), '[aeiouyh]', '', 'g') ELSE y END AS y FROM s),
+q AS (SELECT raw, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN raw ELSE
+        array_to_string(list_transform(range(1, length(y) + 1), lambda i: CASE WHEN i > 1 AND substr(y, i, 1) = substr(y, i - 1, 1) THEN '' ELSE substr(y, i, 1) END), '') END AS z FROM v)
+SELECT doc_id, string_agg(z, ' ' ORDER BY i) AS skeleton FROM w JOIN q USING (raw) GROUP BY doc_id""")
+def skeleton(spark, sf_dir):
+    """consonant skeletons of whole texts."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.skeleton(tx.tokens(tx.base(F.col("text")))), " ").alias("skeleton"))
+    return docs.filter("skeleton <> ''")
+
+
+@query("""SELECT c_custkey, list_filter([regexp_replace(c_name, '[^0-9]', '', 'g')], lambda x: true)[1] AS digits,
+  CASE WHEN ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0') = '' THEN '0' ELSE ltrim(regexp_replace(c_name, '[^0-9]', '', 'g'), '0') END AS plain FROM customer""")
+def strip_zeros(spark, sf_dir):
+    """numbers without leading zeros."""
+    digits = F.regexp_replace("c_name", "[^0-9]", "")
+    return _read(spark, sf_dir, "customer").select("c_custkey", digits.alias("digits"), tx.strip_zeros(digits).alias("plain"))
+
+
+@query("""SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(p) - 1), lambda i: substr(p, i, 3))) AS g
+  FROM (SELECT ' ' || """ + _base_sql("p_name") + """ || ' ' AS p FROM part)) GROUP BY g""")
+def char_grams(spark, sf_dir):
+    """padded 3-grams of names, counted."""
+    return _read(spark, sf_dir, "part").select(F.explode(tx.char_grams(tx.base(F.col("p_name")))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query()
+def typed_tokens(spark, sf_dir):
+    """typed blocking tokens, with how often each occurs."""
+    rows = _read(spark, sf_dir, "pages").select(_name_tokens("url").alias("n"), tx.address_tokens(F.col("url")).alias("a"))
+    tokens = rows.select(F.explode(tx.typed_tokens(F.col("n"), tx.skeleton(F.col("n")), F.col("a"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+
+# ---- sparse retrieval ------------------------------------------------------------------------------------------------
+
+_MAX_SHARE = 0.2
+
+
+def _docs(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), "source", tx.tokens(tx.base(F.col("text"))).alias("tokens"))
+
+
+def _sides(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs.filter("source = 'src0'"), docs.filter("source <> 'src0'")
+
+
+_D = f"d AS (SELECT doc_id AS id, lang AS grp, source, {_DOC_TOK} AS tokens FROM documents)"
+
+
+def _df_sql(where: str, name: str) -> str:
+    return f"""{name} AS (SELECT grp, token, df, n, df / n AS share FROM
+      (SELECT grp, token, count(*) AS df FROM (SELECT grp, unnest(list_distinct(tokens)) AS token FROM d WHERE {where}) GROUP BY 1, 2)
+      JOIN (SELECT grp, count(*) AS n FROM d WHERE {where} GROUP BY 1) USING (grp))"""
+
+
+@query(f"WITH {_D}, {_df_sql('true', 'f')} SELECT grp, token, df, n, round(share, 6) AS share FROM f")
+def doc_frequency(spark, sf_dir):
+    """A1, A2: document frequency by group."""
+    return sparse.document_frequency(_docs(spark, sf_dir)).withColumn("share", _r("share"))
+
+
+def _filler_sql(tail: str) -> str:
+    latin = "FROM (SELECT grp, source, list_filter(tokens, lambda t: NOT regexp_full_match(t, '[0-9]+')) AS tokens FROM d0)"
+    return f"""WITH {_D.replace('d AS', 'd0 AS', 1)}, d AS (SELECT * {latin}),
+    {_df_sql("source = 'src0'", 'a')}, {_df_sql("source <> 'src0'", 'b')},
+    m AS (SELECT grp, token, coalesce(a.share, 1e-6) AS f1, coalesce(b.share, 1e-6) AS f2 FROM a FULL JOIN b USING (grp, token)) {tail}"""
+
+
+@query(_filler_sql("SELECT grp, token, round(f1, 6) AS f1, round(f2, 6) AS f2 FROM m WHERE f2 >= 0.001 AND f2 >= 1.8 * f1"))
+def fillers(spark, sf_dir):
+    """Tokens much more frequent among targets."""
+    found = sparse.fillers(*_sides(spark, sf_dir))
+    return found.select("grp", "token", _r("f1", "f1"), _r("f2", "f2"))
+
+
+@query(_filler_sql(""", s AS (SELECT grp, median(f2 / f1) AS shrink FROM m WHERE f1 > 0.005 GROUP BY grp)
+SELECT grp, token, round(f1, 6) AS f1, round(f2, 6) AS f2, round(coalesce(shrink, 1.0), 6) AS shrink FROM m LEFT JOIN s USING (grp)
+WHERE f2 - coalesce(shrink, 1.0) * f1 >= 0.004 AND f2 >= 1.15 * coalesce(shrink, 1.0) * f1"""))
+def excess_fillers(spark, sf_dir):
+    """The same against the median ratio of common tokens."""
+    found = sparse.excess_fillers(*_sides(spark, sf_dir))
+    return found.select("grp", "token", _r("f1", "f1"), _r("f2", "f2"), _r("shrink", "shrink"))
+
+
+_WEIGHTS = f"""{_D}, {_df_sql("source <> 'src0'", 'f')},
+i AS (SELECT grp, token, ln((1 + n) / (1 + df)) + 1 AS idf FROM f WHERE df <= greatest(1, n * {_MAX_SHARE})),
+tf AS (SELECT source, grp, id, token, count(*) AS tf FROM (SELECT source, grp, id, unnest(tokens) AS token FROM d) GROUP BY ALL),
+w0 AS (SELECT source, grp, id, token, (1 + ln(tf)) * idf AS w FROM tf JOIN i USING (grp, token)),
+w AS (SELECT source, grp, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM w0)"""
+
+
+def _weights(spark, sf_dir):
+    first, targets = _sides(spark, sf_dir)
+    of = sparse.idf(targets, _MAX_SHARE)
+    return sparse.weights(first, of), sparse.weights(targets, of)
+
+
+@query(f"WITH {_WEIGHTS} SELECT grp, id, token, round(w, 6) AS w FROM w WHERE source = 'src0'")
+def tfidf_weights(spark, sf_dir):
+    """Normalised weights of the first source, by the targets' frequencies."""
+    return _weights(spark, sf_dir)[0].withColumn("w", _r("w"))
+
+
+_SCORED = f"""{_WEIGHTS}, s AS (SELECT a.grp, a.id AS q, b.id AS d, sum(a.w * b.w) AS score FROM w a JOIN w b ON a.grp = b.grp AND a.token = b.token
+  WHERE a.source = 'src0' AND b.source <> 'src0' GROUP BY ALL),
+r AS (SELECT grp, q, d, score, row_number() OVER (PARTITION BY grp, q ORDER BY round(score, 9) DESC, d) - 1 AS rank FROM s WHERE score > 1e-6)"""
+
+
+@query(f"WITH {_SCORED} SELECT grp, q, d, round(score, 6) AS score, rank FROM r WHERE rank < 25")
+def sparse_topk(spark, sf_dir):
+    """The 25 best targets by shared tokens."""
+    top = sparse.top_k(sparse.similarity(*_weights(spark, sf_dir)), 25)
+    return top.select("grp", "q", "d", _r("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+_PAIRS_SQL = "p AS (SELECT a.grp, a.id AS q, b.id AS d FROM d a JOIN d b ON a.grp = b.grp AND b.id = a.id + 1 WHERE a.source = 'src0' AND b.source <> 'src0')"
+
+
+@query(f"WITH {_WEIGHTS}, {_PAIRS_SQL}, s AS (SELECT a.grp, a.id AS q, b.id AS d, sum(a.w * b.w) AS score FROM w a JOIN w b ON a.grp = b.grp AND a.token = b.token AND b.id = a.id + 1 GROUP BY ALL) SELECT grp, q, d, round(coalesce(score, 0), 6) AS score FROM p LEFT JOIN s USING (grp, q, d)")
+def pair_cosine(spark, sf_dir):
+    """Scores of given pairs."""
+    first, targets = _sides(spark, sf_dir)
+    pairs = first.select("grp", F.col("id").alias("q"), (F.col("id") + 1).alias("d")).join(targets.select("grp", F.col("id").alias("d")), ["grp", "d"], "left_semi")
+    return sparse.pair_cosine(pairs, *_weights(spark, sf_dir)).select("grp", "q", "d", _r("score", "score"))
+
+
+# ---- dense retrieval -------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark, sf_dir):
+    v = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("grp"), F.col("embedding").alias("vec"))
+    return v.filter("id % 50 = 0"), v
+
+
+def _turned(top):
+    return top.select("grp", F.col("q").alias("d"), F.col("d").alias("q"), "score", "rank")
+
+
+_DENSE = """s AS (SELECT a.label AS grp, a.vec_id AS q, b.vec_id AS d,
+  list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY grp, q ORDER BY round(score, 9) DESC, d) - 1 AS rank FROM s)"""
+
+
+@query(f"WITH {_DENSE} SELECT grp, q, d, round(score, 6) AS score, rank FROM r WHERE rank < 10")
+def dense_topk(spark, sf_dir):
+    """Exact nearest neighbours in a group, of every vector whose id is divisible by 50."""
+    top = dense.top_k(*_vectors(spark, sf_dir), 10)
+    return top.select("grp", "q", "d", _r("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+_REVERSE = """v AS (SELECT b.label AS grp, b.vec_id AS d, a.vec_id AS q, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
+  FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 50 = 0),
+rv AS (SELECT *, row_number() OVER (PARTITION BY grp, d ORDER BY round(score, 9) DESC, q) - 1 AS rank FROM v)"""
+
+
+@query(f"WITH {_REVERSE} SELECT grp, d, q, round(score, 6) AS score, rank FROM rv WHERE rank < 5")
+def reverse_topk(spark, sf_dir):
+    """R1 reversed: each target's nearest queries."""
+    q, d = _vectors(spark, sf_dir)
+    top = _turned(dense.top_k(d, q, 5))
+    return top.select("grp", "d", "q", _r("score", "score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT a.vec_id AS q, b.vec_id AS d, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def pair_dot(spark, sf_dir):
+    """Scores of given vector pairs."""
+    _, v = _vectors(spark, sf_dir)
+    return dense.pair_dot(v.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")), v, v).withColumn("score", _r("score"))
+
+
+@query(f"""WITH {_DENSE}, {_REVERSE},
+u AS (SELECT q, d FROM r WHERE rank < 10 UNION SELECT q, d FROM rv WHERE rank < 2),
+j AS (SELECT u.q, u.d, f.rank AS dense_r, b.rank AS rdense_r, s.score FROM u
+  LEFT JOIN (SELECT * FROM r WHERE rank < 10) f ON f.q = u.q AND f.d = u.d
+  LEFT JOIN (SELECT * FROM rv WHERE rank < 2) b ON b.q = u.q AND b.d = u.d JOIN s ON s.q = u.q AND s.d = u.d),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) - 1 AS dense_r2 FROM j)
+SELECT q, d, dense_r, rdense_r, round(score, 6) AS score, dense_r2 FROM k WHERE dense_r2 < 5 OR rdense_r = 0""")
+def hybrid_candidates(spark, sf_dir):
+    """Forward and reverse paths, exact scores, ranks and the rule."""
+    q, d = _vectors(spark, sf_dir)
+    forward, back = dense.top_k(q, d, 10), _turned(dense.top_k(d, q, 2))
+    pairs = dense.pair_dot(blocking.union_paths({"dense": forward, "rdense": back}), q, d)
+    ranked = blocking.rank_within(pairs, ["q"], "score", "dense_r2").withColumn("sparse_r2", F.lit(None).cast("long"))
+    return blocking.apply_rule(ranked, 5, 0).select("q", "d", "dense_r", "rdense_r", _r("score", "score"), "dense_r2")
+
+
+@query(f"""WITH {_SCORED}, t AS (SELECT q, d FROM r WHERE rank IN (0, 3)), n AS (SELECT count(*) AS total FROM t),
+c AS (SELECT cap, r.q, r.d, r.rank, t.q IS NOT NULL AS is_true FROM r LEFT JOIN t ON t.q = r.q AND t.d = r.d, (VALUES (1), (5), (25)) v(cap) WHERE r.rank < 25)
+SELECT cap, round(sum(CASE WHEN rank < cap AND is_true THEN 1 ELSE 0 END) / any_value(total), 6) AS recall,
+  round(sum(CASE WHEN rank < cap THEN 1 ELSE 0 END) / count(DISTINCT q), 6) AS per_query FROM c, n GROUP BY cap""")
+def blocking_recall_grid(spark, sf_dir):
+    """Recall and size for a grid of caps."""
+    top = sparse.top_k(sparse.similarity(*_weights(spark, sf_dir)), 25)
+    return blocking.recall_grid(top, top.filter("rank IN (0, 3)"), "rank", [1, 5, 25]).withColumns({c: _r(c) for c in ("recall", "per_query")})
+
+
+# ---- competition and decisions ---------------------------------------------------------------------------------------
+
+_P = """pairs AS (SELECT DISTINCT l_orderkey AS s1, 2 + l_linenumber % 2 AS src, l_partkey AS tgt,
+  ((l_orderkey * 7919 + l_partkey * 104729) % 1000) / 1000 AS p FROM lineitem)"""
+
+
+def _pairs(spark, sf_dir):
+    p = ((F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729) % 1000) / 1000
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1"), (2 + F.col("l_linenumber") % 2).alias("src"), F.col("l_partkey").alias("tgt"), p.alias("p")).distinct()
+
+
+@query(f"""WITH {_P} SELECT s1, src, tgt, p,
+ max(p) OVER a AS c_s1max, round(p - max(p) OVER a, 6) AS c_s1gap, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, tgt) AS c_s1rank, count(*) OVER a AS c_s1n,
+ max(p) OVER b AS c_tmax, round(p - max(p) OVER b, 6) AS c_tgap, row_number() OVER (PARTITION BY src, tgt ORDER BY p DESC, s1) AS c_trank, count(*) OVER b AS c_tn
+ FROM pairs WINDOW a AS (PARTITION BY s1, src), b AS (PARTITION BY src, tgt)""")
+def group_context(spark, sf_dir):
+    """Eight columns of competition."""
+    return context.group_context(_pairs(spark, sf_dir), "p", "c").withColumns({c: _r(c) for c in ("c_s1gap", "c_tgap")})
+
+
+@query(f"""WITH {_P}, r AS (SELECT *, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, tgt) AS ra, row_number() OVER (PARTITION BY src, tgt ORDER BY p DESC, s1) AS rb FROM pairs)
+SELECT s1, src, tgt, p, round(sum(p) OVER (PARTITION BY s1), 6) AS s1sum_all,
+ sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY s1)::BIGINT AS s1cnt50_all,
+ coalesce(CASE WHEN src = 2 THEN max(CASE WHEN src = 3 THEN p END) OVER (PARTITION BY s1) ELSE max(CASE WHEN src = 2 THEN p END) OVER (PARTITION BY s1) END, -1.0) AS other_max,
+ sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY s1, src)::BIGINT AS s1cnt50,
+ round(p - CASE WHEN ra = 1 THEN coalesce(max(CASE WHEN ra = 2 THEN p END) OVER (PARTITION BY s1, src), 0) ELSE max(p) OVER (PARTITION BY s1, src) END, 6) AS s1margin,
+ round(p - CASE WHEN rb = 1 THEN coalesce(max(CASE WHEN rb = 2 THEN p END) OVER (PARTITION BY src, tgt), 0) ELSE max(p) OVER (PARTITION BY src, tgt) END, 6) AS tmargin FROM r""")
+def competition_context(spark, sf_dir):
+    """Sums, counts, margins, the best elsewhere."""
+    return context.competition_context(_pairs(spark, sf_dir)).withColumns({c: _r(c) for c in ("s1sum_all", "s1margin", "tmargin")})
+
+
+@query("SELECT p_partkey, p_name, p_brand, count(*) OVER (PARTITION BY p_name, p_brand) AS freq FROM part")
+def name_frequency(spark, sf_dir):
+    """How often a name occurs in its group."""
+    return context.name_frequency(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), ["p_name", "p_brand"])
+
+
+@query(f"""WITH {_P}, n AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY src, tgt) - 1 AS i, count(*) OVER (PARTITION BY s1) AS n FROM pairs)
+SELECT o_orderkey AS s1, o_custkey AS u, src, tgt, p, n FROM orders JOIN n ON s1 = o_orderkey AND o_custkey % n = i""")
+def pick_negative(spark, sf_dir):
+    """The (u mod n)-th pair."""
+    wanted = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_custkey").alias("u"))
+    return context.pick_negative(_pairs(spark, sf_dir), wanted)
+
+
+_EXCL = f"{_P}, ex AS (SELECT s1, src, tgt, p FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt ORDER BY p DESC, s1) AS n FROM pairs) WHERE n = 1)"
+
+
+@query(f"WITH {_EXCL} SELECT * FROM ex")
+def exclusive(spark, sf_dir):
+    """Each target to its best claimant."""
+    return decide.exclusive(_pairs(spark, sf_dir))
+
+
+@query(f"WITH {_EXCL} SELECT * FROM ex WHERE p >= 0.7")
+def threshold(spark, sf_dir):
+    """D3 after D1."""
+    return decide.threshold(decide.exclusive(_pairs(spark, sf_dir)), 0.7)
+
+
+_EF = f"""{_EXCL}, k0 AS (SELECT *, row_number() OVER w AS k, sum(p) OVER (w ROWS UNBOUNDED PRECEDING) AS cs, sum(p) OVER (PARTITION BY s1) AS tot, product(1 - p) OVER (PARTITION BY s1) AS none
+  FROM ex WHERE p >= 0.3 WINDOW w AS (PARTITION BY s1 ORDER BY p DESC, src, tgt)),
+k1 AS (SELECT *, round(1.25 * cs / (k + 0.25 * tot), 12) AS ef FROM k0),
+k2 AS (SELECT *, max(ef) OVER (PARTITION BY s1) AS best FROM k1),
+k3 AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY s1) AS kb FROM k2),
+ef AS (SELECT s1, src, tgt, p FROM k3 WHERE k <= kb AND p >= 0.6 AND best > none)"""
+
+
+@query(f"WITH {_EF} SELECT * FROM ef")
+def expected_f(spark, sf_dir):
+    """The prefix with the best expected F0.5."""
+    return decide.expected_f(decide.exclusive(_pairs(spark, sf_dir)))
+
+
+@query()
+def exact_expected_f(spark, sf_dir):
+    """The same by the Poisson-binomial distribution."""
+    return decide.exact_expected_f(_pairs(spark, sf_dir))
+
+
+@query(f"""WITH {_P} SELECT s1, src, tgt, CASE WHEN tgt % 2 = 0 AND 60 + s1 % 40 >= 80 THEN 0.5 + 0.5 * p ELSE p END AS p FROM pairs""")
+def same_address_boost(spark, sf_dir):
+    """A lift where addresses are equal and names alike."""
+    rows = _pairs(spark, sf_dir).withColumns({"same_addr": F.col("tgt") % 2 == 0, "name_sim": (60 + F.col("s1") % 40).cast("double")})
+    return decide.same_address_boost(rows).select("s1", "src", "tgt", "p")
+
+
+_TRUTH = "truth AS (SELECT s1, src, tgt FROM pairs WHERE (s1 + tgt) % 3 = 0)"
+_ENTITY = f"""{_TRUTH},
+e0 AS (SELECT s1, count(CASE WHEN a AND b THEN 1 END) AS tp, count(CASE WHEN a THEN 1 END) AS n_pred, count(CASE WHEN b THEN 1 END) AS n_true
+  FROM (SELECT s1, x.s1 IS NOT NULL AS a, t.s1 IS NOT NULL AS b FROM ef x FULL JOIN truth t USING (s1, src, tgt)) GROUP BY s1),
+e AS (SELECT s1, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) AS n_pred, coalesce(n_true, 0) AS n_true FROM (SELECT o_orderkey AS s1 FROM orders) LEFT JOIN e0 USING (s1)),
+f AS (SELECT *, CASE WHEN n_pred = 0 AND n_true = 0 THEN 1.0 WHEN tp = 0 THEN 0.0 ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n_true - tp) + n_pred - tp) END::DOUBLE AS f FROM e)"""
+
+
+def _truth(pairs):
+    return pairs.filter("(s1 + tgt) % 3 = 0")
+
+
+def _entities(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    universe = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"))
+    return evaluate.per_entity(universe, decide.expected_f(decide.exclusive(pairs)), _truth(pairs))
+
+
+@query(f"WITH {_EF}, {_ENTITY} SELECT s1, tp, n_pred, n_true, round(f, 6) AS f FROM f")
+def entity_f05(spark, sf_dir):
+    """F0.5 of each entity."""
+    return _entities(spark, sf_dir).withColumn("f", _r("f"))
+
+
+@query(f"WITH {_EF}, {_ENTITY} SELECT count(*) AS n, round(avg(f), 6) AS macro_f FROM f")
+def macro_f05(spark, sf_dir):
+    """The mean over the universe."""
+    return evaluate.macro(_entities(spark, sf_dir)).withColumn("macro_f", _r("macro_f"))
+
+
+@query(f"""WITH {_EXCL}, {_TRUTH}, g AS (SELECT t, s1, src, tgt FROM ex, (VALUES (0.4), (0.6), (0.8)) v(t) WHERE p >= t),
+c AS (SELECT t, s1, count(*) AS n_pred, count(CASE WHEN (s1 + tgt) % 3 = 0 THEN 1 END) AS tp FROM g GROUP BY 1, 2),
+n AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY 1),
+u AS (SELECT t, o_orderkey AS s1 FROM orders, (VALUES (0.4), (0.6), (0.8)) v(t)),
+f AS (SELECT t, CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 WHEN coalesce(tp, 0) = 0 THEN 0.0
+  ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n_true - tp) + n_pred - tp) END::DOUBLE AS f FROM u LEFT JOIN c USING (t, s1) LEFT JOIN n USING (s1))
+SELECT t::DOUBLE AS t, round(avg(f), 6) AS macro_f FROM f GROUP BY t""")
+def decision_grid(spark, sf_dir):
+    """Every threshold's score in one job."""
+    pairs, steps = _pairs(spark, sf_dir), [0.4, 0.6, 0.8]
+    grid = decide.threshold_grid(decide.exclusive(pairs), steps)
+    times = F.explode(F.array(*[F.lit(t) for t in steps])).alias("t")
+    universe = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"), times)
+    # (t, s1) stands for the entity, so that one evaluation serves all thresholds
+    both = lambda df: df.withColumn("s1", F.struct("t", "s1"))
+    met = evaluate.per_entity(both(universe), both(grid), both(_truth(pairs).select("s1", "src", "tgt", times)))
+    return met.groupBy(F.col("s1.t").alias("t")).agg(_r(F.avg("f"), "macro_f"))
+
+
+@query(f"""WITH {_EF}, {_TRUTH}, m AS (SELECT x.s1 IS NOT NULL AS a, t.s1 IS NOT NULL AS b, p.p >= 0.1 AS c FROM ef x FULL JOIN truth t USING (s1, src, tgt) JOIN pairs p USING (s1, src, tgt))
+SELECT count(CASE WHEN a AND b THEN 1 END) AS tp, count(CASE WHEN a AND NOT b THEN 1 END) AS fp, count(CASE WHEN b AND NOT a THEN 1 END) AS fn,
+ count(CASE WHEN b AND NOT a AND NOT c THEN 1 END) AS fn_blocking, count(CASE WHEN b AND NOT a AND c THEN 1 END) AS fn_model FROM m""")
+def error_breakdown(spark, sf_dir):
+    """Where links are lost."""
+    pairs = _pairs(spark, sf_dir)
+    return evaluate.error_breakdown(decide.expected_f(decide.exclusive(pairs)), _truth(pairs), pairs.filter("p >= 0.1"))
+
+
+@query(f"""WITH {_EF}, n AS (SELECT s1, count(*) AS n FROM ef GROUP BY 1)
+SELECT o_orderpriority AS country, count(*) AS n_s1, round(avg(CASE WHEN n > 0 THEN 1 ELSE 0 END), 6) AS matched_share, round(avg(coalesce(n, 0)), 6) AS per_s1
+FROM orders LEFT JOIN n ON s1 = o_orderkey GROUP BY 1""")
+def country_report(spark, sf_dir):
+    """Predictions by group."""
+    universe = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderpriority").alias("country"))
+    out = evaluate.report(universe, decide.expected_f(decide.exclusive(_pairs(spark, sf_dir))))
+    return out.withColumns({c: _r(c) for c in ("matched_share", "per_s1")})
+
+
+@query(f"""WITH {_P}, n AS (SELECT *, tgt % 4 = 0 AS near, sum(CASE WHEN tgt % 4 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY src, tgt) AS c FROM pairs)
+SELECT s1, src, tgt, CASE WHEN (near AND c = 1) OR p > 0.995 THEN 1 WHEN p < 0.005 AND NOT near THEN 0 ELSE -1 END AS y FROM n""")
+def pseudo_labels(spark, sf_dir):
+    """Sure and unlikely pairs."""
+    return adapt.pseudo_labels(_pairs(spark, sf_dir).withColumn("near", F.col("tgt") % 4 == 0)).select("s1", "src", "tgt", "y")
+
+
+_PACK = f"{_EF}, pk AS (SELECT s1, src, tgt, max(score) AS score FROM (SELECT s1, src, tgt, p AS score FROM pairs WHERE p >= 0.1 UNION ALL SELECT s1, src, tgt, 2.0 FROM ef) GROUP BY ALL)"
+
+
+def _package(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    return adapt.package(pairs, decide.expected_f(decide.exclusive(pairs)), 0.1)
+
+
+@query(f"WITH {_PACK} SELECT s1, src, tgt, score FROM pk")
+def package_candidates(spark, sf_dir):
+    """Likely candidates and all matches."""
+    return _package(spark, sf_dir)
+
+
+@query(f"WITH {_PACK} SELECT s1, string_agg(id, ',' ORDER BY score DESC, id) AS ids FROM (SELECT s1, score, 'S' || src || '-' || tgt AS id FROM pk) GROUP BY s1")
+def id_list(spark, sf_dir):
+    """Ids by falling score."""
+    return adapt.id_lists(_package(spark, sf_dir).withColumn("id", F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("tgt").cast("string"))))
+
+
+_LISTS = """lists AS (SELECT o_orderkey AS s1, string_agg('S' || (1 + l_linenumber % 3) || '-' || l_partkey % 100, ',' ORDER BY l_linenumber, l_partkey) AS ids
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1),
+x AS (SELECT s1, unnest(string_split(ids, ',')) AS id FROM lists)"""
+
+
+def _lists(spark, sf_dir):
+    ids = F.concat(F.lit("S"), (1 + F.col("l_linenumber") % 3).cast("string"), F.lit("-"), (F.col("l_partkey") % 100).cast("string"))
+    lines = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1"), F.struct("l_linenumber", "l_partkey", ids.alias("id")).alias("x"))
+    orders = _read(spark, sf_dir, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("s1"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]), ",")
+    return lines.join(orders, "s1").groupBy("s1").agg(joined.alias("ids"))
+
+
+@query(f"""WITH {_LISTS},
+u AS (SELECT DISTINCT l_orderkey AS s1 FROM lineitem)
+SELECT 'duplicate s1' AS rule, 0::BIGINT AS n, NULL::BIGINT AS sample
+UNION ALL SELECT 'duplicate id', count(*), min(s1) FROM (SELECT s1, id FROM x GROUP BY 1, 2 HAVING count(*) > 1)
+UNION ALL SELECT 'self match', count(*), min(s1) FROM x WHERE id LIKE 'S1-%'
+UNION ALL SELECT 'wrong prefix', count(*), min(s1) FROM x WHERE id NOT SIMILAR TO 'S[123]-.*'
+UNION ALL SELECT 'missing s1', count(*), min(s1) FROM u WHERE s1 NOT IN (SELECT s1 FROM lists)
+UNION ALL SELECT 'unexpected s1', count(*), min(s1) FROM lists WHERE s1 NOT IN (SELECT s1 FROM u)
+UNION ALL SELECT 'unknown id', count(*), min(s1) FROM x WHERE id NOT IN (SELECT 'S' || s || '-' || k FROM range(2, 4) a(s), range(0, 90) b(k))""")
+def validate_rules(spark, sf_dir):
+    """The output rules, a count and a sample of each."""
+    universe = _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("s1")).distinct()
+    known = spark.range(90).select(F.explode(F.array(F.lit("S2-"), F.lit("S3-"))).alias("s"), "id").select(F.concat("s", F.col("id").cast("string")).alias("id"))
+    return validate.validate(_lists(spark, sf_dir), universe, known)
+
+
+@query(f"""WITH {_LISTS}, c AS (SELECT s1, list_filter(string_split(ids, ','), lambda z: z LIKE 'S2-%') AS c, string_split(ids, ',') AS i FROM lists),
+o AS (SELECT s1, list_filter(i, lambda z: NOT list_contains(c, z)) AS m FROM c)
+SELECT s1, array_to_string(list_filter(m, lambda z, k: list_position(m, z) = k), ',') AS ids FROM o WHERE len(m) > 0""")
+def matches_outside_candidates(spark, sf_dir):
+    """V2: matches that the candidates lack."""
+    lists = _lists(spark, sf_dir)
+    return validate.outside_candidates(lists, lists.withColumn("ids", F.array_join(F.filter(F.split("ids", ","), lambda x: x.startswith("S2-")), ",")))
+
+
+@query(f"""WITH {_LISTS} SELECT x.s1, substr(id, 2, 1)::INTEGER AS src, id AS tgt FROM x
+WHERE id IN (SELECT 'S' || s || '-' || k FROM range(1, 4) a(s), range(0, 90) b(k))""")
+def explode_truth(spark, sf_dir):
+    """Id lists as edges of known entities."""
+    known = spark.range(90).select(F.explode(F.array(F.lit("S1-"), F.lit("S2-"), F.lit("S3-"))).alias("s"), "id").select(F.concat("s", F.col("id").cast("string")).alias("tgt"))
+    lists = _lists(spark, sf_dir)
+    return src.explode_truth(lists, lists, known)
+
+
+@query(f"WITH {_P} SELECT s1, src, tgt, p FROM pairs WHERE (s1, src, tgt) NOT IN (SELECT (s1, src, tgt) FROM pairs WHERE p < 0.5)")
+def incremental_pairs(spark, sf_dir):
+    """Pairs that aren't scored yet."""
+    pairs = _pairs(spark, sf_dir)
+    return unscored(pairs, pairs.filter("p < 0.5"))
+
+
+@query(f"""WITH {_P} SELECT (('0x' || substr(md5('42:' || s1), 1, 8))::UBIGINT % 10)::INTEGER AS fold, count(DISTINCT s1) AS n FROM pairs GROUP BY 1""")
+def folds(spark, sf_dir):
+    """M1: folds by key and seed."""
+    return _pairs(spark, sf_dir).groupBy(learn.fold_of(F.col("s1"), 10).alias("fold")).agg(F.countDistinct("s1").alias("n"))
+
+
+# ---- similarities ----------------------------------------------------------------------------------------------------
+
+_NAMES = """n AS (SELECT a.p_partkey AS id, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
+
+
+def _name_pairs(spark, sf_dir):
+    parts = _read(spark, sf_dir, "part")
+    return parts.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("a")).join(parts.select((F.col("p_partkey") - 1).alias("id"), F.col("p_name").alias("b")), "id")
+
+
+@query(f"WITH {_NAMES} SELECT id, levenshtein(a, b)::INTEGER AS lev, a = b AS exact FROM n")
+def levenshtein(spark, sf_dir):
+    """X6, X7."""
+    return _name_pairs(spark, sf_dir).select("id", F.levenshtein("a", "b").alias("lev"), (F.col("a") == F.col("b")).alias("exact"))
+
+
+@query(f"WITH {_NAMES} SELECT id, round(jaro_winkler_similarity(a, b), 6) AS jw FROM n")
+def jaro_winkler(spark, sf_dir):
+    """X5."""
+    return _name_pairs(spark, sf_dir).select("id", _r(sim.jaro_winkler_of("a", "b"), "jw"))
+
+
+@query(f"""WITH {_NAMES}, t AS (SELECT id, string_split(a, ' ') AS a, string_split(b, ' ') AS b FROM n)
+SELECT id, len(a)::INTEGER AS tok1, len(b)::INTEGER AS tok2, len(list_intersect(list_distinct(a), list_distinct(b)))::INTEGER AS common, (a[1] = b[1])::INTEGER AS first_eq FROM t""")
+def token_overlap(spark, sf_dir):
+    """X10."""
+    return _name_pairs(spark, sf_dir).select("id", sim.overlap(F.split("a", " "), F.split("b", " ")).alias("o")).select("id", "o.*")
+
+
+@query(f"""WITH {_NAMES}, t AS (SELECT id, list_distinct(string_split(a, ' ')) AS a, list_distinct(string_split(b, ' ')) AS b FROM n),
+h AS (SELECT id, a, b, list_filter(a, lambda t: len(list_filter(b, lambda u: t = u OR (length(t) >= 3 AND levenshtein(t, u) <= 1))) = 0) AS m1,
+  list_filter(b, lambda t: len(list_filter(a, lambda u: t = u OR (length(t) >= 3 AND levenshtein(t, u) <= 1))) = 0) AS m2 FROM t)
+SELECT id, len(m1)::INTEGER AS miss1, len(m2)::INTEGER AS miss2, len(list_intersect(a, b))::INTEGER AS common FROM h""")
+def extra_words(spark, sf_dir):
+    """X11."""
+    return _name_pairs(spark, sf_dir).select("id", sim.extra_words(F.split("a", " "), F.split("b", " ")).alias("o")).select("id", "o.*")
+
+
+@query()
+def string_ratios(spark, sf_dir):
+    """Ratios of names."""
+    rows = _name_pairs(spark, sf_dir)
+    a, b = F.col("a"), F.col("b")
+    solid = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    return rows.select("id", _r(sim.ratio_of(a, b), "ratio"), _r(sim.partial_ratio_of(a, b), "partial"), _r(sim.token_sort_ratio(a, b), "token_sort"), _r(sim.token_set_ratio(a, b), "token_set"), _r(sim.ratio_of(solid(a), solid(b)), "solid"))
+
+
+_FORMS = """f AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ltd' WHEN 2 THEN 'ltd pvt' ELSE 'inc' END AS a,
+  CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'ltd' ELSE 'inc' END AS b FROM supplier)"""
+
+
+@query(f"""WITH {_FORMS} SELECT id, (a <> '' AND b <> '')::INTEGER AS leg_both, CASE WHEN a <> '' AND b <> '' THEN (a = b)::INTEGER ELSE -1 END AS leg_eq,
+  (a <> '' AND b <> '' AND len(list_intersect(string_split(a, ' '), string_split(b, ' '))) = 0)::INTEGER AS leg_conflict FROM f""")
+def legal_compare(spark, sf_dir):
+    """X12."""
+    k = F.col("s_suppkey")
+    a = F.when(k % 4 == 0, "").when(k % 4 == 1, "ltd").when(k % 4 == 2, "ltd pvt").otherwise("inc")
+    b = F.when(k % 3 == 0, "").when(k % 3 == 1, "ltd").otherwise("inc")
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), sim.legal_compare(a, b).alias("o")).select("id", "o.*")
+
+
+_FIT = "(t = u OR starts_with(t, u) OR starts_with(u, t) OR ends_with(t, u) OR ends_with(u, t))"
+
+
+def _unfit_sql(x: str, y: str) -> str:
+    return f"len(list_filter({x}, lambda t: len(list_filter({y}, lambda u: {_FIT})) = 0))"
+
+
+def _undefined(cond: str, value: str) -> str:
+    return f"CASE WHEN {cond} THEN ({value})::DOUBLE ELSE -1.0 END"
+
+
+@query(f"""
+WITH n AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, [l_partkey::VARCHAR, '0' || (l_suppkey * 37)::VARCHAR] AS a0, [(l_partkey * 10 + 1)::VARCHAR, (l_suppkey * 37)::VARCHAR] AS b0,
+  CASE WHEN l_linenumber % 2 = 0 THEN '0' || (l_suppkey * 37)::VARCHAR ELSE '' END AS z1, (l_suppkey * 37)::VARCHAR AS z2 FROM lineitem),
+s AS (SELECT *, list_transform(a0, lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS a, list_transform(b0, lambda x: coalesce(nullif(ltrim(x, '0'), ''), '0')) AS b, CASE WHEN z1 = '' THEN '' ELSE coalesce(nullif(ltrim(z1, '0'), ''), '0') END AS y1, coalesce(nullif(ltrim(z2, '0'), ''), '0') AS y2 FROM n),
+h AS (SELECT *, list_distinct(a) AS sa, list_distinct(b) AS sb, list_filter(a, lambda x: x <> y1) AS ha, list_filter(b, lambda x: x <> y2) AS hb FROM s),
+i AS (SELECT *, len(list_intersect(sa, sb)) AS x, len(list_distinct(list_concat(sa, sb))) AS w, len(ha) > 0 AND len(hb) > 0 AS o, ha[1] AS h1, hb[1] AS h2,
+  list_filter(ha, lambda x: length(x) >= 3) AS big FROM h)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(x / w, 6) AS num_jac, x::DOUBLE AS num_inter, len(sa)::DOUBLE AS num_n1, len(sb)::DOUBLE AS num_n2,
+ {_undefined('o', 'h1 = h2')} AS hno_eq, {_undefined('o', 'starts_with(h1, h2) OR starts_with(h2, h1)')} AS hno_prefix,
+ {_undefined('o', 'ends_with(h1, h2) OR ends_with(h2, h1)')} AS hno_suffix, {_undefined('o', 'list_contains(sb, h1) OR list_contains(sa, h2)')} AS hno_in,
+ {_undefined('o', 'levenshtein(h1, h2)')} AS hno_lev, {_undefined('o', 'len(list_intersect(list_distinct(ha), list_distinct(hb))) > 0')} AS hno_any,
+ {_undefined('o', 'len(ha) > ' + _unfit_sql('ha', 'hb'))} AS hno_anyfix, {_undefined('o AND len(big) > 0', _unfit_sql('big', 'hb'))} AS hno_big_miss,
+ {_undefined('len(sb) > 0', _unfit_sql('sa', 'sb'))} AS num_miss1, {_undefined('len(sa) > 0', _unfit_sql('sb', 'sa'))} AS num_miss2,
+ {_undefined("z1 <> '' AND z2 <> ''", 'z1 = z2')} AS zip_eq, {_undefined("z1 <> '' AND z2 <> ''", 'substr(z1, 1, 3) = substr(z2, 1, 3)')} AS zip_p3 FROM i""")
+def number_features(spark, sf_dir):
+    """Sixteen number features."""
+    s = lambda c: c.cast("string")
+    part, code = F.col("l_partkey"), F.col("l_suppkey") * 37
+    zero = F.concat(F.lit("0"), s(code))
+    z1 = F.when(F.col("l_linenumber") % 2 == 0, zero).otherwise("")
+    features = sim.number_features(F.array(s(part), zero), F.array(s(part * 10 + 1), s(code)), z1, s(code))
+    return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", features.alias("f")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "f.*").withColumn("num_jac", _r("num_jac"))
+
+
+@query(f"""WITH {_NAMES}, t AS (SELECT id, list_distinct(string_split(a, ' ')) AS a, list_distinct(string_split(b, ' ')) AS b FROM n),
+f AS (SELECT token, count(*) / (SELECT count(*) FROM part) AS share FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part) GROUP BY 1),
+m AS (SELECT id, 'm' AS side, unnest(list_filter(a, lambda x: NOT list_contains(b, x))) AS token FROM t UNION ALL SELECT id, 'e', unnest(list_filter(b, lambda x: NOT list_contains(a, x))) FROM t),
+g AS (SELECT id, count(CASE WHEN side = 'm' THEN 1 END) AS mn, max(CASE WHEN side = 'm' THEN share END) AS mx, min(CASE WHEN side = 'm' THEN share END) AS mi,
+  count(CASE WHEN side = 'e' THEN 1 END) AS en, max(CASE WHEN side = 'e' THEN share END) AS ex, min(CASE WHEN side = 'e' THEN share END) AS ei FROM m JOIN f USING (token) GROUP BY id)
+SELECT id, coalesce(mn, 0) AS miss_n, round(coalesce(mx, -1), 6) AS miss_max, round(coalesce(mi, -1), 6) AS miss_min, coalesce(en, 0) AS extra_n, round(coalesce(ex, -1), 6) AS extra_max, round(coalesce(ei, -1), 6) AS extra_min
+FROM t LEFT JOIN g USING (id)""")
+def word_differences(spark, sf_dir):
+    """Shares of words that a side lacks."""
+    parts = _read(spark, sf_dir, "part").select(F.lit(0).alias("grp"), F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("tokens"))
+    shares = sparse.document_frequency(parts).select("token", "share")
+    pairs = _name_pairs(spark, sf_dir).select("id", F.split("a", " ").alias("a"), F.split("b", " ").alias("b"))
+    out = adapt.word_differences(pairs, shares)
+    return out.withColumns({c: _r(c) for c in ("miss_max", "miss_min", "extra_max", "extra_min")})
+
+
+# ---- learning and the whole --------------------------------------------------------------------------------------------
+
+
+@query()
+def cross_validated_scores(spark, sf_dir):
+    """M2-M6: boosted trees and a forest over folds, predictions by unseen folds, their blend."""
+    labels = _read(spark, sf_dir, "labels")
+    docs = _read(spark, sf_dir, "documents").join(labels, "doc_id")
+    n = F.size(tx.tokens(F.col("text")))
+    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>!", ""))
+    rows = docs.select("doc_id", F.col("quality").alias("y"), learn.fold_of(F.col("doc_id"), 2).alias("fold"), n.cast("double").alias("words"), (symbols / (n + 1)).alias("symbols"), (F.length("text") / (n + 1)).alias("chars"))
+    names = ["words", "symbols", "chars"]
+    for learner in ("gbt", "forest"):
+        rows = learn.predict(rows, names, learn.fit_folds(rows, names, 2, learner), f"p_{learner}")
+    return rows.withColumn("p", learn.blend("p_gbt", "p_forest")).select("doc_id", "y", "fold", _r("p_gbt", "p_gbt"), _r("p_forest", "p_forest"), _r("p", "p"))
+
+
+@query(f"""WITH {_SCORED}, x AS (SELECT q, d, score FROM (SELECT *, row_number() OVER (PARTITION BY d ORDER BY round(score, 9) DESC, q) AS n FROM r WHERE rank < 25) WHERE n = 1 AND score >= 0.5)
+SELECT s.id AS s1, coalesce(string_agg(d::VARCHAR, ',' ORDER BY round(score, 9) DESC, d), '') AS ids FROM d s LEFT JOIN x ON x.q = s.id WHERE s.source = 'src0' GROUP BY s.id""")
+def link_documents(spark, sf_dir):
+    """K1: block, score, assign exclusively, decide and list: copies of the first source's documents elsewhere."""
+    top = sparse.top_k(sparse.similarity(*_weights(spark, sf_dir)), 25)
+    pairs = top.select(F.col("q").alias("s1"), F.lit(2).alias("src"), F.col("d").alias("tgt"), F.round("score", 9).alias("p"))
+    chosen = decide.threshold(decide.exclusive(pairs), 0.5)
+    lists = adapt.id_lists(chosen.withColumn("id", F.col("tgt")), "id", "p").select("s1", "ids")
+    first = _read(spark, sf_dir, "documents").filter("source = 'src0'").select(F.col("doc_id").alias("s1"))
+    return first.join(lists, "s1", "left").fillna("", ["ids"])
