@@ -91,18 +91,25 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """From (row, text): (row, kind, start, n, h1, h2, line); kind 0 a line, 1 a passage; start, n in words."""
+    """From (doc_id, text): (row, kind, start, n, h1, h2, line, doc_id); kind 0 a line, 1 a passage, 2 the document.
+
+    Rows are numbered here, in one pass with what's found in them; start and n are in words.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
+            who: list[int] = []
 
             def put(*values):
+                who.append(k)
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
 
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
+            for k, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
                 data, at, every = text.as_py(), 0, []
+                put(row, 2, 0, 0, 0, 0, None)
                 for line in data.translate(_LOWER).split(b"\n") if data else ():
                     words = line.split()
                     every += words
@@ -119,9 +126,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                     for p, a, b in zip(places.tolist(), first[places].view(np.int64).tolist(), second.tolist(), strict=True):
                         put(row, 1, p, PASSAGE, a, b, None)
             kinds = (pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["row", "kind", "start", "n", "h1", "h2", "line"])
+            arrays = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("doc_id").take(pa.array(who, pa.int64()))], names=["row", "kind", "start", "n", "h1", "h2", "line", "doc_id"])
 
-    return docs.mapInArrow(run, "row long, kind byte, start int, n int, h1 long, h2 long, line binary")
+    numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    return numbered.mapInArrow(run, f"row long, kind byte, start int, n int, h1 long, h2 long, line binary, doc_id {kind}")
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -183,8 +192,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """(rows, repeats): rows (row, doc_id); repeats (row, start, n, class, first): paragraphs of classes of several."""
     spark = docs.sparkSession
     ship(spark)
-    rows = pick(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
-    found = settle(paragraphs(rows.select("row", "text")), "paragraphs")
+    every = settle(paragraphs(pick(docs, doc_id=id_col, text=text_col)), "paragraphs")
+    rows, found = every.filter("kind = 2"), every.filter("kind < 2")
     place = F.struct("row", "start")
     equal = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("line").alias("line"))
     # A line's id: its first hash. Two lines with one id would have to be equal in 64 bits of a 128-bit hash.
