@@ -19,10 +19,7 @@ their names.
 
 from __future__ import annotations
 
-from itertools import islice
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -71,18 +68,22 @@ def selected(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(np.arange(len(view)) + width - 1 - view.argmin(axis=1))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """The distinct 64-bit hashes of five-word shingles (of the whole, if shorter)."""
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
-    found = zip(*[islice(words, k, None) for k in range(SHINGLE)])
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x)) for x in found), np.uint64, len(words) - SHINGLE + 1))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """The distinct 64-bit hashes of five-word shingles (of the whole, if shorter), from the words' hashes."""
+    return np.unique(windows(hashes, min(SHINGLE, len(hashes)), _BASES[0]))
 
 
 def bands(sh: np.ndarray) -> list[int]:
     """A signed 64-bit key for each band of the signature."""
-    low = np.array([(sh * m + o).min() for m, o in zip(_MULTIPLIER, _OFFSET, strict=True)], np.uint64)
-    return [xxhash.xxh64_intdigest(low[k : k + ROWS].tobytes(), seed=k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)]
+    low = (sh[None, :] * _MULTIPLIER[:, None] + _OFFSET[:, None]).min(axis=1).reshape(BANDS, ROWS)
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        key = _mix(key * _BASES[1] + low[:, k])
+    return key.view(np.int64).tolist()
 
 
 def jaccard(a: frozenset, b: frozenset) -> float:
@@ -91,69 +92,63 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): (row, kind, start, n, h1, h2, line, doc_id); kind 0 a line, 1 a passage, 2 the document.
+    """From (doc_id, text): (row, kind, start, n, h1, h2, line, bands, doc_id); kind 0 a line, 1 a passage, 2 the document.
 
-    Rows are numbered here, in one pass with what's found in them; start and n are in words.
+    Rows are numbered here, in one pass with what's found in them; start and n are in words. Lines have their words and
+    their band keys.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            who: list[int] = []
+            parts: list[list] = [[] for _ in range(6)]  # which of the batch, kind, start, n, h1, h2
+            lines, keys = [], []
 
-            def put(*values):
-                who.append(k)
-                for column, value in zip(out, values, strict=True):
+            def put(k, what, start, n, h1, h2, line=None, key=None):
+                count = len(start)
+                for column, value in zip(parts, (np.full(count, k), np.full(count, what), start, n, h1, h2), strict=True):
                     column.append(value)
+                lines.extend(line or [None] * count)
+                keys.extend(key or [None] * count)
 
-            for k, (row, text) in enumerate(zip(batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), strict=True)):
-                data, at, every = text.as_py(), 0, []
-                put(row, 2, 0, 0, 0, 0, None)
+            zero = np.zeros(1, np.int64)
+            for k, text in enumerate(batch.column("text").cast(pa.binary())):
+                data, at, every, own = text.as_py(), 0, [], []
+                put(k, 2, zero, zero, zero, zero)
                 for line in data.translate(_LOWER).split(b"\n") if data else ():
                     words = line.split()
                     every += words
                     if len(words) >= LINE:
-                        plain = b" ".join(words)
-                        d = xxhash.xxh3_128_intdigest(plain)
-                        put(row, 0, at, len(words), (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), plain)
+                        own.append((at, len(words), b" ".join(words)))
                     at += len(words)
-                hashes = np.fromiter(map(xxhash.xxh64_intdigest, every), np.uint64, len(every))
+                hashes = word_hashes(every)
+                if own:
+                    starts, sizes, plain = map(list, zip(*own, strict=True))
+                    d = np.array([(x >> 64, x & (1 << 64) - 1) for x in map(xxhash.xxh3_128_intdigest, plain)], np.uint64).view(np.int64)
+                    put(k, 0, np.array(starts), np.array(sizes), d[:, 0], d[:, 1], plain, [bands(shingles(hashes[a : a + n])) for a, n, _ in own])
                 first = windows(hashes, PASSAGE, _BASES[0])
                 places = selected(first, PASSAGE)
                 if len(places):
                     second = windows(hashes, PASSAGE, _BASES[1])[places].view(np.int64)
-                    for p, a, b in zip(places.tolist(), first[places].view(np.int64).tolist(), second.tolist(), strict=True):
-                        put(row, 1, p, PASSAGE, a, b, None)
-            kinds = (pa.int64(), pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            arrays = [pa.array(v, t) for v, t in zip(out, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, batch.column("doc_id").take(pa.array(who, pa.int64()))], names=["row", "kind", "start", "n", "h1", "h2", "line", "doc_id"])
+                    put(k, 1, places, np.full(len(places), PASSAGE), first[places].view(np.int64), second)
+            if not parts[0]:
+                continue
+            which, *columns = map(np.concatenate, parts)
+            of = pa.array(which.astype(np.int64))
+            kinds = (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            arrays = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row").take(of), *arrays, pa.array(lines, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column("doc_id").take(of)],
+                names=["row", "kind", "start", "n", "h1", "h2", "line", "bands", "doc_id"],
+            )
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    return numbered.mapInArrow(run, f"row long, kind byte, start int, n int, h1 long, h2 long, line binary, doc_id {kind}")
-
-
-def _banded(lines: DataFrame) -> DataFrame:
-    """From distinct lines (id, line): (band, key, id, line)."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for k, line in enumerate(batch.column("line").to_pylist()):
-                for band, key in enumerate(bands(shingles(line.split()))):
-                    for column, value in zip(out, (band, key, k), strict=True):
-                        column.append(value)
-            index = pa.array(out[2], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int8()), pa.array(out[1], pa.int64()), batch.column("id").take(index)], names=["band", "key", "id"])
+    return numbered.mapInArrow(run, f"row long, kind byte, start int, n int, h1 long, h2 long, line binary, bands array<bigint>, doc_id {kind}")
 
-    return lines.select("id", "line").mapInArrow(run, "band byte, key long, id long")
 
-
-def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
+def verify(ids: list[int], lines: list[bytes], sides: list[int]) -> list[tuple[int, int]]:
     """Links of a bucket's lines, or of two blocks of it (then only across): each line against components, until one links."""
-    pdf = pdf.drop_duplicates("id")
-    ids, sets = pdf["id"].tolist(), [frozenset(shingles(bytes(x).split()).tolist()) for x in pdf["line"]]
-    sides = pdf["side"].tolist()
+    sets = [frozenset(shingles(word_hashes(x.split())).tolist()) for x in lines]
     groups: list[list[int]] = []
     out = []
     for k in range(len(ids)):
@@ -170,44 +165,72 @@ def _verify(pdf: pd.DataFrame) -> pd.DataFrame:
         for g in reversed(linked):
             merged = groups.pop(g) + merged
         groups.append(merged)
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return out
+
+
+def _verify_sorted(batches):
+    """``verify`` on each bucket of batches sorted by bucket; one call serves many buckets."""
+
+    def links(rows: list) -> pa.RecordBatch:
+        found = verify(*map(list, zip(*rows, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    held, bucket = [], None
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("band", "key", "x", "y", "id", "line", "side")]
+        for band, key, x, y, *row in zip(*columns, strict=True):
+            if (band, key, x, y) != bucket:
+                if len(held) > 1:
+                    yield links(held)
+                held, bucket = [], (band, key, x, y)
+            held.append(row)
+    if len(held) > 1:
+        yield links(held)
 
-def line_links(lines: DataFrame) -> DataFrame:
-    """From distinct lines (id, line): edges (a, b) between lines of at least the similarity."""
-    keys = settle(_banded(lines), "bands")
+
+def line_links(keys: DataFrame, text_of) -> DataFrame:
+    """From distinct (band, key, id): edges (a, b) between lines of at least the similarity.
+
+    ``text_of`` maps a table of distinct ids to (id, line); only colliding lines are asked for.
+    """
     sizes = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = keys.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int"))
-    met = met.join(lines.select("id", "line"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = settle(keys.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")), "collisions")
+    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A block meets itself (side 2) and each other block (side 0 the lower, 1 the higher).
     pairs = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", "id", "line",
+        "band", "key", "id",
         F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
         F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side"),
     )
-    return pairs.groupBy("band", "key", "x", "y").applyInPandas(_verify, "a long, b long")
+    order = ["band", "key", "x", "y"]
+    texts = pairs.join(text_of(met.select("id").distinct()), "id").select(*order, "id", "line", "side")
+    return texts.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_verify_sorted, "a long, b long")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): rows (row, doc_id); repeats (row, start, n, class, first): paragraphs of classes of several."""
-    spark = docs.sparkSession
-    ship(spark)
+    """(rows, repeats): rows (row, doc_id); repeats (row, start, n, kind, first): paragraphs of classes of several."""
+    ship(docs.sparkSession)
     every = settle(paragraphs(pick(docs, doc_id=id_col, text=text_col)), "paragraphs")
     rows, found = every.filter("kind = 2"), every.filter("kind < 2")
-    place = F.struct("row", "start")
-    equal = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.min("line").alias("line"))
-    # A line's id: its first hash. Two lines with one id would have to be equal in 64 bits of a 128-bit hash.
-    lines = settle(equal.filter("kind = 0").select(F.col("h1").alias("id"), "copies", "first", "line"), "lines")
-    near = connected_components(line_links(lines))
-    classes = (
-        lines.join(near, lines["id"] == near["node"], "left")
-        .select("id", F.coalesce("component", "id").alias("class"), "copies", "first")
-    )
+    equal = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
+    equal = settle(equal.filter("kind = 0 OR copies > 1"), "classes")
+    # A line's id is its first hash: two lines with one id would have to be equal in 64 bits of a 128-bit hash.
+    lines = equal.filter("kind = 0").select(F.col("h1").alias("id"), "copies", "first")
+    of_lines = found.filter("kind = 0")
+    keys = of_lines.select(F.col("h1").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
+
+    def text_of(ids: DataFrame) -> DataFrame:
+        at = lines.join(ids, "id", "left_semi").select(F.col("id"), F.col("first.row").alias("row"), F.col("first.start").alias("start"))
+        return of_lines.select(F.col("h1").alias("id"), "row", "start", "line").join(at, ["id", "row", "start"]).select("id", "line")
+
+    near = connected_components(line_links(keys, text_of))
+    classes = lines.join(near, lines["id"] == near["node"], "left").select("id", F.coalesce("component", "id").alias("class"), "copies", "first")
     whole = classes.groupBy("class").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).filter("copies > 1")
-    of_line = classes.select("id", "class").join(whole, "class").select(F.lit(0).cast("byte").alias("kind"), F.col("id").alias("h1"), "class", "first")
-    of_passage = equal.filter("kind = 1 AND copies > 1").select("kind", "h1", "h2", "first")
-    repeats = found.filter("kind = 0").select("row", "start", "n", "kind", "h1").join(of_line, ["kind", "h1"]).select("row", "start", "n", "kind", "first").unionByName(
-        found.filter("kind = 1").select("row", "start", "n", "kind", "h1", "h2").join(of_passage, ["kind", "h1", "h2"]).select("row", "start", "n", "kind", "first")
+    of_line = classes.select("id", "class").join(whole, "class").select(F.lit(0).cast("byte").alias("kind"), F.col("id").alias("h1"), "first")
+    of_passage = equal.filter("kind = 1").select("kind", "h1", "h2", "first")
+    columns = ("row", "start", "n", "kind", "first")
+    repeats = of_lines.select("row", "start", "n", "kind", "h1").join(of_line, ["kind", "h1"]).select(*columns).unionByName(
+        found.filter("kind = 1").select("row", "start", "n", "kind", "h1", "h2").join(of_passage, ["kind", "h1", "h2"]).select(*columns)
     )
     return rows.select("row", "doc_id"), repeats
 

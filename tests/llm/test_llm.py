@@ -125,9 +125,11 @@ def test_near_lines_link(spark, monkeypatch):
         x = list(base) if k % 2 else [f"u{k}_{j}" for j in range(60)]
         x[int(rng.integers(60))] = f"v{k}"
         lines.append((k, " ".join(x)))
+    hashes = {k: substring_dedup.shingles(substring_dedup.word_hashes(x.encode().split())) for k, x in lines}
     df = spark.createDataFrame([(k, bytearray(x.encode())) for k, x in lines], "id long, line binary")
-    near = substring_dedup.connected_components(substring_dedup.line_links(df))
-    sets = {k: frozenset(substring_dedup.shingles(x.encode().split()).tolist()) for k, x in lines}
+    keys = spark.createDataFrame([(b, key, k) for k, sh in hashes.items() for b, key in enumerate(substring_dedup.bands(sh))], "band int, key long, id long")
+    near = substring_dedup.connected_components(substring_dedup.line_links(keys, lambda ids: df.join(ids, "id", "left_semi")))
+    sets = {k: frozenset(sh.tolist()) for k, sh in hashes.items()}
     root = {k: k for k, _ in lines}
     for _ in lines:
         for a, _ in lines:
