@@ -1,8 +1,9 @@
 """Token ids by a public tokenizer, made per distinct stretch between spaces and remembered.
 
 Both vocabularies cut a text before they merge bytes, and no cut depends on what is beyond a single space between two
-other characters. So a text is parted there, and each distinct part is encoded once by the library. The memory is
-bounded: it starts anew when it has ``REMEMBER`` parts.
+other characters. So a text is parted there, and each distinct part is encoded once by the library. A part that isn't
+known is composed, where that's exact, of units that are: a word and the mark after it, the sides of a line break. The
+memory is bounded: it starts anew when it has ``REMEMBER`` parts (some 250 bytes each).
 """
 
 from __future__ import annotations
@@ -12,12 +13,21 @@ import re
 
 import numpy as np
 
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 
 _ADJACENT = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, others as the letters from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    return {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTES = _byte_letters()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,37 +37,74 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # A space between parts belongs to the part after it, unless the tokenizer drops white space.
         self.space = "" if self.tokenizer.normalizer is not None else " "
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, memory: dict[str, bytes], parts: set[str], space: str) -> None:
-        if len(memory) + len(parts) > REMEMBER:
-            memory.clear()
-        order = list(parts)
+        self.known: dict[str, bytes] = {}  # parts with the space before them
+        self.first: dict[str, bytes] = {} if self.space else self.known  # parts without
+
+    def _units(self, part: str, spaced: bool) -> list[tuple[str, bool]]:
+        """Stretches that the tokenizer keeps apart whatever surrounds them; true for those with the space before."""
+        left, line, right = part.partition("\n")
+        if line and left and right and not left[-1].isspace() and not right[0].isspace():
+            return [*self._units(left, spaced), *([("\n", False)] if self.space else []), *self._units(right, False)]
+        if len(part) > 1 and part[-1] in ".," and part[-2].isalnum():
+            return [(part[:-1], spaced), (part[-1], False)]
+        return [(part, spaced)]
+
+    def _word(self, unit: str, spaced: bool) -> bytes | None:
+        """Ids of letters alone, which the library's model merges as one word; None for other units."""
+        if not self.space and not unit.isascii():
+            unit = self.tokenizer.normalizer.normalize_str(unit)
+        if not unit.isalpha():
+            return None
+        text = (self.space + unit) if spaced else unit
+        if not self.space:
+            text = text.lower()
+        letters = text.encode().decode("latin-1").translate(_BYTES)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
+    def _learn(self, parts: set[str], spaced: bool) -> None:
+        if len(self.known) + len(parts) > REMEMBER:
+            self.known.clear()
+        if len(self.first) + len(parts) > REMEMBER:
+            self.first.clear()
+        units = {part: self._units(part, spaced) for part in parts}
+        new = {u for x in units.values() for u in x if u[0] not in (self.known if u[1] else self.first)}
+        order = []
+        for unit, s in new:
+            ids = self._word(unit, s)
+            if ids is None:
+                order.append((unit, s))
+            else:
+                (self.known if s else self.first)[unit] = ids
         for k in range(0, len(order), 10_000):
             some = order[k : k + 10_000]
-            for part, got in zip(some, self.tokenizer.encode_batch_fast([space + x for x in some], add_special_tokens=False), strict=True):
-                memory[part] = np.array(got.ids, "<u4").tobytes()
+            texts = [self.space + x if s else x for x, s in some]
+            for (unit, s), got in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                (self.known if s else self.first)[unit] = np.array(got.ids, "<u4").tobytes()
+        memory = self.known if spaced else self.first
+        for part, x in units.items():
+            if len(x) > 1:
+                memory[part] = b"".join([(self.known if s else self.first)[u] for u, s in x])
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.space:
+            text = text.replace("\n", " ")  # white space of any kind is dropped
         if self.space and _ADJACENT.search(text):
             head, *parts = _SINGLE.split(text)
         else:
             head, *parts = text.split(" ")
         if head not in self.first:
-            self._learn(self.first, {head}, "")
+            self._learn({head}, False)
+        start = self.first[head]
         try:
-            rest = b"".join(map(self.known.__getitem__, parts))
+            return start + b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            new = set(parts).difference(self.known)
-            if len(self.known) + len(new) > REMEMBER:
-                new = set(parts)
-            self._learn(self.known, new, self.space)
-            rest = b"".join(map(self.known.__getitem__, parts))
-        return self.first[head] + rest
+            self._learn(set(parts).difference(self.known), True)
+            if not all(map(self.known.__contains__, parts)):  # the memory has just begun anew
+                self._learn(set(parts).difference(self.known), True)
+            return start + b"".join(map(self.known.__getitem__, parts))
 
 
 _MADE: dict[str, Encoder] = {}
