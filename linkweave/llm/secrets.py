@@ -101,7 +101,8 @@ def listed(found: dict[str, list[Span]], kinds=KINDS) -> str:
 
 def redact(text: str, found: dict[str, list[Span]]) -> str:
     """``text`` with the value of each finding replaced by ``[secret]``; names of assignments and endpoints stay."""
-    values = [m.span(2) for m in ASSIGN.finditer(text) if m.span() in set(found["assign"])] if found["assign"] else []
+    assigned = set(found["assign"])
+    values = [m.span(2) for m in ASSIGN.finditer(text) if m.span() in assigned] if assigned else []
     values += [x for k in ("access", "hex", "key", "identifier") for x in found[k]]
     out, last = [], 0
     for a, b in sorted(values):
