@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.components import connected_components
+from linkweave.llm.hot import join_unique
 from linkweave.runtime import beside, pick, settle, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -209,12 +210,13 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """Per row: ``doc_id``, ``fp`` and ``component_id``, the smallest id reachable over links."""
     rows = settle(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     joined = connected_components(links(nodes, distance))
-    named = joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "component", "least")
-    label = named.groupBy("component").agg(F.min("least").alias("label"))
-    of_fp = nodes.join(named.join(label, "component").select("fp", "label"), "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    named = settle(joined.join(nodes, joined["node"] == nodes["fp"]).select("fp", "component", "least"), "fingerprint-components")
+    label = settle(named.groupBy("component").agg(F.min("least").alias("label"), F.count("*").alias("n")), "component-labels")
+    labelled = join_unique(named, label, "component").select("fp", "label")
+    of_fp = settle(nodes.join(labelled, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"), "n"), "fingerprint-labels")
+    return join_unique(rows, of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

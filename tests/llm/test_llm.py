@@ -421,5 +421,17 @@ def quality_kept(text):
     return not failed and symbols <= 0.3 * n
 
 
+def test_join_with_hot_keys(spark):
+    from linkweave.llm.hot import join_unique
+
+    keys = [7] * 500 + [None] + list(range(1000))
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, row long")
+    unique = spark.createDataFrame([(k, f"v{k}", keys.count(k)) for k in range(990)], "k long, v string, n long")
+    want = sorted((k, n, f"v{k}") for n, k in enumerate(keys) if k is not None and k < 990)
+    assert sorted(map(tuple, join_unique(rows, unique, "k").collect())) == want
+    assert join_unique(rows, unique.limit(0), "k").count() == 0
+    assert sorted(map(tuple, join_unique(rows.filter("k >= 10"), unique.filter("k >= 10"), "k").collect())) == [x for x in want if x[0] >= 10]
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.SQL) < set(queries.QUERIES)
