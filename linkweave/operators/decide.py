@@ -91,3 +91,47 @@ def replace_groups(decided: DataFrame, again: DataFrame, groups: list[str], key:
 def threshold_grid(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """(t, s1, src, tgt): every threshold's decisions in one pass."""
     return pairs.withColumn("t", F.explode(F.array(*[F.lit(t) for t in thresholds]))).filter(F.col("p") >= F.col("t"))
+
+
+def by_config(pairs: DataFrame, config) -> DataFrame:
+    """The rule that a ``Decision`` names: exclusive first, where it says so, then a threshold or expected F0.5."""
+    kept = exclusive(pairs) if config.excl else pairs
+    if config.rule == "ef":
+        return expected_f(kept, config.floor, config.empty_bias)
+    if config.rule == "thr":
+        return threshold(kept, config.t)
+    raise ValueError(f"unknown rule: {config.rule}")
+
+
+#: The grid of decisions that is tuned over.
+THRESHOLDS = (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
+FLOORS, BIASES = (0.3, 0.4, 0.5, 0.6), (1.0, 1.3, 1.6)
+
+
+def config_grid(pairs: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, biases=BIASES) -> DataFrame:
+    """(excl, rule, x, bias, s1, src, tgt): the pairs that every configuration chooses, in one job.
+
+    ``x`` is the threshold or the floor. Pairs below half the least floor and below the least threshold go at once. Ranks
+    and sums are made once for each floor, and biases share them.
+    """
+    best = Window.partitionBy("src", "tgt").orderBy(F.desc("p"), "s1")
+    alone = pairs.withColumn("_first", F.row_number().over(best) == 1)
+    modes = F.explode(F.when(F.col("_first"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("excl")
+    both = alone.filter(F.col("p") >= min([*thresholds, *(f / 2 for f in floors)])).select("s1", "src", "tgt", "p", modes)
+    column = lambda values: F.explode(F.array(*[F.lit(float(v)) for v in values]))
+    cut = both.withColumn("x", column(thresholds)).filter("p >= x").select("excl", F.lit("thr").alias("rule"), "x", F.lit(1.0).alias("bias"), "s1", "src", "tgt")
+    # excl and x stand beside s1 as one entity, so that the rule itself is the one above
+    entity = F.struct("excl", F.col("x").alias("x"), "s1")
+    parts = both.withColumn("x", column(floors)).filter(F.col("p") >= F.col("x") / 2).withColumn("s1", entity).select("s1", "src", "tgt", "p")
+    order = Window.partitionBy("s1").orderBy(F.desc("p"), "src", "tgt")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = parts.withColumns({
+        "_k": F.row_number().over(order),
+        "_sum": F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_all": F.sum("p").over(every),
+        "_none": F.product(1 - F.col("p")).over(every),
+    }).withColumn("_ef", F.round(1.25 * F.col("_sum") / (F.col("_k") + 0.25 * F.col("_all")), 12))
+    met = ranked.withColumn("_best", F.max(F.struct("_ef", (-F.col("_k")).alias("k"))).over(Window.partitionBy("s1")))
+    kept = met.filter((F.col("_k") <= -F.col("_best.k")) & (F.col("p") >= F.col("s1.x"))).withColumn("bias", column(biases))
+    ef = kept.filter(F.col("_best._ef") > F.col("_none") * F.col("bias")).select("s1.excl", F.lit("ef").alias("rule"), "s1.x", "bias", "s1.s1", "src", "tgt")
+    return cut.unionByName(ef)

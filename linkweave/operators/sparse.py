@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.runtime import let
+
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """From (grp, id, tokens): (grp, id, token, tf)."""
@@ -85,6 +87,13 @@ def excess_fillers(first: DataFrame, targets: DataFrame, excess: float = 0.004,
 
 
 def without_fillers(tokens, found):
-    """Tokens not in the array ``found``; all of them, if none is left."""
-    kept = F.filter(tokens, lambda t: ~F.array_contains(F.coalesce(found, F.array().cast("array<string>")), t))
-    return F.when(F.size(kept) == 0, tokens).otherwise(kept)
+    """Tokens not in the array ``found``; all of them, if none is left.
+
+    The fillers that occur are found first, by hashing, so that each token is held against those few.
+    """
+    none = F.array().cast("array<string>")
+
+    def of(t, gone):
+        return let(F.filter(t, lambda x: ~F.array_contains(gone, x)), lambda kept: F.when(F.size(kept) == 0, t).otherwise(kept))
+
+    return let(tokens, lambda t: let(F.array_intersect(t, F.coalesce(found, none)), lambda gone: of(t, gone)))

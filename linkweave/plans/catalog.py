@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
-from linkweave.operators import adapt, blocking, context, decide, dense, evaluate, learn, sparse, validate
+from linkweave.operators import adapt, blocking, context, decide, dense, evaluate, features, learn, records, sparse, validate
+from linkweave.runtime import fresh_path
 from linkweave.sources import tables as src
 from linkweave.streaming.incremental import unscored
 
@@ -700,3 +701,214 @@ def link_documents(spark, sf_dir):
     lists = adapt.id_lists(chosen.withColumn("id", F.col("tgt")), "id", "p").select("s1", "ids")
     first = _read(spark, sf_dir, "documents").filter("source = 'src0'").select(F.col("doc_id").alias("s1"))
     return first.join(lists, "s1", "left").fillna("", ["ids"])
+
+
+# ---- records, pair features and second stage ---------------------------------------------------------------------------
+
+
+@query(f"SELECT p_partkey AS id, {_base_sql('p_name')} || ' | ' || {_base_sql('p_type')} AS enc FROM part")
+def encoder_text(spark, sf_dir):
+    """what an encoder reads."""
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), records.encoder_text(F.col("p_name"), F.col("p_type")).alias("enc"))
+
+
+@query(_filler_sql(f""", g AS (SELECT grp, list(token) AS fill FROM m WHERE f2 >= 0.001 AND f2 >= 1.8 * f1 GROUP BY grp),
+x AS (SELECT doc_id, {_DOC_TOK} AS c, fill FROM documents LEFT JOIN g ON grp = lang),
+y AS (SELECT doc_id, c, CASE WHEN fill IS NULL THEN c ELSE list_filter(c, lambda t: NOT list_contains(fill, t)) END AS k FROM x)
+SELECT doc_id, md5(array_to_string(CASE WHEN len(k) = 0 THEN c ELSE k END, ' ')) AS name_f, len(CASE WHEN len(k) = 0 THEN c ELSE k END)::INTEGER AS n FROM y"""))
+def apply_fillers(spark, sf_dir):
+    """words without their group's fillers, as a digest of the whole."""
+    found = sparse.fillers(*_sides(spark, sf_dir))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("grp"), tx.base(F.col("text")).alias("name_c"), F.lit("").alias("legal"), F.lit("").alias("addr_n"))
+    out = records.apply_fillers(rows, found)
+    return out.select("doc_id", F.md5(F.col("name_f").cast("binary")).alias("name_f"), F.size(tx.tokens(F.col("name_f"))).alias("n"))
+
+
+@query("SELECT DISTINCT c_nationkey AS grp FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+def unseen_groups(spark, sf_dir):
+    """F32, U4: groups that the other side lacks."""
+    return records.unseen(_read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp")), _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp")))
+
+
+def _part_records(spark, sf_dir):
+    raw = _read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, "Ltd")).alias("name"),
+        F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"), F.lit(" "), (10000 + F.col("p_partkey") % 977).cast("string")).alias("address"), F.lit(2).alias("src"),
+    )
+    rows = records.normalize(raw)
+    return records.apply_fillers(rows, rows.limit(0).select("grp", F.lit("").alias("token")))
+
+
+@query()
+def pair_features(spark, sf_dir):
+    """X1-X14, appendix B: all string and number features of neighbouring parts."""
+    rows = _part_records(spark, sf_dir)
+    pairs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s1"), F.lit(2).alias("src"), (F.col("p_partkey") + 1).alias("tgt"))
+    out = features.pair_features(pairs, rows, rows)
+    return out.select("s1", "src", "tgt", *[_r(c, c) for c in out.columns if c not in ("s1", "src", "tgt")])
+
+
+def _cos_sql(name: str, tokens: str, least: int) -> str:
+    return f"""{name}_t AS (SELECT p_brand AS grp, p_partkey AS id, {tokens} AS tokens FROM part),
+{name}_n AS (SELECT grp, count(*) AS n FROM {name}_t GROUP BY 1),
+{name}_f AS (SELECT grp, token, count(*) AS df FROM (SELECT grp, unnest(list_distinct(tokens)) AS token FROM {name}_t) GROUP BY 1, 2 HAVING count(*) >= {least}),
+{name}_w0 AS (SELECT grp, id, token, (1 + ln(count(*))) * any_value(ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT grp, id, unnest(tokens) AS token FROM {name}_t) JOIN {name}_f USING (grp, token) JOIN {name}_n USING (grp) GROUP BY 1, 2, 3),
+{name}_w AS (SELECT grp, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM {name}_w0),
+{name}_s AS (SELECT a.id AS q, b.id AS d, sum(a.w * b.w) AS s FROM {name}_w a JOIN {name}_w b ON a.grp = b.grp AND a.token = b.token WHERE a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1, 2)"""
+
+
+_GRAMS_SQL = "list_transform(range(1, length(' ' || p_name || ' ') - 1), lambda i: substr(' ' || p_name || ' ', i, 3))"
+
+
+@query(f"""WITH {_cos_sql('n_idf', "string_split(p_name, ' ')", 1)}, {_cos_sql('n_c3', _GRAMS_SQL, 1)}, {_cos_sql('a_c3', _GRAMS_SQL.replace('p_name', 'p_type'), 2)},
+p AS (SELECT a.p_brand AS grp, a.p_partkey AS q, b.p_partkey AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0)
+SELECT p.*, round(coalesce(x.s, 0), 6) AS n_idf, round(coalesce(y.s, 0), 6) AS n_c3, round(coalesce(z.s, 0), 6) AS a_c3
+FROM p LEFT JOIN n_idf_s x USING (q, d) LEFT JOIN n_c3_s y USING (q, d) LEFT JOIN a_c3_s z USING (q, d)""")
+def feature_cosines(spark, sf_dir):
+    """Cosines fitted on both sides together, of words and of 3-grams, with a least frequency."""
+    parts = _read(spark, sf_dir, "part")
+    of = lambda tokens: parts.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), tokens.alias("tokens"))
+    halves = lambda t: (t.filter("id % 2 = 1"), t.filter("id % 2 = 0"))
+    one = parts.filter("p_partkey % 2 = 1").select(F.col("p_brand").alias("grp"), "p_size", F.col("p_partkey").alias("q"))
+    pairs = one.join(parts.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("grp"), "p_size", F.col("p_partkey").alias("d")), ["grp", "p_size"]).select("grp", "q", "d")
+    out = pairs
+    for name, tokens, least in (("n_idf", F.split("p_name", " "), 1), ("n_c3", tx.char_grams(F.col("p_name")), 1), ("a_c3", tx.char_grams(F.col("p_type")), 2)):
+        out = out.join(features.fitted_cosine(pairs, *halves(of(tokens)), name, least), ["grp", "q", "d"])
+    return out.select("grp", "q", "d", *[_r(c, c) for c in ("n_idf", "n_c3", "a_c3")])
+
+
+_HARD = f"""{_P}, h AS (SELECT *, ((s1 + tgt) % 3 = 0)::INTEGER AS y, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, tgt) - 1 AS dense_r2,
+  CASE WHEN tgt % 2 = 0 THEN row_number() OVER (PARTITION BY s1, src ORDER BY p, tgt) - 1 END AS sparse_r2 FROM pairs)"""
+
+
+@query(f"WITH {_HARD} SELECT s1, src, tgt, y FROM h WHERE y = 1 OR dense_r2 < 1 OR sparse_r2 < 1")
+def hard_pairs(spark, sf_dir):
+    """Training pairs of a pair scorer."""
+    rank = lambda *order: F.row_number().over(Window.partitionBy("s1", "src").orderBy(*order)) - 1
+    rows = _pairs(spark, sf_dir).withColumns({"y": ((F.col("s1") + F.col("tgt")) % 3 == 0).cast("int"), "dense_r2": rank(F.desc("p"), "tgt"), "sparse_r2": F.when(F.col("tgt") % 2 == 0, rank("p", "tgt"))})
+    return features.hard_pairs(rows, 1, 1).select("s1", "src", "tgt", "y")
+
+
+@query(f"""WITH {_P}, c AS (SELECT *, CASE WHEN tgt % 3 = 0 THEN ((s1 * 31 + tgt * 17) % 1000) / 1000 ELSE -1.0 END AS ce FROM pairs)
+SELECT s1, src, tgt, p, ce::DOUBLE AS ce, max(ce) OVER (PARTITION BY s1, src)::DOUBLE AS cectx_s1max, row_number() OVER (PARTITION BY src, tgt ORDER BY ce DESC, s1) AS cectx_trank,
+  max(p) OVER (PARTITION BY src, tgt) AS pc_tmax, count(*) OVER (PARTITION BY s1, src) AS pc_s1n, round(sum(p) OVER (PARTITION BY s1), 6) AS s1sum_all FROM c""")
+def second_stage(spark, sf_dir):
+    """M8, M9: scores, a further score where there is one, and the context of both."""
+    pairs = _pairs(spark, sf_dir)
+    ce = pairs.filter("tgt % 3 = 0").select("s1", "src", "tgt", (((F.col("s1") * 31 + F.col("tgt") * 17) % 1000) / 1000).alias("ce"))
+    out = features.second_stage(pairs, {"ce": ce})
+    return out.select("s1", "src", "tgt", "p", "ce", "cectx_s1max", "cectx_trank", "pc_tmax", "pc_s1n", _r("s1sum_all", "s1sum_all"))
+
+
+@query(f"""WITH {_NAMES}, t AS (SELECT id, a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM n),
+g AS (SELECT id, a, b, list_filter(x, lambda w: NOT list_contains(y, w)) AS m, list_filter(y, lambda w: NOT list_contains(x, w)) AS e FROM t)
+SELECT id, CASE WHEN len(m) = 1 AND len(e) = 1 THEN round(jaro_winkler_similarity(m[1], e[1]), 6) ELSE -1.0 END AS swap_jw, (a = b)::INTEGER::DOUBLE AS same_addr FROM g""")
+def word_swaps(spark, sf_dir):
+    """The similarity of a single replaced word, and equal addresses."""
+    pairs = _name_pairs(spark, sf_dir).withColumns({"addr1": F.col("a"), "addr2": F.col("b")})
+    return features.swaps(pairs).select("id", _r("swap_jw", "swap_jw"), "same_addr")
+
+
+_VEC_SQL = """v AS (SELECT p_partkey AS id, k, count(*) AS c FROM (SELECT p_partkey, (('0x' || substr(md5(unnest(""" + _GRAMS_SQL + """)), 1, 8))::UBIGINT % 64) AS k FROM part) GROUP BY 1, 2),
+l AS (SELECT id, sqrt(sum(c * c)) AS l FROM v GROUP BY 1)"""
+
+
+@query(f"""WITH {_VEC_SQL} SELECT a.id AS q, b.id AS d, round(sum(CASE WHEN a.k = b.k THEN a.c * b.c ELSE 0 END) / any_value(x.l * y.l), 6) AS score
+FROM v a JOIN v b ON b.id = a.id + 1 JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id GROUP BY 1, 2""")
+def hashed_vectors(spark, sf_dir):
+    """An untrained encoder, by the inner products of neighbours."""
+    v = dense.hashed_vectors(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.char_grams(F.col("p_name")).alias("tokens")))
+    return dense.pair_dot(v.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")), v, v).withColumn("score", _r("score"))
+
+
+# ---- decisions by configuration, sampling, files -----------------------------------------------------------------------
+
+
+def _grid_sql(x: str, bias: str) -> str:
+    return f"""m AS (SELECT excl, p.s1, p.src, p.tgt, p.p FROM pairs p JOIN (SELECT false AS excl UNION ALL SELECT true) ON NOT excl OR (p.s1, p.src, p.tgt) IN (SELECT (s1, src, tgt) FROM ex)),
+ef0 AS (SELECT excl, x, s1, src, tgt, p, row_number() OVER w AS k, sum(p) OVER (w ROWS UNBOUNDED PRECEDING) AS cs, sum(p) OVER (PARTITION BY excl, x, s1) AS tot, product(1 - p) OVER (PARTITION BY excl, x, s1) AS none
+  FROM m, (VALUES {x}) f(x) WHERE p >= x / 2 WINDOW w AS (PARTITION BY excl, x, s1 ORDER BY p DESC, src, tgt)),
+ef1 AS (SELECT *, round(1.25 * cs / (k + 0.25 * tot), 12) AS ef FROM ef0),
+ef2 AS (SELECT *, max(ef) OVER (PARTITION BY excl, x, s1) AS best FROM ef1),
+ef3 AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY excl, x, s1) AS kb FROM ef2),
+ch AS (SELECT excl, 'ef' AS rule, x, bias, s1, src, tgt FROM ef3, (VALUES {bias}) b(bias) WHERE k <= kb AND p >= x AND best > none * bias)"""
+
+
+@query(f"""WITH {_EXCL}, {_grid_sql('(0.3), (0.4), (0.5), (0.6)', '(1.0), (1.3), (1.6)')},
+al AS (SELECT * FROM ch UNION ALL SELECT excl, 'thr', t, 1.0, s1, src, tgt FROM m, (VALUES (0.4), (0.5), (0.55), (0.6), (0.65), (0.7), (0.75), (0.8), (0.85), (0.9), (0.95)) v(t) WHERE p >= t),
+{_TRUTH}, n AS (SELECT s1, count(*) AS n_true FROM truth GROUP BY 1),
+c AS (SELECT excl, rule, x, bias, s1, count(*) AS n_pred, count(CASE WHEN (s1 + tgt) % 3 = 0 THEN 1 END) AS tp FROM al GROUP BY ALL),
+u AS (SELECT * FROM (SELECT o_orderkey AS s1 FROM orders), (SELECT DISTINCT excl, rule, x, bias FROM c)),
+f AS (SELECT excl, rule, x, bias, CASE WHEN coalesce(n_pred, 0) = 0 AND coalesce(n_true, 0) = 0 THEN 1.0 WHEN coalesce(tp, 0) = 0 THEN 0.0
+  ELSE 1.25 * tp / (1.25 * tp + 0.25 * (n_true - tp) + n_pred - tp) END::DOUBLE AS f FROM u LEFT JOIN c USING (excl, rule, x, bias, s1) LEFT JOIN n USING (s1))
+SELECT excl, rule, x::DOUBLE AS x, bias::DOUBLE AS bias, round(avg(f), 6) AS macro_f FROM f GROUP BY ALL""")
+def config_grid(spark, sf_dir):
+    """All 46 configurations of rule, exclusivity, threshold, floor and bias, scored in one job."""
+    pairs = _pairs(spark, sf_dir)
+    universe = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"))
+    out = evaluate.grid_scores(decide.config_grid(pairs), _truth(pairs), universe, ["excl", "rule", "x", "bias"])
+    return out.withColumn("macro_f", _r("macro_f"))
+
+
+@query(f"""WITH {_EF}, o AS (SELECT o_orderkey AS s1, o_orderpriority AS country FROM orders)
+SELECT s1, src, tgt, country FROM ef JOIN o USING (s1) WHERE country NOT IN ('1-URGENT', '5-LOW')
+UNION ALL SELECT s1, src, tgt, country FROM ex JOIN o USING (s1) WHERE country IN ('1-URGENT', '5-LOW') AND p >= 0.9""")
+def variant_by_group(spark, sf_dir):
+    """Groups decided anew by another rule, others as they were."""
+    pairs = _pairs(spark, sf_dir)
+    group = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1"), F.col("o_orderpriority").alias("country"))
+    first, again = (decide.by_config(pairs, c).join(group, "s1") for c in (src.Decision(), src.Decision(rule="thr", t=0.9)))
+    return decide.replace_groups(first, again, ["1-URGENT", "5-LOW"]).select("s1", "src", "tgt", "country")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
+def sample_rows(spark, sf_dir):
+    """A reproducible sample (its size is the operator's parameter)."""
+    return learn.sample(_read(spark, sf_dir, "orders"), "o_orderkey", 500).select("o_orderkey", "o_orderpriority")
+
+
+@query("""SELECT 'S1-' || c_custkey AS entity_id, CASE WHEN c_custkey % 7 = 0 THEN '"' || c_name ELSE c_name END AS business_name,
+  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_nationkey || ' "High" St' END AS business_address, c_mktsegment AS country, 1 AS src FROM customer""")
+def tsv_round_trip(spark, sf_dir):
+    """Entities to a tab-separated file and back, quotation marks and empty fields whole."""
+    k = F.col("c_custkey")
+    rows = _read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("S1-"), k.cast("string")).alias("entity_id"), F.when(k % 7 == 0, F.concat(F.lit('"'), "c_name")).otherwise(F.col("c_name")).alias("business_name"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.col("c_nationkey").cast("string"), F.lit(' "High" St'))).alias("business_address"), F.col("c_mktsegment").alias("country"),
+    )
+    path = fresh_path(spark, "entities")
+    src.write_tsv(rows, path)
+    return src.read_entities(spark, path)
+
+
+@query(f"""WITH {_LISTS}, u AS (SELECT o_orderkey AS s1 FROM orders)
+SELECT s1::VARCHAR AS s1, coalesce(array_to_string(list_filter(string_split(ids, ','), lambda z, k: list_position(string_split(ids, ','), z) = k), ','), '') AS ids FROM u LEFT JOIN lists USING (s1)""")
+def id_list_file(spark, sf_dir):
+    """An id-list file with a row for each entity, empty lists too, read back."""
+    universe, path = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1")), fresh_path(spark, "id-lists")
+    src.write_id_lists(universe, _lists(spark, sf_dir), path)
+    return src.read_truth(spark, path)
+
+
+@query(f"""WITH {_LISTS}, u AS (SELECT o_orderkey AS s1 FROM orders), y AS (SELECT DISTINCT s1, id FROM x)
+SELECT 'malformed row' AS rule, 0::BIGINT AS n, NULL::VARCHAR AS sample UNION ALL SELECT 'duplicate s1', 0, NULL UNION ALL SELECT 'duplicate id', 0, NULL
+UNION ALL SELECT 'self match', count(*), min(s1::VARCHAR) FROM y WHERE id LIKE 'S1-%' UNION ALL SELECT 'wrong prefix', count(*), min(s1::VARCHAR) FROM y WHERE id NOT SIMILAR TO 'S[123]-.*'
+UNION ALL SELECT 'missing s1', 0, NULL UNION ALL SELECT 'unexpected s1', 0, NULL""")
+def validate_file(spark, sf_dir):
+    """V1, V3: the rules on a file as it was written."""
+    universe, path = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("s1")), fresh_path(spark, "id-lists")
+    src.write_id_lists(universe, _lists(spark, sf_dir), path)
+    return validate.validate_file(spark, path, ("source1_entity_id", "matched_entity_ids"), universe)
+
+
+@query()
+def adapted_scores(spark, sf_dir):
+    """Models of labelled groups and of pseudo-labels in another, cross-fitted; rows by unseen folds."""
+    docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
+    n = F.size(tx.tokens(F.col("text")))
+    rows = docs.select("doc_id", "lang", F.col("quality").alias("y"), learn.fold_of(F.col("doc_id"), 2).alias("fold"), n.cast("double").alias("words"), (F.length("text") / (n + 1)).alias("chars"))
+    names = ["words", "chars"]
+    labelled = rows.filter("y IS NOT NULL AND lang <> 'fr'")
+    french = learn.predict(rows.filter("lang = 'fr'").drop("y"), names, learn.fit_folds(labelled, names, 2), "p").withColumns({"src": F.lit(2), "tgt": F.col("doc_id"), "near": F.lit(False)})
+    pseudo = adapt.pseudo_labels(french, 0.9, 0.1).drop("p", "src", "tgt", "near")
+    return learn.predict(rows, names, learn.adapt_fit(labelled, pseudo, names)).select("doc_id", "lang", "fold", _r("p", "p"))

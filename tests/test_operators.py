@@ -2,13 +2,15 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
-from linkweave.operators import blocking, decide, evaluate, learn, validate
+from linkweave.operators import blocking, decide, evaluate, features, learn, records, validate
 from linkweave.sources import tables as src
+from linkweave.sources.tables import Decision
 from linkweave.streaming.incremental import score_stream
 
 
@@ -166,3 +168,73 @@ def test_stream_scores_pairs_once(spark, tmp_path):
         stream = spark.readStream.schema(pairs.schema).parquet(str(tmp_path / "in"))
         score_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), lambda df: df.withColumn("p", F.lit(0.5))).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_records_and_pair_features(spark):
+    raw = spark.createDataFrame(
+        [(1, "US", "Shree Ganesh Traders Pvt Ltd", "12b Main Road, 560001", 2), (2, "US", "Ganesh Traders d/b/a Sri Ganesh", "12 main rd 560001", 2), (3, "US", None, None, 2), (4, "France", "Boulangerie SARL", "N° 28 b rue de Lille, Nord", 2)],
+        "id int, grp string, name string, address string, src int",
+    )
+    rows = records.apply_fillers(records.normalize(raw), spark.createDataFrame([("US", "traders")], "grp string, token string"))
+    by_id = {r.id: r for r in rows.collect()}
+    assert by_id[3].name_n == by_id[3].addr_n == by_id[3].zip == ""
+    assert by_id[1].zip == "560001" and by_id[2].name_alt != ""
+    assert "traders" not in by_id[1].name_f.split() and by_id[1].ctext.endswith(by_id[1].addr_n)
+    assert "bis" in by_id[4].addr_n.split() and "hdf" in by_id[4].addr_n.split()
+    pairs = spark.createDataFrame([(1, 2, 2), (1, 2, 3), (3, 2, 3), (1, 2, 9)], "s1 int, src int, tgt int")
+    out = {(r.s1, r.tgt): r for r in features.pair_features(pairs, rows, rows).collect()}
+    assert set(out) == {(1, 2), (1, 3), (3, 3)}
+    assert len(out[1, 2]) == 3 + 62
+    for (a, b), r in out.items():
+        one, two = by_id[a], by_id[b]
+        assert r.n_ratio == pytest.approx(sim.ratio(one.name_c, two.name_c))
+        assert r.a_pratio == pytest.approx(sim.partial(one.addr_n, two.addr_n))
+        assert r.nx_jw == pytest.approx(sim.jaro_winkler(one.name_f, two.name_f))
+        assert r.n_common == len(set(one.name_c.split()) & set(two.name_c.split()))
+    assert out[1, 2].zip_eq == 1 and out[1, 3].zip_eq == -1 and out[1, 2].has_alt == 1 and out[3, 3].n_exact == 1
+    assert records.unseen(raw, raw.filter("grp = 'US'")).collect()[0].grp == "France"
+
+
+def test_config_grid_is_the_rule_itself(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), 2 + int(t) % 2, int(t), round(float(p), 3)) for s, t, p in zip(rng.integers(0, 12, 200), rng.integers(0, 40, 200), rng.random(200), strict=True)]
+    pairs = spark.createDataFrame(list({r[:3]: r for r in rows}.values()), "s1 long, src int, tgt long, p double")
+    grid = decide.config_grid(pairs).toPandas()
+    for config in (Decision(rule="thr", t=0.7, excl=True), Decision(rule="thr", t=0.4, excl=False), Decision(floor=0.3, empty_bias=1.6, excl=True), Decision(floor=0.6, excl=False)):
+        want = {(r.s1, r.src, r.tgt) for r in decide.by_config(pairs, config).collect()}
+        x, bias = (config.t, 1.0) if config.rule == "thr" else (config.floor, config.empty_bias)
+        mine = grid[(grid.excl == config.excl) & (grid.rule == config.rule) & (grid.x == x) & (grid.bias == bias)]
+        assert set(zip(mine.s1, mine.src, mine.tgt, strict=True)) == want
+    with pytest.raises(ValueError, match="unknown rule"):
+        decide.by_config(pairs, Decision(rule="other"))
+
+
+def test_validate_file(spark, tmp_path):
+    universe = spark.createDataFrame([("S1-1",), ("S1-2",)], "s1 string")
+    header = ("source1_entity_id", "matched_entity_ids")
+
+    def report(text):
+        path = tmp_path / "lists.tsv"
+        path.write_text(text)
+        return {r.rule: r.n for r in validate.validate_file(spark, str(path), header, universe).collect() if r.n}
+
+    assert report("") == {"empty file": 1}
+    assert report("source1_entity_id,matched_entity_ids\n") == {"comma-separated": 1}
+    assert report("a\tb\n") == {"header": 1}
+    assert report("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-4\nS1-2\t\n") == {}
+    assert report("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-1\nbroken\nS1-1\tS1-2,X-1\n") == {
+        "malformed row": 1, "duplicate s1": 1, "duplicate id": 1, "self match": 1, "wrong prefix": 1, "missing s1": 1,
+    }
+
+
+def test_second_stage_fills_missing_scores(spark):
+    pairs = spark.createDataFrame([(1, 2, 5, 0.9), (1, 3, 6, 0.2), (2, 2, 5, 0.4)], "s1 int, src int, tgt int, p double")
+    ce = spark.createDataFrame([(1, 2, 5, 0.7)], "s1 int, src int, tgt int, ce double")
+    out = {(r.s1, r.tgt): r for r in features.second_stage(pairs, {"ce": ce}).collect()}
+    assert out[1, 6].ce == -1 and out[2, 5].cectx_tmax == 0.7 and out[2, 5].tmargin == pytest.approx(-0.5) and out[1, 5].other_max == 0.2
+
+
+def test_sample_depends_on_keys_alone(spark):
+    rows = spark.range(1000)
+    a, b = ({r.id for r in learn.sample(df, "id", 50).collect()} for df in (rows, rows.repartition(7)))
+    assert a == b and len(a) == 50
