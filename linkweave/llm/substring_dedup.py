@@ -1,8 +1,9 @@
 """Substring dedup: repeated paragraphs, by MinHash banding and exact verification, and their components.
 
-Two kinds of paragraph, both of whole texts. Lines of at least ``LINE`` words are compared by the Jaccard similarity of
-their five-word shingles: MinHash signatures in ``BANDS`` bands of ``ROWS`` rows (a pair at 0.8 collides with
-probability 1 - (1 - 0.8^3)^6 = 0.986), colliding lines joined, and their exact Jaccard verified. Passages are windows
+Three kinds of paragraph. Lines of at least ``LINE`` words, with shorter lines in a row joined up to that size, are
+compared by the Jaccard similarity of their five-word shingles: MinHash signatures in ``BANDS`` bands of ``ROWS`` rows
+(a pair at 0.8 collides with probability 1 - (1 - 0.8^3)^6 = 0.986), colliding lines joined, and their exact Jaccard
+verified. So are whole texts, whatever their size, with each other. Passages are windows
 of ``PASSAGE`` words that begin where a window's hash is the least of ``PASSAGE`` windows in a row: whatever stretch of
 2 * PASSAGE - 1 words two texts share, at any place, has a passage in common, which is verified by a second hash (edit
 distance zero, 128 bits in all).
@@ -12,7 +13,8 @@ component met so far, and a bucket gives a spanning forest, not all pairs. Bucke
 are worked on as pairs of blocks, in tasks of their own. Each class of linked paragraphs keeps its first (by row); others
 are removals. Documents that share a class are joined into components.
 
-Defined cases: a null or empty text has no paragraphs and is its own class; repeated rows are copies of each other; a
+Defined cases: a null or empty text has no paragraphs and is its own class; a text of one word or more has one at least;
+fewer than ``LINE`` words of short lines between two long ones are in no line; repeated rows are copies of each other; a
 null id is a class's smallest only if all are null; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """
@@ -77,13 +79,62 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows(hashes, min(SHINGLE, len(hashes)), _BASES[0]))
 
 
-def bands(sh: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of the signature."""
-    low = (sh[None, :] * _MULTIPLIER[:, None] + _OFFSET[:, None]).min(axis=1).reshape(BANDS, ROWS)
-    key = np.zeros(BANDS, np.uint64)
+def band_keys(low: np.ndarray) -> list[list[int]]:
+    """Signed 64-bit keys of the bands, from signatures in columns."""
+    low = low.reshape(BANDS, ROWS, -1)
+    key = np.zeros((BANDS, low.shape[2]), np.uint64)
     for k in range(ROWS):
         key = _mix(key * _BASES[1] + low[:, k])
-    return key.view(np.int64).tolist()
+    return key.T.astype(np.int64).tolist()
+
+
+def bands(sh: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each band of the signature."""
+    return band_keys((sh[None, :] * _MULTIPLIER[:, None] + _OFFSET[:, None]).min(axis=1))[0]
+
+
+def text_bands(hashes: np.ndarray, own: list[tuple[int, int]]) -> list[list[int]]:
+    """``bands`` of a text and of its disjoint, ascending (start, n) of at least ``SHINGLE`` words, in one pass."""
+    size = min(SHINGLE, len(hashes))
+    sh = windows(hashes, size, _BASES[0])
+    low = np.empty((BANDS * ROWS, len(own) + 1), np.uint64)
+    edges = np.array([x for a, n in own for x in (a, a + n - size + 1)], np.int64)
+    x = np.full(len(sh) + 1, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(BANDS * ROWS):
+        np.multiply(sh, _MULTIPLIER[k], out=x[:-1])
+        x[:-1] += _OFFSET[k]
+        low[k, 0] = x.min()
+        if own:
+            low[k, 1:] = np.minimum.reduceat(x, edges)[::2]
+    return band_keys(low)
+
+
+def ranges(sizes: list[int]) -> list[tuple[int, int]]:
+    """(start, n) in words of long lines and of short ones in a row, joined up to ``LINE`` words, from all lines' sizes.
+
+    What is left at the end of such a row belongs to its last paragraph.
+    """
+    out: list[tuple[int, int]] = []
+    at = held = 0
+    joined = False  # whether the last paragraph is of this row of short lines
+
+    def close():
+        if held and joined:
+            out[-1] = (out[-1][0], out[-1][1] + held)
+
+    for n in sizes:
+        if n >= LINE:
+            close()
+            out.append((at, n))
+            held, joined = 0, False
+        else:
+            held += n
+            if held >= LINE:
+                out.append((at + n - held, held))
+                held, joined = 0, True
+        at += n
+    close()
+    return out
 
 
 def jaccard(a: frozenset, b: frozenset) -> float:
@@ -92,10 +143,10 @@ def jaccard(a: frozenset, b: frozenset) -> float:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): (row, kind, start, n, h1, h2, line, bands, doc_id); kind 0 a line, 1 a passage, 2 the document.
+    """From (doc_id, text): (row, kind, start, n, h1, h2, line, bands, doc_id); kind 0 a line, 1 a passage, 2 the document, 3 its text.
 
-    Rows are numbered here, in one pass with what's found in them; start and n are in words. Lines have their words and
-    their band keys.
+    Rows are numbered here, in one pass with what's found in them; start and n are in words. Lines and texts
+    have their words and their band keys.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -113,19 +164,21 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
             zero = np.zeros(1, np.int64)
             for k, text in enumerate(batch.column("text").cast(pa.binary())):
-                data, at, every, own = text.as_py(), 0, [], []
+                data, every, sizes = text.as_py(), [], []
                 put(k, 2, zero, zero, zero, zero)
                 for line in data.translate(_LOWER).split(b"\n") if data else ():
                     words = line.split()
                     every += words
-                    if len(words) >= LINE:
-                        own.append((at, len(words), b" ".join(words)))
-                    at += len(words)
+                    sizes.append(len(words))
                 hashes = word_hashes(every)
-                if own:
-                    starts, sizes, plain = map(list, zip(*own, strict=True))
-                    d = np.array([(x >> 64, x & (1 << 64) - 1) for x in map(xxhash.xxh3_128_intdigest, plain)], np.uint64).view(np.int64)
-                    put(k, 0, np.array(starts), np.array(sizes), d[:, 0], d[:, 1], plain, [bands(shingles(hashes[a : a + n])) for a, n, _ in own])
+                if every:
+                    own = ranges(sizes)
+                    starts, counts = map(np.array, zip((0, len(every)), *own, strict=True))
+                    plain = [b" ".join(every[a : a + n]) for a, n in zip(starts, counts, strict=True)]
+                    # Texts have digests of their own, so that no line is taken for a text.
+                    digests = [xxhash.xxh3_128_intdigest(plain[0], 1), *map(xxhash.xxh3_128_intdigest, plain[1:])]
+                    d = np.array([(x >> 64, x & (1 << 64) - 1) for x in digests], np.uint64).view(np.int64)
+                    put(k, [3] + [0] * len(own), starts, counts, d[:, 0], d[:, 1], plain, text_bands(hashes, own))
                 first = windows(hashes, PASSAGE, _BASES[0])
                 places = selected(first, PASSAGE)
                 if len(places):
@@ -211,13 +264,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """(rows, repeats): rows (row, doc_id); repeats (row, start, n, kind, first): paragraphs of classes of several."""
     ship(docs.sparkSession)
     every = settle(paragraphs(pick(docs, doc_id=id_col, text=text_col)), "paragraphs")
-    rows, found = every.filter("kind = 2"), every.filter("kind < 2")
+    rows, found = every.filter("kind = 2"), every.filter("kind <> 2")
     equal = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
-    equal = settle(equal.filter("kind = 0 OR copies > 1"), "classes")
+    equal = settle(equal.filter("kind <> 1 OR copies > 1"), "classes")
     # A line's id is its first hash: two lines with one id would have to be equal in 64 bits of a 128-bit hash.
-    lines = equal.filter("kind = 0").select(F.col("h1").alias("id"), "copies", "first")
-    of_lines = found.filter("kind = 0")
-    keys = of_lines.select(F.col("h1").alias("id"), F.posexplode("bands").alias("band", "key")).distinct()
+    lines = equal.filter("kind <> 1").select(F.col("h1").alias("id"), "copies", "first")
+    of_lines = found.filter("kind <> 1")
+    keys = of_lines.select(F.col("h1").alias("id"), "kind", F.posexplode("bands").alias("band", "key"))
+    keys = keys.select("id", (F.col("band") + F.when(F.col("kind") == 3, BANDS).otherwise(0)).alias("band"), "key").distinct()  # texts meet texts
 
     def text_of(ids: DataFrame) -> DataFrame:
         at = lines.join(ids, "id", "left_semi").select(F.col("id"), F.col("first.row").alias("row"), F.col("first.start").alias("start"))
@@ -226,10 +280,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     near = connected_components(line_links(keys, text_of))
     classes = lines.join(near, lines["id"] == near["node"], "left").select("id", F.coalesce("component", "id").alias("class"), "copies", "first")
     whole = classes.groupBy("class").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).filter("copies > 1")
-    of_line = classes.select("id", "class").join(whole, "class").select(F.lit(0).cast("byte").alias("kind"), F.col("id").alias("h1"), "first")
+    of_line = classes.select("id", "class").join(whole, "class").select(F.col("id").alias("h1"), "first")
     of_passage = equal.filter("kind = 1").select("kind", "h1", "h2", "first")
     columns = ("row", "start", "n", "kind", "first")
-    repeats = of_lines.select("row", "start", "n", "kind", "h1").join(of_line, ["kind", "h1"]).select(*columns).unionByName(
+    repeats = of_lines.select("row", "start", "n", "kind", "h1").join(of_line, "h1").select(*columns).unionByName(
         found.filter("kind = 1").select("row", "start", "n", "kind", "h1", "h2").join(of_passage, ["kind", "h1", "h2"]).select(*columns)
     )
     return rows.select("row", "doc_id"), repeats

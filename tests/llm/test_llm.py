@@ -104,6 +104,27 @@ def test_paragraphs(docs, none):
     assert substring_dedup.assess(docs).count() == len(DOCS) and substring_dedup.assess(none).count() == 0
 
 
+def test_short_texts_and_short_lines_link(spark):
+    long = [f"w{k}" for k in range(200)]
+    near = [f"x{k}" if k % 48 == 24 else w for k, w in enumerate(long)]  # Jaccard 176 / 216, no 25 words in a row that must meet
+    lines = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    texts = ["a short copy", "A short\ncopy", "one", "one", "another one", lines(long, 7), lines(near, 7), " ".join(long[:30]), "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.assess(rows).collect()}
+    assert [got[k].class_id for k in range(7)] == [0, 0, 2, 2, 4, 5, 5]
+    assert [got[k].n_repeated for k in (0, 1, 2, 3, 4, 8, 9)] == [1, 1, 1, 1, 0, 0, 0]
+    assert [sum(got[k].n_removed for k in x) for x in ((0, 1), (2, 3))] == [1, 1]
+
+
+def test_short_lines_are_joined():
+    assert substring_dedup.ranges([25, 3, 0, 19, 5, 30, 4, 20]) == [(0, 25), (25, 27), (52, 30), (86, 20)]
+    assert substring_dedup.ranges([4, 4]) == [] and substring_dedup.ranges([]) == []
+    rng = np.random.default_rng(7)
+    for n, own in ((3, []), (70, []), (120, [(0, 25), (25, 27), (60, 60)])):
+        h = rng.integers(0, 1 << 60, n, dtype=np.uint64)
+        assert substring_dedup.text_bands(h, own) == [substring_dedup.bands(substring_dedup.shingles(h[a : a + k])) for a, k in [(0, n), *own]]
+
+
 def test_passages_always_meet():
     rng = np.random.default_rng(2)
     for _ in range(100):
