@@ -187,13 +187,21 @@ def _scan(rows: DataFrame, automaton) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document: row, doc_id, n_words, spans ([start, end) in words, merged) and items (distinct ids, sorted)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return _find(rows, _automata(benchmark, window, block_words))
+
+
+def _automata(benchmark: DataFrame, window: int, block_words: int) -> list:
+    """Broadcast automata of the blocks, one at least."""
     tests = pick(benchmark, item_id="item_id", text="text")
-    passes = [_scan(rows, spark.sparkContext.broadcast(Automaton(window).build(block))) for block in _blocks(tests, block_words)]
-    if not passes:
-        passes = [_scan(rows, spark.sparkContext.broadcast(Automaton(window).build([])))]
+    context = benchmark.sparkSession.sparkContext
+    return [context.broadcast(Automaton(window).build(b)) for b in _blocks(tests, block_words)] or [context.broadcast(Automaton(window).build([]))]
+
+
+def _find(rows: DataFrame, automata: list) -> DataFrame:
+    """``find`` from (row, doc_id, text)."""
+    passes = [_scan(rows, automaton) for automaton in automata]
     if len(passes) == 1:
         return passes[0].withColumn("items", F.array_sort(F.array_distinct("items")))
     every = passes[0]
@@ -229,47 +237,49 @@ def cut_spans(text: str, spans: list) -> str:
     return b"".join(out).decode()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit spans cut out of the text, without documents of which more than ``max_coverage`` is hit.
 
-    Other columns stay; ``n_chars``, if there, follows the text. Documents without a hit stay as they were.
+    Both go by the spans of all blocks in the text as it came. Other columns stay; ``n_chars``, if there as a long,
+    follows the text. Documents without a hit stay as they were.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    tests = pick(benchmark, item_id="item_id", text="text")
-    out = docs
-    for block in _blocks(tests, BLOCK_WORDS):
-        out = _clean_by(out, spark.sparkContext.broadcast(Automaton(window).build(block)), text_col, max_coverage)
-    return out
+    ship(docs.sparkSession)
+    plain, at = beside(docs)
+    automata = _automata(benchmark, window, block_words)
+    if len(automata) == 1:
+        return _cut(plain, docs, text_col, max_coverage, automata[0]).toDF(*docs.columns)
+    table = settle(plain.withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    found = _find(table.select("row", F.col("row").alias("doc_id"), at[text_col].alias("text")), automata)
+    hits = found.filter(F.size("spans") > 0).select("row", "spans")
+    return _cut(table.join(hits, "row", "left").drop("row"), docs, text_col, max_coverage).drop("spans").toDF(*docs.columns)
 
 
-def _clean_by(docs: DataFrame, automaton, text_col: str, max_coverage: float) -> DataFrame:
-    plain, at = beside(docs)
+def _cut(rows: DataFrame, docs: DataFrame, text_col: str, max_coverage: float, automaton=None) -> DataFrame:
+    """``rows`` of ``docs``, cut by ``automaton`` or else by their last column, ``spans``."""
     place = docs.columns.index(text_col)
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    whole = chars is not None and dict(docs.dtypes)["n_chars"] == "bigint"
+    chars = docs.columns.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
     def run(batches):
-        machine = automaton.value
         for batch in batches:
             columns = list(batch.columns)
             texts = columns[place].to_pylist()
-            sizes = columns[chars].to_pylist() if whole else None
+            sizes = columns[chars].to_pylist() if chars is not None else None
+            given = columns[-1].to_pylist() if automaton is None else None
             keep = []
             for k, text in enumerate(texts):
-                words = words_of(text.encode()) if text else []
-                spans = machine.spans(words)[0] if words else []
+                words = words_of(text.encode()) if text and (given is None or given[k]) else []
+                spans = (automaton.value.spans(words)[0] if given is None else given[k]) if words else []
                 keep.append(sum(b - a for a, b in spans) <= max_coverage * len(words))
                 if spans and keep[-1]:
                     texts[k] = cut_spans(text, spans)
-                    if whole:
+                    if sizes is not None:
                         sizes[k] = len(texts[k])
             columns[place] = pa.array(texts, columns[place].type)
-            if whole:
+            if sizes is not None:
                 columns[chars] = pa.array(sizes, columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

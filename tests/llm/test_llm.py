@@ -104,6 +104,22 @@ def test_paragraphs(docs, none):
     assert substring_dedup.assess(docs).count() == len(DOCS) and substring_dedup.assess(none).count() == 0
 
 
+def test_decontamination_cuts_by_all_blocks(spark):
+    item = lambda c, n=12: " ".join(f"{c}{k}" for k in range(n))
+    a, b, other = item("a"), item("b"), item("o", 14)
+    overlap = " ".join([*a.split()[4:], *item("c").split()[:4]])  # begins within a
+    split = " ".join(["x y z", *item("d").split()])  # only beside each other once a is cut
+    tests = spark.createDataFrame([(1, a), (2, b), (3, overlap), (4, split)], "item_id long, text string")
+    texts = [f"{a} {other} {b}", f"{other} {other} {a} c0 c1 c2 c3 end", f"{other} {other} x y z {a} {' '.join(item('d').split()[:7])} end", other, None, ""]
+    rows = spark.createDataFrame([(k, t, None if t is None else len(t)) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in decontaminate.clean(rows, tests, block_words=5).collect()}
+    want = {1: f"{other} {other}  end", 2: f"{other} {other} x y z  {' '.join(item('d').split()[:7])} end", 3: other, 4: None, 5: ""}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got.values())
+    one = {r.doc_id: tuple(r) for r in decontaminate.clean(rows, tests).collect()}
+    assert one == {k: tuple(r) for k, r in got.items()}
+
+
 def test_short_texts_and_short_lines_link(spark):
     long = [f"w{k}" for k in range(200)]
     near = [f"x{k}" if k % 48 == 24 else w for k, w in enumerate(long)]  # Jaccard 176 / 216, no 25 words in a row that must meet
