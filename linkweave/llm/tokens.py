@@ -14,6 +14,9 @@ import re
 import numpy as np
 
 REMEMBER = 1_000_000
+#: A text's parts are learned in slices of 1/``SLICES`` of the memory: a part takes at most three places, with its units,
+#: so a slice that is learned in two goes, the first of which began anew, doesn't begin anew again.
+SLICES = 4
 
 _ADJACENT = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
@@ -101,10 +104,14 @@ class Encoder:
         try:
             return start + b"".join(map(self.known.__getitem__, parts))
         except KeyError:
-            self._learn(set(parts).difference(self.known), True)
-            if not all(map(self.known.__contains__, parts)):  # the memory has just begun anew
-                self._learn(set(parts).difference(self.known), True)
-            return start + b"".join(map(self.known.__getitem__, parts))
+            ids, size = [start], max(1, REMEMBER // SLICES)
+            for at in range(0, len(parts), size):
+                some = parts[at : at + size]
+                self._learn(set(some).difference(self.known), True)
+                if not all(map(self.known.__contains__, some)):  # the memory has just begun anew
+                    self._learn(set(some).difference(self.known), True)
+                ids += map(self.known.__getitem__, some)
+            return b"".join(ids)
 
 
 _MADE: dict[str, Encoder] = {}

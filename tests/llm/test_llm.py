@@ -234,6 +234,16 @@ def test_tokens_equal_the_library(name):
         assert np.frombuffer(made(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("limit", [8, 16])
+def test_texts_with_more_parts_than_are_remembered(name, limit, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBER", limit)
+    path = tokens.vocabulary(name)
+    plain, made = Tokenizer.from_file(path), tokens.Encoder(path)
+    for text in ["some known words", "some " + " ".join(f"part{k}, of\nit." for k in range(40)) + " known words"] * 2:
+        assert np.frombuffer(made(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def ids_of(text, name, end):
     plain = Tokenizer.from_file(tokens.vocabulary(name))
     return plain.encode(text or "", add_special_tokens=False).ids + [end]
