@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps, each two shuffles, until nothing changes.
 
-Minima are aggregated (with map-side combine) and joined back, so that a hub's edges are split over tasks. Each round's
-edges are settled in the shared folder. Nodes are longs; nothing is collected but a count and a checksum.
+Minima are aggregated (with map-side combine) and joined back; the minima of nodes that hold a large part of all edges
+are broadcast, so that a hub's edges stay where they are. Each round's edges are settled in the shared folder. Nodes are
+longs; nothing is collected but counts, a checksum and fewer than ``hot.PARTS`` hubs.
 """
 
 from __future__ import annotations
@@ -9,19 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.llm.hot import join_unique
 from linkweave.runtime import settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    return join_unique(both, settle(low, "minima"), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` lead from the larger to the smaller node."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = settle(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "minima")
+    moved = join_unique(edges, low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -8,15 +8,19 @@ of ``PASSAGE`` words that begin where a window's hash is the least of ``PASSAGE`
 2 * PASSAGE - 1 words two texts share, at any place, has a passage in common, which is verified by a second hash (edit
 distance zero, 128 bits in all).
 
-Equal lines are one from the start, so copies meet no bucket twice. In a bucket each line looks for one link to each
-component met so far, and a bucket gives a spanning forest, not all pairs. Buckets of more than ``BUCKET`` distinct lines
-are worked on as pairs of blocks, in tasks of their own. Each class of linked paragraphs keeps its first (by row); others
-are removals. Documents that share a class are joined into components.
+A text is stored once, with the places, digests and band keys of its paragraphs; nothing that occurs once leaves its
+place: a bounded sieve holds back all but keys that may have a partner, and only those meet by a shuffle. Equal lines
+(128 bits) are one from the start, so copies meet no bucket twice, and of buckets with the same members one is verified.
+In a bucket each line looks for one link to each component met so far, and a bucket gives a spanning forest, not all
+pairs. A bucket of more than ``BUCKET`` distinct lines is dealt in blocks that share some ``HUBS`` of its lines; where
+these don't connect all of it, the lines outside its largest component meet all its blocks. Each class of linked
+paragraphs keeps its first (by row); others are removals. Documents that share a class are joined into components.
 
 Defined cases: a null or empty text has no paragraphs and is its own class; a text of one word or more has one at least;
-fewer than ``LINE`` words of short lines between two long ones are in no line; repeated rows are copies of each other; a
-null id is a class's smallest only if all are null; an empty table gives no rows; other columns are ignored, whatever
-their names.
+fewer than ``LINE`` words of short lines between two long ones are in no line; a very long text is one row, with memory
+in proportion to it; repeated rows are copies of each other; of equal paragraphs in one text that at its first place
+counts as first; a null id is a class's smallest only if all are null; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +28,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.llm.components import connected_components
+from linkweave.llm.hot import join_unique, sieve
 from linkweave.runtime import pick, settle, ship
 
 SHINGLE, SIMILARITY = 5, 0.8
 LINE, PASSAGE = 20, 25
 BANDS, ROWS = 6, 3
-BUCKET = 4000
+#: Distinct lines that are verified as one bucket, lines that the blocks of a larger one share, rows worked on at once.
+BUCKET, HUBS, ROWS_AT_ONCE = 4000, 8, 1000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(11)
@@ -49,25 +55,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` ** 0 … n - 1 modulo 2^64, kept from call to call up to the longest text."""
+    held = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(held) < n:
+        held = np.concatenate([held, held * (held[-1:] * np.uint64(base))])
+        _POWERS[base] = held
+    return held[:n]
+
+
+class Runs:
+    """Hashes of runs of words, from the words' hashes: a polynomial modulo 2^64, mixed, by differences of prefix sums."""
+
+    def __init__(self, hashes: np.ndarray, base: np.uint64):
+        self.base, self.n = int(base), len(hashes)
+        self.sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(hashes * _powers(pow(self.base, -1, 1 << 64), self.n), out=self.sums[1:])
+
+    def all(self, size: int) -> np.ndarray:
+        if self.n < size:
+            return np.empty(0, np.uint64)
+        return _mix((self.sums[size:] - self.sums[: self.n + 1 - size]) * _powers(self.base, self.n)[size - 1 :])
+
+    def at(self, places: np.ndarray, size: int) -> np.ndarray:
+        return _mix((self.sums[places + size] - self.sums[places]) * _powers(self.base, self.n)[places + size - 1])
+
+
 def windows(hashes: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
-    """A hash of each run of ``size`` words, from the words' hashes: a polynomial modulo 2^64, mixed."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * base + hashes[k : k + n]
-    return _mix(out)
+    """A hash of each run of ``size`` words."""
+    return Runs(hashes, base).all(size)
 
 
 def selected(h: np.ndarray, width: int) -> np.ndarray:
     """Places of the least of each ``width`` hashes in a row (the last of equals); of all, if there are fewer."""
     if not len(h):
         return np.empty(0, np.int64)
-    if len(h) <= width:
-        return np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
-    view = np.lib.stride_tricks.sliding_window_view(h, width)[:, ::-1]
-    return np.unique(np.arange(len(view)) + width - 1 - view.argmin(axis=1))
+    least, place, span = h, np.arange(len(h)), 1
+    width = min(width, len(h))
+    while span < width:
+        step = min(span, width - span)
+        right = least[step:] <= least[:-step]
+        least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+        span += step
+    return place[np.r_[True, place[1:] != place[:-1]]]
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -79,24 +112,21 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows(hashes, min(SHINGLE, len(hashes)), _BASES[0]))
 
 
-def band_keys(low: np.ndarray) -> list[list[int]]:
-    """Signed 64-bit keys of the bands, from signatures in columns."""
+def band_keys(low: np.ndarray) -> np.ndarray:
+    """Signed 64-bit keys of the bands, a row for each signature, from signatures in columns."""
     low = low.reshape(BANDS, ROWS, -1)
     key = np.zeros((BANDS, low.shape[2]), np.uint64)
     for k in range(ROWS):
         key = _mix(key * _BASES[1] + low[:, k])
-    return key.T.astype(np.int64).tolist()
+    return np.ascontiguousarray(key.T).view(np.int64)
 
 
 def bands(sh: np.ndarray) -> list[int]:
     """A signed 64-bit key for each band of the signature."""
-    return band_keys((sh[None, :] * _MULTIPLIER[:, None] + _OFFSET[:, None]).min(axis=1))[0]
+    return band_keys((sh[None, :] * _MULTIPLIER[:, None] + _OFFSET[:, None]).min(axis=1))[0].tolist()
 
 
-def text_bands(hashes: np.ndarray, own: list[tuple[int, int]]) -> list[list[int]]:
-    """``bands`` of a text and of its disjoint, ascending (start, n) of at least ``SHINGLE`` words, in one pass."""
-    size = min(SHINGLE, len(hashes))
-    sh = windows(hashes, size, _BASES[0])
+def _bands_of(sh: np.ndarray, size: int, own: list[tuple[int, int]]) -> np.ndarray:
     low = np.empty((BANDS * ROWS, len(own) + 1), np.uint64)
     edges = np.array([x for a, n in own for x in (a, a + n - size + 1)], np.int64)
     x = np.full(len(sh) + 1, np.iinfo(np.uint64).max, np.uint64)
@@ -109,6 +139,12 @@ def text_bands(hashes: np.ndarray, own: list[tuple[int, int]]) -> list[list[int]
     return band_keys(low)
 
 
+def text_bands(hashes: np.ndarray, own: list[tuple[int, int]]) -> list[list[int]]:
+    """``bands`` of a text and of its disjoint, ascending (start, n) of at least ``SHINGLE`` words, in one pass."""
+    size = min(SHINGLE, len(hashes))
+    return _bands_of(windows(hashes, size, _BASES[0]), size, own).tolist()
+
+
 def ranges(sizes: list[int]) -> list[tuple[int, int]]:
     """(start, n) in words of long lines and of short ones in a row, joined up to ``LINE`` words, from all lines' sizes.
 
@@ -142,61 +178,66 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _lists(counts: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), values)
+
+
+def _struct(**columns: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """From (doc_id, text): (row, kind, start, n, h1, h2, line, bands, doc_id); kind 0 a line, 1 a passage, 2 the document, 3 its text.
+    """From (doc_id, text), per row: row, doc_id, text (its words, in lower case, between single spaces), lines, passages.
 
-    Rows are numbered here, in one pass with what's found in them; start and n are in words. Lines and texts
-    have their words and their band keys.
+    Rows are numbered here, in one pass with what's found in them. Lines, and the whole text beside them (kind 3), have
+    start and n in words, a digest of 128 bits and band keys; passages have start and two hashes.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    none = (np.empty(0, np.int64),) * 5 + (np.empty((0, BANDS), np.int64),)
+
+    def of_text(data: bytes):
+        every, sizes = [], []
+        for line in data.translate(_LOWER).split(b"\n"):
+            words = line.split()
+            every += words
+            sizes.append(len(words))
+        if not every:
+            return b"", none, none[:3]
+        hashes, size, own = word_hashes(every), min(SHINGLE, len(every)), ranges(sizes)
+        runs = Runs(hashes, _BASES[0])
+        text = b" ".join(every)
+        # Texts have digests of their own, so that no line is taken for a text.
+        digests = [xxhash.xxh3_128_intdigest(text, 1), *(xxhash.xxh3_128_intdigest(b" ".join(every[a : a + n])) for a, n in own)]
+        d = np.array([(x >> 64, x & (1 << 64) - 1) for x in digests], np.uint64).view(np.int64)
+        at = np.array([(0, len(every)), *own], np.int64)
+        first = runs.all(PASSAGE)
+        places = selected(first, PASSAGE)
+        second = Runs(hashes, _BASES[1]).at(places, PASSAGE)
+        lines = np.array([3] + [0] * len(own)), at[:, 0], at[:, 1], d[:, 0], d[:, 1], _bands_of(runs.all(size), size, own)
+        return text, lines, (places, first[places].view(np.int64), second.view(np.int64))
 
     def run(batches):
         for batch in batches:
-            parts: list[list] = [[] for _ in range(6)]  # which of the batch, kind, start, n, h1, h2
-            lines, keys = [], []
-
-            def put(k, what, start, n, h1, h2, line=None, key=None):
-                count = len(start)
-                for column, value in zip(parts, (np.full(count, k), np.full(count, what), start, n, h1, h2), strict=True):
-                    column.append(value)
-                lines.extend(line or [None] * count)
-                keys.extend(key or [None] * count)
-
-            zero = np.zeros(1, np.int64)
-            for k, text in enumerate(batch.column("text").cast(pa.binary())):
-                data, every, sizes = text.as_py(), [], []
-                put(k, 2, zero, zero, zero, zero)
-                for line in data.translate(_LOWER).split(b"\n") if data else ():
-                    words = line.split()
-                    every += words
-                    sizes.append(len(words))
-                hashes = word_hashes(every)
-                if every:
-                    own = ranges(sizes)
-                    starts, counts = map(np.array, zip((0, len(every)), *own, strict=True))
-                    plain = [b" ".join(every[a : a + n]) for a, n in zip(starts, counts, strict=True)]
-                    # Texts have digests of their own, so that no line is taken for a text.
-                    digests = [xxhash.xxh3_128_intdigest(plain[0], 1), *map(xxhash.xxh3_128_intdigest, plain[1:])]
-                    d = np.array([(x >> 64, x & (1 << 64) - 1) for x in digests], np.uint64).view(np.int64)
-                    put(k, [3] + [0] * len(own), starts, counts, d[:, 0], d[:, 1], plain, text_bands(hashes, own))
-                first = windows(hashes, PASSAGE, _BASES[0])
-                places = selected(first, PASSAGE)
-                if len(places):
-                    second = windows(hashes, PASSAGE, _BASES[1])[places].view(np.int64)
-                    put(k, 1, places, np.full(len(places), PASSAGE), first[places].view(np.int64), second)
-            if not parts[0]:
-                continue
-            which, *columns = map(np.concatenate, parts)
-            of = pa.array(which.astype(np.int64))
-            kinds = (pa.int8(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            arrays = [pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(of), *arrays, pa.array(lines, pa.binary()), pa.array(keys, pa.list_(pa.int64())), batch.column("doc_id").take(of)],
-                names=["row", "kind", "start", "n", "h1", "h2", "line", "bands", "doc_id"],
-            )
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                made = [of_text(x.as_py() or b"") for x in some.column("text").cast(pa.binary())]
+                what, start, n, h1, h2, keys = map(np.concatenate, zip(*(x[1] for x in made), strict=True))
+                p_start, p1, p2 = map(np.concatenate, zip(*(x[2] for x in made), strict=True))
+                flat = pa.array(keys.ravel())
+                line = _struct(
+                    kind=pa.array(what.astype(np.int8)), start=pa.array(start.astype(np.int32)), n=pa.array(n.astype(np.int32)), h1=pa.array(h1), h2=pa.array(h2),
+                    bands=pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column("row"), some.column("doc_id"), pa.array([x[0] for x in made], pa.binary()), _lists([len(x[1][0]) for x in made], line),
+                        _lists([len(x[2][0]) for x in made], _struct(start=pa.array(p_start.astype(np.int32)), h1=pa.array(p1), h2=pa.array(p2))),
+                    ],
+                    names=["row", "doc_id", "text", "lines", "passages"],
+                )
 
     numbered = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
-    return numbered.mapInArrow(run, f"row long, kind byte, start int, n int, h1 long, h2 long, line binary, bands array<bigint>, doc_id {kind}")
+    return numbered.mapInArrow(run, f"row long, doc_id {kind}, text binary, lines array<struct<kind:tinyint,start:int,n:int,h1:bigint,h2:bigint,bands:array<bigint>>>, passages array<struct<start:int,h1:bigint,h2:bigint>>")
 
 
 def verify(ids: list[int], lines: list[bytes], sides: list[int]) -> list[tuple[int, int]]:
@@ -230,81 +271,125 @@ def _verify_sorted(batches):
 
     held, bucket = [], None
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("band", "key", "x", "y", "id", "line", "side")]
-        for band, key, x, y, *row in zip(*columns, strict=True):
-            if (band, key, x, y) != bucket:
+        columns = [batch.column(c).to_pylist() for c in ("bucket", "x", "y", "id", "line", "side")]
+        for key, x, y, *row in zip(*columns, strict=True):
+            if (key, x, y) != bucket:
                 if len(held) > 1:
                     yield links(held)
-                held, bucket = [], (band, key, x, y)
+                held, bucket = [], (key, x, y)
             held.append(row)
     if len(held) > 1:
         yield links(held)
 
 
+def _verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges from (bucket, x, y, id, side) and (id, line)."""
+    order = ["bucket", "x", "y"]
+    met = rows.join(texts, "id").select(*order, "id", "line", "side")
+    return met.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_verify_sorted, "a long, b long")
+
+
 def line_links(keys: DataFrame, text_of) -> DataFrame:
     """From distinct (band, key, id): edges (a, b) between lines of at least the similarity.
 
     ``text_of`` maps a table of distinct ids to (id, line); only colliding lines are asked for.
     """
-    sizes = keys.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = settle(keys.join(sizes, ["band", "key"]).withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")), "collisions")
-    met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # A block meets itself (side 2) and each other block (side 0 the lower, 1 the higher).
-    pairs = met.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", "key", "id",
-        F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"),
-        F.when(F.col("block") == F.col("with"), 2).when(F.col("block") < F.col("with"), 0).otherwise(1).alias("side"),
-    )
-    order = ["band", "key", "x", "y"]
-    texts = pairs.join(text_of(met.select("id").distinct()), "id").select(*order, "id", "line", "side")
-    return texts.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_verify_sorted, "a long, b long")
+    keys = keys.select(F.xxhash64("band", "key").alias("bucket"), "id")
+    sizes = settle(keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
+    met = settle(join_unique(sieve(keys, "bucket", sizes), sizes.withColumn("n", F.col("size")), "bucket"), "collisions")
+    # Buckets with the same members are one; a set is known by its size and two hashes.
+    sets = met.groupBy("bucket").agg(F.first("size").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("t"))
+    one = settle(sets.groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
+    met = settle(join_unique(met, one, "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")), "met")
+    texts = settle(text_of(met.select("id").distinct()), "line-texts")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "id"), F.col("size")) < HUBS)
+    inside = met.withColumn("x", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
+    edges = settle(_verified(inside.select("bucket", "x", F.col("x").alias("y"), "id", F.lit(2).alias("side")), texts), "line-links")
+    big = met.filter("blocks > 1")
+    if big.isEmpty():
+        return edges
+    # Lines outside the largest component of their bucket meet all blocks of it.
+    named = big.join(connected_components(edges), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
+    named = settle(named, "big-buckets")
+    parts = named.groupBy("bucket", "part").agg(F.count("*").alias("of"))
+    largest = settle(parts.groupBy("bucket").agg(F.max_by("part", "of").alias("most"), F.sum("of").alias("n"), F.max("of").alias("of")), "largest-parts")
+    named = join_unique(named, largest.withColumn("strips", F.ceil((F.col("n") - F.col("of")) / BUCKET).cast("int")).drop("of"), "bucket").filter("strips > 0")
+    strip = F.pmod(F.xxhash64("id"), F.col("strips")).cast("int")
+    outer = named.filter("part <> most").select("bucket", strip.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "id", F.lit(0).alias("side"))
+    every = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("x"), block.alias("y"), "id", F.lit(1).alias("side"))
+    return edges.unionByName(settle(_verified(outer.unionByName(every), texts), "line-links"))
+
+
+def _slices(batches):
+    """(id, line) from (text, starts, ns, h1s, h2s, wanted (id, h1, h2))."""
+    for batch in batches:
+        ids, out = [], []
+        for text, start, n, h1, h2, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "start", "n", "h1", "h2", "wanted")), strict=True):
+            words = text.split(b" ")
+            at = {(c, d): (a, b) for a, b, c, d in zip(start, n, h1, h2, strict=True)}
+            for x in wanted:
+                a, b = at[x["h1"], x["h2"]]
+                ids.append(x["id"])
+                out.append(b" ".join(words[a : a + b]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], names=["id", "line"])
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): rows (row, doc_id); repeats (row, start, n, kind, first): paragraphs of classes of several."""
+    """(rows, repeats): rows (row, doc_id); repeats (row, start, n, kind, c1, c2, first): paragraphs of classes of several.
+
+    (kind, c1, c2) is a class, and ``first`` the first row that has it.
+    """
     ship(docs.sparkSession)
     every = settle(paragraphs(pick(docs, doc_id=id_col, text=text_col)), "paragraphs")
-    rows, found = every.filter("kind = 2"), every.filter("kind <> 2")
-    equal = found.groupBy("kind", "h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("first"))
-    equal = settle(equal.filter("kind <> 1 OR copies > 1"), "classes")
-    # A line's id is its first hash: two lines with one id would have to be equal in 64 bits of a 128-bit hash.
-    lines = equal.filter("kind <> 1").select(F.col("h1").alias("id"), "copies", "first")
-    of_lines = found.filter("kind <> 1")
-    keys = of_lines.select(F.col("h1").alias("id"), "kind", F.posexplode("bands").alias("band", "key"))
-    keys = keys.select("id", (F.col("band") + F.when(F.col("kind") == 3, BANDS).otherwise(0)).alias("band"), "key").distinct()  # texts meet texts
+    lines = every.select("row", F.explode("lines").alias("x")).select("row", "x.*")
+    distinct = lines.groupBy("h1", "h2").agg(
+        F.count("*").alias("copies"), F.min("row").alias("row"), F.min("kind").alias("kind"), *[F.min(F.get("bands", F.lit(k))).alias(f"b{k}") for k in range(BANDS)]
+    )
+    distinct = settle(distinct.select(F.monotonically_increasing_id().alias("id"), "*"), "lines")
+    keys = distinct.select("id", "kind", F.posexplode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("band", "key"))
+    keys = keys.select("id", (F.col("band") + F.when(F.col("kind") == 3, BANDS).otherwise(0)).alias("band"), "key")  # texts meet texts
 
     def text_of(ids: DataFrame) -> DataFrame:
-        at = lines.join(ids, "id", "left_semi").select(F.col("id"), F.col("first.row").alias("row"), F.col("first.start").alias("start"))
-        return of_lines.select(F.col("h1").alias("id"), "row", "start", "line").join(at, ["id", "row", "start"]).select("id", "line")
+        wanted = distinct.select("id", "h1", "h2", "row").join(ids, "id", "left_semi").groupBy("row").agg(F.collect_list(F.struct("id", "h1", "h2")).alias("wanted"))  # of one text
+        wanted = settle(wanted, "wanted-lines")
+        texts = sieve(every.select("row", "text", *[F.col(f"lines.{c}").alias(c) for c in ("start", "n", "h1", "h2")]), "row", wanted)
+        return texts.join(wanted, "row").mapInArrow(_slices, "id long, line binary")
 
     near = connected_components(line_links(keys, text_of))
-    classes = lines.join(near, lines["id"] == near["node"], "left").select("id", F.coalesce("component", "id").alias("class"), "copies", "first")
-    whole = classes.groupBy("class").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).filter("copies > 1")
-    of_line = classes.select("id", "class").join(whole, "class").select(F.col("id").alias("h1"), "first")
-    of_passage = equal.filter("kind = 1").select("kind", "h1", "h2", "first")
-    columns = ("row", "start", "n", "kind", "first")
-    repeats = of_lines.select("row", "start", "n", "kind", "h1").join(of_line, "h1").select(*columns).unionByName(
-        found.filter("kind = 1").select("row", "start", "n", "kind", "h1", "h2").join(of_passage, ["kind", "h1", "h2"]).select(*columns)
-    )
-    return rows.select("row", "doc_id"), repeats
+    classes = distinct.select("id", "h1", "h2", "copies", "row").join(near, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "id"))
+    whole = classes.groupBy("class").agg(F.sum("copies").alias("all"), F.min("row").alias("first"), F.count("*").alias("n")).filter("all > 1")
+    whole = settle(whole.drop("all"), "line-classes")
+    of_line = settle(join_unique(sieve(classes, "class", whole), whole, "class").select("h1", F.col("h2").alias("second"), "class", "first", F.col("copies").alias("n")), "repeated-lines")
+    repeated = join_unique(sieve(lines.drop("bands"), "h1", of_line).withColumnRenamed("n", "size"), of_line, "h1").filter("h2 = second")
+    repeated = repeated.select("row", "start", F.col("size").alias("n"), "kind", F.col("class").alias("c1"), F.lit(0).cast("long").alias("c2"), "first")
+
+    passages = every.select("row", F.explode("passages").alias("x")).select("row", "x.*")
+    often = settle(passages.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1"), "passage-hashes")
+    met = settle(join_unique(sieve(passages, "h1", often), often, "h1"), "passages")
+    shared = settle(met.groupBy("h1", F.col("h2").alias("second")).agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("n > 1"), "passage-classes")
+    again = join_unique(met, shared, "h1").filter("h2 = second")
+    again = again.select("row", "start", F.lit(PASSAGE).alias("n"), F.lit(1).cast("byte").alias("kind"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first")
+    return every.select("row", "doc_id"), repeated.unionByName(again)
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_repeated and n_removed paragraphs, spans to remove (words), class_id (smallest id reachable)."""
     rows, repeats = find(docs, id_col, text_col)
     repeats = settle(repeats, "repeats")
-    first = (F.col("first.row") == F.col("row")) & (F.col("first.start") == F.col("start"))
-    per_row = repeats.groupBy("row").agg(
+    nth = F.row_number().over(Window.partitionBy("row", "kind", "c1", "c2").orderBy("start"))
+    gone = ~((F.col("first") == F.col("row")) & (F.col("nth") == 1))
+    per_row = repeats.repartition("row").withColumn("nth", nth).groupBy("row").agg(
         F.count("*").alias("n_repeated"),
-        F.sum((~first).cast("long")).alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(~first, F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("end"))))).alias("removed"),
+        F.sum(gone.cast("long")).alias("n_removed"),
+        F.array_sort(F.collect_list(F.when(gone, F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n")).alias("end"))))).alias("removed"),
     )
-    near = connected_components(repeats.select(F.col("row").alias("a"), F.col("first.row").alias("b")))
+    near = connected_components(repeats.select(F.col("row").alias("a"), F.col("first").alias("b")))
     base = settle(rows.join(near, rows["row"] == near["node"], "left").select("row", "doc_id", F.coalesce("component", "row").alias("class")), "row-classes")
-    label = base.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    label = settle(base.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "class-labels")
     zero = F.lit(0).cast("long")
     return (
-        base.join(label, "class")
+        join_unique(base, label, "class")
         .join(per_row, "row", "left")
         .select(
             "doc_id",
