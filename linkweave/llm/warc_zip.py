@@ -3,11 +3,16 @@
 Each archive has two stored members: ``archive/data.warc.gz``, in which each record is a gzip member of its own, and
 ``indexes/index.cdxj``, with a line for each record that gives its range. The reader takes the end of the file, follows
 it to the directory, finds where the stored members' bytes lie, and reads the index and then records by range; nothing is
-extracted. A payload met before is written as a revisit record, without the payload.
-
-Defined cases: a null payload counts as empty; of rows with equal payloads those with the smallest id are responses
-(several, if rows repeat) and others, null ids included, revisit it; if all their ids are null all are responses; a null
-URL gives no target header; an empty table gives no archives; other columns are ignored, whatever their names.
+extracted. The index is checked against its CRC in the directory, and records by their payloads' digests; the data
+member's CRC isn't, as it's never read as a whole. A payload met before is written as a revisit record, without the
+payload. An archive has ``ARCHIVE_BYTES`` or ``ARCHIVE_RECORDS`` at most (and one record at least), so that writer and
+reader hold a bounded index. What reaches the driver is one row for each archive.
+
+Defined cases: a null payload counts as empty; a payload is its bytes, valid UTF-8 or not; one larger than an archive's
+bytes has an archive to itself and the rest before it; of rows with equal payloads those with the smallest id are
+responses (several, if rows repeat) and others, null ids included, revisit it; if all their ids are null all are
+responses; a null URL gives no target header, and bytes of one that aren't UTF-8 are replaced; an empty table gives no
+archives; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.runtime import fresh_path, pick, ship
+from linkweave.llm.hot import join_unique, sieved
+from linkweave.runtime import fresh_path, pick, settle, ship
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of records after which a task begins another archive, and bytes read at once.
-ARCHIVE_BYTES, READ_BYTES = 1 << 30, 8 << 20
+#: Bytes and number of records after which a task begins another archive, and bytes read at once.
+ARCHIVE_BYTES, ARCHIVE_RECORDS, READ_BYTES = 1 << 30, 200_000, 8 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -103,6 +109,9 @@ class Archive:
         tail_at = max(0, size - 65_557)  # the end record and the longest comment
         tail = read(tail_at, size - tail_at)
         at = tail.rfind(b"PK\5\6")
+        # A comment may hold these bytes too: the end record is the one whose comment ends with the file.
+        while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
+            at = tail.rfind(b"PK\5\6", 0, at)
         if at < 0:
             raise ValueError("no end of a central directory")
         count, length, offset = struct.unpack_from("<HII", tail, at + 10)
@@ -145,16 +154,20 @@ class Archive:
 
     def index(self) -> Iterator[dict]:
         at, length = self.range_of(INDEX)
-        held = b""
+        held, crc = b"", 0
         for k in range(0, length, READ_BYTES):
-            *lines, held = (held + self.read(at + k, min(READ_BYTES, length - k))).split(b"\n")
+            data = self.read(at + k, min(READ_BYTES, length - k))
+            crc = zlib.crc32(data, crc)
+            *lines, held = (held + data).split(b"\n")
             yield from map(json.loads, lines)
+        if crc != self.members[INDEX][3]:
+            raise ValueError(f"{INDEX} has another CRC than the directory says")
 
     def records(self, entries=None) -> Iterator[bytes]:
         """Records of index entries (all, by default), by range; ranges that follow each other are read at once."""
         base = self.range_of(DATA)[0]
         group: list[dict] = []
-        for entry in [*self.index()] if entries is None else entries:
+        for entry in self.index() if entries is None else entries:
             if group and (entry["offset"] != group[-1]["offset"] + group[-1]["length"] or entry["offset"] + entry["length"] - group[0]["offset"] > READ_BYTES):
                 yield from self._group(base, group)
                 group = []
@@ -171,22 +184,23 @@ class Archive:
 
 
 def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, url, html) with ``first``: the smallest id of rows with the same payload, where there are several."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    shared = (
-        rows.filter(F.octet_length("html") >= least_bytes)
-        .groupBy("sha1")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-        .filter("n > 1 AND first IS NOT NULL")
-        .select("sha1", "first")
-    )
-    return rows.join(shared, "sha1", "left").select("page_id", "url", "html", "first")
+    """(page_id, url, html as bytes) with ``first``: the smallest id of rows with the same payload, where there are several.
+
+    Only rows whose payload may be shared are moved, and those of very common payloads stay in place too.
+    """
+    rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("html")).withColumn("sha1", F.sha1("html"))
+    large = F.octet_length("html") >= least_bytes
+    shared = rows.filter(large).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    shared = settle(shared, "shared-payloads")
+    marked = sieved(rows, "sha1", shared)
+    alone = marked.filter(~F.col("may")).select("page_id", "url", "html", F.lit(None).cast(dict(rows.dtypes)["page_id"]).alias("first"))
+    return alone.unionByName(join_unique(marked.filter("may"), shared, "sha1", how="left").select("page_id", "url", "html", F.when(large, F.col("first")).alias("first")))
 
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> list[str]:
     """Write archives below ``folder`` (a URI); their paths."""
     ship(pages.sparkSession)
-    rows = with_first(pick(pages, page_id=id_col, url=url_col, html=html_col), least_bytes)
+    rows = with_first(pick(pages, page_id=id_col, url=url_col, html=html_col), least_bytes).withColumn("url", F.col("url").cast("binary"))
 
     def run(batches):
         context = TaskContext.get()
@@ -209,9 +223,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     sink = fs.open_output_stream(mine)
                     writer = ArchiveWriter(sink)
                 again = first if first is not None and page != first else None
-                writer.add(page, url, record(page, f"{part}-{serial}", url, html.encode(), again))
+                url = url.decode("utf-8", "replace") if url is not None else None
+                writer.add(page, url, record(page, f"{part}-{serial}", url, html, again))
                 serial += 1
-                if writer.bytes >= ARCHIVE_BYTES:
+                if writer.bytes >= ARCHIVE_BYTES or len(writer.index) >= ARCHIVE_RECORDS:
                     yield done()
                     writer, files = None, files + 1
         if writer is not None:
