@@ -3,17 +3,21 @@
 Base findings stand alone: assignments of long values, access identifiers and long runs of hex digits. Weak candidates
 (bare keys, identifiers without a known prefix, endpoints) are reported only where complementary parts lie in the same
 scope and within reach: a key needs an identifier, an identifier needs a secret, an endpoint needs both. Parts of a
-document are joined as intervals, by their sorted starts. A scope ends at an empty line.
+document are joined as intervals, by their sorted starts and ends: those that end within reach before a part, or begin
+within reach after it. Parts that overlap never complement each other, so one value isn't taken for two parts. A scope
+ends at an empty line.
 
-Defined cases: a null text counts as empty; repeated rows are scanned each; an empty table gives no rows; other columns
-are ignored, whatever their names. Places are in code points, ends exclusive.
+Defined cases: a null text counts as empty; a very long text is scanned whole, and a part meets only what lies within
+reach; repeated rows are scanned each; an empty table gives no rows; other columns are ignored, whatever their names.
+Places are in code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,45 +50,55 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return {"assign": assign, "access": access, "hex": [m.span() for m in HEX.finditer(text)]}
 
 
-def _near(span: Span, others: list[Span], scope_at, reach: int) -> bool:
-    """Whether one of ``others``, sorted, lies within reach of ``span`` in its scope."""
-    k = bisect_left(others, span)
-    for a, b in others[max(0, k - 1) : k + 2]:
-        if (a, b) != span and max(a, span[0]) - min(b, span[1]) <= reach and scope_at(a) == scope_at(span[0]):
-            return True
-    return False
+class Parts:
+    """Intervals to be joined with others of the same scope, within reach and apart from them."""
+
+    def __init__(self, spans: list[Span], breaks: list[int], reach: int):
+        self.by_start, self.by_end = sorted(spans), sorted(spans, key=lambda x: x[1])
+        self.starts, self.ends = [x[0] for x in self.by_start], [x[1] for x in self.by_end]
+        self.breaks, self.reach = breaks, reach
+
+    def beside(self, span: Span) -> list[Span]:
+        """The parts that meet ``span``: few, as they lie within reach."""
+        start, end = span
+        before = self.by_end[bisect_left(self.ends, start - self.reach) : bisect_right(self.ends, start)]
+        after = self.by_start[bisect_left(self.starts, end) : bisect_right(self.starts, end + self.reach)]
+        scope = bisect_left(self.breaks, start)
+        return [x for x in before + after if bisect_left(self.breaks, x[0]) == scope]
+
+
+def _apart(some: list[Span], others: list[Span]) -> bool:
+    """Whether one of ``some`` and one of ``others`` don't overlap."""
+    ends, starts = (min((x[1] for x in v), default=0) for v in (some, others)), (max((x[0] for x in v), default=-1) for v in (others, some))
+    return bool(some and others) and any(a <= b for a, b in zip(ends, starts, strict=True))
 
 
 def linked_spans(text: str, base: dict[str, list[Span]], reach: int = REACH) -> dict[str, list[Span]]:
     taken = sorted(x for v in base.values() for x in v)
+    until = list(accumulate((x[1] for x in taken), max))  # base findings may overlap
 
     def free(found) -> list[Span]:
         """Those that no base finding overlaps."""
         out = []
         for m in found:
             k = bisect_left(taken, (m.end(), -1))
-            if not (k and taken[k - 1][1] > m.start()):
+            if not (k and until[k - 1] > m.start()):
                 out.append(m.span())
         return out
 
     keys = free(KEY.finditer(text))
-    secrets = sorted(base["assign"] + keys)
     none: dict[str, list[Span]] = {"key": [], "identifier": [], "endpoint": []}
-    if not secrets:
+    if not base["assign"] and not keys:
         return none
     identifiers = free(IDENTIFIER.finditer(text))
-    ids = sorted(base["access"] + identifiers)
-    if not ids:
+    if not base["access"] and not identifiers:
         return none
     breaks = [m.start() for m in BLANK.finditer(text)]
-
-    def scope_at(at: int) -> int:
-        return bisect_left(breaks, at)
-
-    kept_keys = [x for x in keys if _near(x, ids, scope_at, reach)]
-    kept_ids = [x for x in identifiers if _near(x, secrets, scope_at, reach)]
-    secrets, ids = sorted(base["assign"] + kept_keys), sorted(base["access"] + kept_ids)
-    ends = [x for x in free(ENDPOINT.finditer(text)) if _near(x, secrets, scope_at, reach) and _near(x, ids, scope_at, reach)]
+    ids, secrets = (Parts(x, breaks, reach) for x in (base["access"] + identifiers, base["assign"] + keys))
+    kept_keys = [x for x in keys if ids.beside(x)]
+    kept_ids = [x for x in identifiers if secrets.beside(x)]
+    ids, secrets = (Parts(x, breaks, reach) for x in (base["access"] + kept_ids, base["assign"] + kept_keys))
+    ends = [x for x in free(ENDPOINT.finditer(text)) if _apart(secrets.beside(x), ids.beside(x))]
     return {"key": kept_keys, "identifier": kept_ids, "endpoint": ends}
 
 
