@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
-Defined cases: a null text has no words and is rejected, like an empty one; repeated rows are judged alike; columns of
-the input whose names clash with ours don't matter, as only the named text column is read.
+Defined cases: a null text has no words and is rejected, like an empty one; a very long text is judged whole, its words
+held at once; repeated rows are judged alike; an empty table gives no rows; columns of the input whose names clash with
+ours don't matter, as only the named text column is read.
 """
 
 from __future__ import annotations
@@ -29,20 +30,25 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document fails if ``measure`` leaves [low, high], judged only where it has at least ``from_words`` words."""
+    """A document fails if ``measure`` leaves [low, high].
+
+    It's judged only where it has ``from_words`` words at least, and ``most_bytes`` bytes for each character at most.
+    """
 
     name: str
     measure: str
     low: float | None = None
     high: float | None = None
     from_words: int = 0
+    most_bytes: float | None = None
 
 
-#: Lengths, symbols, stop words and lines. Ratios are per word or per line with a word.
+#: Lengths, symbols, stop words and lines. Ratios are per word or per line with a word. The stop words are those of
+#: languages in Latin letters, so texts mostly in other letters (two bytes or more each) aren't judged by them.
 RULES = (
     Rule("word length", "mean_word_chars", 2.0, 16.0),
     Rule("symbols per word", "symbol_ratio", None, 0.3),
-    Rule("stop words per word", "stop_ratio", 0.005, None, from_words=200),
+    Rule("stop words per word", "stop_ratio", 0.005, None, from_words=200, most_bytes=1.3),
     Rule("repeated lines", "dup_line_ratio", None, 0.5),
     Rule("marks of shouting per word", "shout_ratio", None, 0.5),
 )
@@ -96,6 +102,8 @@ def measures(text: Column) -> Column:
             _repeat_words(w).alias("n_repeat_words"),
             F.size(ln).cast("long").alias("n_lines"),
             without("!").cast("long").alias("n_shouts"),
+            F.length(text).cast("long").alias("n_chars"),
+            F.octet_length(text).cast("long").alias("n_bytes"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop"),
         )
 
@@ -130,7 +138,11 @@ def failures(m: Column, rules=RULES) -> list[Column]:
         bad = [values[rule.measure] < rule.low] if rule.low is not None else []
         bad += [values[rule.measure] > rule.high] if rule.high is not None else []
         failed = reduce(Column.__or__, bad, F.lit(False))
-        out.append((failed & (m["n_words"] >= rule.from_words)) if rule.from_words else failed)
+        if rule.from_words:
+            failed = failed & (m["n_words"] >= rule.from_words)
+        if rule.most_bytes is not None:
+            failed = failed & (m["n_bytes"] <= rule.most_bytes * m["n_chars"])
+        out.append(failed)
     return out
 
 
@@ -180,14 +192,15 @@ m AS (
          coalesce(n, 0) AS n_repeat_words,
          len(ln) AS n_lines,
          length(t) - length(replace(t, '!', '')) AS n_shouts,
-         len(list_filter(w, lambda x: list_contains([{stop}], lower(x)))) AS n_stop
+         len(list_filter(w, lambda x: list_contains([{stop}], lower(x)))) AS n_stop,
+         length(t) AS n_chars, strlen(t) AS n_bytes
   FROM d LEFT JOIN p USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed
             OR word_chars < 2.0 * n_words OR word_chars > 16.0 * n_words
             OR n_symbols > 0.3 * n_words
-            OR (n_words >= 200 AND n_stop < 0.005 * n_words)
+            OR (n_words >= 200 AND n_bytes <= 1.3 * n_chars AND n_stop < 0.005 * n_words)
             OR (n_lines > 0 AND n_dup_lines > 0.5 * n_lines)
             OR n_shouts > 0.5 * n_words) AS kept,
        n_lines, n_shouts, n_stop
