@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,14 @@ PACKAGE = Path(__file__).resolve().parent
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
+
+    Only a local session may have one of its own; on a cluster executors would each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = getattr(spark.sparkContext, "_linkweave_root", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="linkweave-")
@@ -26,7 +34,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/linkweave/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/linkweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this session has settled or written below the shared folder.
+
+    Results are read from it lazily, so it's the caller who knows when: once results are written elsewhere, or at the end.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/linkweave/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +66,11 @@ def ship(spark: SparkSession) -> None:
     context._linkweave_shipped = True
 
 
+def by_value(module: str) -> None:
+    """Send a module's functions to executors whole, so that column functions work where the package isn't installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select columns by exact name (the first of several), so that others whose names clash don't matter.
 
