@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkweave.functions.similarity import token_set_ratio
+from linkweave.runtime import by_value
+
+
+by_value(__name__)
+
 
 def exclusive(pairs: DataFrame) -> DataFrame:
     """Each target stays with its best s1, ties by the smaller."""
@@ -83,6 +89,20 @@ def same_address_boost(pairs: DataFrame, lift: float = 0.5, alike: float = 80.0)
     return pairs.withColumn("p", F.when(near, lift + (1 - lift) * F.col("p")).otherwise(F.col("p")))
 
 
+def mark_same_address(pairs: DataFrame, first: DataFrame, targets: DataFrame) -> DataFrame:
+    """``pairs`` (s1, src, tgt, …) with same_addr and name_sim, from first (id, addr_n, name_f) and targets (src, id, …).
+
+    Records are joined by the pair's keys and held against each other by a residual condition: equal addresses that
+    aren't empty. Only names of those are compared; other pairs have name_sim 0.
+    """
+    a = first.select(F.col("id").alias("s1"), F.col("addr_n").alias("_a1"), F.col("name_f").alias("_n1"))
+    b = targets.select("src", F.col("id").alias("tgt"), F.col("addr_n").alias("_a2"), F.col("name_f").alias("_n2"))
+    key = ["s1", "src", "tgt"]
+    same = pairs.select(*key).distinct().join(a, "s1").join(b, ["src", "tgt"]).filter((F.col("_a1") == F.col("_a2")) & (F.col("_a1") != ""))
+    same = same.select(*key, F.lit(True).alias("same_addr"), token_set_ratio(F.col("_n1"), F.col("_n2")).alias("name_sim"))
+    return pairs.join(same, key, "left").fillna(False, ["same_addr"]).fillna(0.0, ["name_sim"])
+
+
 def replace_groups(decided: DataFrame, again: DataFrame, groups: list[str], key: str = "country") -> DataFrame:
     """Rows of ``groups`` from ``again``, others as they were."""
     return decided.filter(~F.col(key).isin(groups)).unionByName(again.filter(F.col(key).isin(groups)))

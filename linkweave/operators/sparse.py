@@ -5,10 +5,13 @@ Groups (countries) are part of every key; nothing is a matrix and nothing reache
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.runtime import let
+from linkweave.runtime import let, settle
+
+#: Targets of a group that may have a token before it's dropped, and pairs of a token that one task works off.
+MAX_DF, PAIRS = 20000, 1 << 22
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -16,20 +19,28 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("grp", "id", F.explode("tokens").alias("token")).groupBy("grp", "id", "token").agg(F.count("*").alias("tf"))
 
 
+def _with_mark(tokens) -> Column:
+    """Distinct tokens and the empty one, which no text has: its frequency is the number of documents."""
+    return F.explode(F.concat(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))), F.array(F.lit("")))).alias("token")
+
+
 def document_frequency(docs: DataFrame) -> DataFrame:
-    """From (grp, id, tokens): (grp, token, df, n, share); n counts the group's documents."""
-    n = docs.groupBy("grp").agg(F.count("*").alias("n"))
-    df = docs.select("grp", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("grp", "token").agg(F.count("*").alias("df"))
-    return df.join(n, "grp").withColumn("share", F.col("df") / F.col("n"))
+    """From (grp, id, tokens): (grp, token, df, n, share); n counts the group's documents. Texts are read once."""
+    counts = settle(docs.select("grp", _with_mark(F.col("tokens"))).groupBy("grp", "token").agg(F.count("*").alias("df")), "token-counts")
+    n = counts.filter("token = ''").select("grp", F.col("df").alias("n"))
+    return counts.filter("token <> ''").join(n, "grp").withColumn("share", F.col("df") / F.col("n"))
 
 
-def idf(docs: DataFrame, max_share: float = 1.0) -> DataFrame:
-    """(grp, token, idf) of tokens in at most ``max_share`` of a group's documents: ln((1+n)/(1+df)) + 1.
+def _idf(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
 
-    Dropping frequent tokens bounds the token join; at 100 TB it must be well below 1.
-    """
-    found = document_frequency(docs).filter(F.col("df") <= F.greatest(F.lit(1), F.col("n") * max_share))
-    return found.select("grp", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+def idf(docs: DataFrame, max_df: int | None = None) -> DataFrame:
+    """(grp, token, idf) of tokens in at most ``max_df`` of a group's documents: ln((1+n)/(1+df)) + 1."""
+    found = document_frequency(docs)
+    if max_df is not None:
+        found = found.filter(F.col("df") <= max_df)
+    return found.select("grp", "token", _idf(F.col("n"), F.col("df")).alias("idf"))
 
 
 def weights(docs: DataFrame, idf_of: DataFrame) -> DataFrame:
@@ -39,11 +50,35 @@ def weights(docs: DataFrame, idf_of: DataFrame) -> DataFrame:
     return w.select("grp", "id", "token", (F.col("w") / norm).alias("w"))
 
 
+def fitted(first: DataFrame, targets: DataFrame, max_df: int = MAX_DF, most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Weights (grp, id, token, w, strips) of both sides, by the targets' frequencies of tokens in at most ``max_df`` of them.
+
+    Texts are read and counted once. ``strips`` tells in how many parts a token's pairs are worked off, of ``most`` each:
+    a posting list has ``max_df`` targets at most, but any number of first entities may have its token.
+    """
+    side = lambda df, k: df.select("grp", F.lit(k).alias("side"), "id", "tokens")
+    tall = side(first, 1).unionByName(side(targets, 2)).select("grp", "side", "id", F.explode("tokens").alias("token"))
+    counts = settle(tall.groupBy("grp", "side", "id", "token").agg(F.count("*").alias("tf")), "term-counts")
+    n = targets.groupBy("grp").agg(F.count("*").alias("n"))
+    df = counts.groupBy("grp", "token").agg(F.count_if(F.col("side") == 1).alias("qf"), F.count_if(F.col("side") == 2).alias("df"))
+    known = df.filter(F.col("df").between(1, max_df)).join(n, "grp").select(
+        "grp", "token", _idf(F.col("n"), F.col("df")).alias("idf"), F.greatest(F.lit(1), F.ceil(F.col("qf") * F.col("df") / most)).cast("int").alias("strips")
+    )
+    w = counts.join(known, ["grp", "token"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("grp", "side", "id")))
+    out = settle(w.select("grp", "side", "id", "token", (F.col("w") / norm).alias("w"), "strips"), "weights")
+    return out.filter("side = 1").drop("side"), out.filter("side = 2").drop("side")
+
+
 def similarity(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """From weights of both sides: (grp, q, d, score) of pairs that share a token."""
-    q = queries.select("grp", F.col("id").alias("q"), "token", F.col("w").alias("wq"))
-    d = targets.select("grp", F.col("id").alias("d"), "token", F.col("w").alias("wd"))
-    return q.join(d, ["grp", "token"]).groupBy("grp", "q", "d").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+    """From weights of both sides: (grp, q, d, score) of pairs that share a token. Sums begin before the shuffle.
+
+    With ``strips`` (of ``fitted``) a token's queries are dealt over so many tasks, and its targets go to each.
+    """
+    strips = F.col("strips") if "strips" in queries.columns else F.lit(1)
+    q = queries.select("grp", F.col("id").alias("q"), "token", F.col("w").alias("wq"), F.pmod(F.xxhash64("id"), strips).cast("int").alias("strip"))
+    d = targets.select("grp", F.col("id").alias("d"), "token", F.col("w").alias("wd"), F.explode(F.sequence(F.lit(0), strips - 1)).alias("strip"))
+    return q.join(d, ["grp", "token", "strip"]).groupBy("grp", "q", "d").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, least: float = 1e-6) -> DataFrame:
@@ -62,14 +97,19 @@ def pair_cosine(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> Dat
 
 def _latin(docs: DataFrame) -> DataFrame:
     """Without documents of other scripts, and without tokens of digits alone."""
-    kept = docs.filter(F.array_join("tokens", " ").rlike(r"^[\x00-\x7FÀ-ɏ\s]*$"))
-    return kept.withColumn("tokens", F.filter("tokens", lambda t: ~t.rlike("^[0-9]+$")))
+    text = F.array_join("tokens", " ")
+    kept = docs.filter((F.octet_length(text) == F.length(text)) | text.rlike(r"^[\x00-\x7FÀ-ɏ\s]*$"))
+    return kept.withColumn("tokens", F.filter("tokens", lambda t: F.translate(t, "0123456789", "") != ""))
 
 
 def _shares(first: DataFrame, targets: DataFrame) -> DataFrame:
-    a = document_frequency(_latin(first)).select("grp", "token", F.col("share").alias("f1"))
-    b = document_frequency(_latin(targets)).select("grp", "token", F.col("share").alias("f2"))
-    return a.join(b, ["grp", "token"], "full").fillna(1e-6, ["f1", "f2"])
+    """(grp, token, f1, f2): shares of the documents of both sides, in one pass over them."""
+    side = lambda df, k: _latin(df).select("grp", F.lit(k).alias("side"), _with_mark(F.col("tokens")))
+    count = lambda k: F.count_if(F.col("side") == k)
+    counts = settle(side(first, 1).unionByName(side(targets, 2)).groupBy("grp", "token").agg(count(1).alias("c1"), count(2).alias("c2")), "token-counts")
+    n = counts.filter("token = ''").select("grp", F.col("c1").alias("n1"), F.col("c2").alias("n2"))
+    share = lambda k: F.when(F.col(f"c{k}") > 0, F.col(f"c{k}") / F.col(f"n{k}")).otherwise(1e-6).alias(f"f{k}")
+    return counts.filter("token <> ''").join(n, "grp").select("grp", "token", share(1), share(2))
 
 
 def fillers(first: DataFrame, targets: DataFrame, least: float = 0.001, times: float = 1.8) -> DataFrame:
