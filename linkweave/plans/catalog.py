@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as sim
+from linkweave.functions import tables
 from linkweave.functions import text as tx
 from linkweave.operators import adapt, blocking, context, decide, dense, evaluate, features, learn, records, sparse, validate
 from linkweave.runtime import fresh_path
@@ -92,24 +93,90 @@ def numbers_and_zip(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.array_join(n, " ").alias("nums"), tx.zip_of(n).alias("zip"))
 
 
-def _name_tokens(c):
-    return tx.name_tokens(F.col(c))
-
-
-@query()
+#: Raw names and addresses as they come, made of parts: legal forms, aliases, domains, web sites, phones, regions, states.
+#: The text is SQL that both engines read.
+_RAW_NAME = """CASE p_partkey % 13 WHEN 0 THEN p_name || ' Private Limited' WHEN 1 THEN 'M/s ' || p_name || ' Trading'
+  WHEN 2 THEN p_name || ' Ltd doing business as New ' || p_name || ' Services Inc' WHEN 3 THEN p_name || ' | www.' || replace(p_name, ' ', '') || '.com (ID: ' || p_partkey || ')'
+  WHEN 4 THEN replace(p_name, ' ', '') || '.co.in' WHEN 5 THEN p_name || ' +91 98765-43210' WHEN 6 THEN 'L.L.C. ' || p_name || ' & Sons Limited Limited'
+  WHEN 7 THEN 'The Of' WHEN 8 THEN 'Old ' || p_name || ' Pvt d/b/a ' WHEN 9 THEN upper(p_name) || ' S.A.R.L. f/k/a Société ' || p_name
+  WHEN 10 THEN 'https://www.' || replace(p_name, ' ', '') || '.org' WHEN 11 THEN 'Sainte ' || p_name || ' n16 House Number 4 Formerly Known As Ste ' || p_brand || ' LLP' ELSE NULL END"""
+_RAW_ADDRESS = """CASE p_partkey % 11 WHEN 0 THEN p_partkey || 'b Main Street, sector5' WHEN 1 THEN 'N° ' || (p_partkey % 90 + 1) || ' Rue de la Paix, 59000 Lille, Nord'
+  WHEN 2 THEN 'House No ' || p_partkey || ', MG Road, Mumbai, Maharashtra 400001' WHEN 3 THEN 'Post Office Box 12, New York, New York 10001-2345'
+  WHEN 4 THEN '28 B Quai St Michel, Île-de-France' WHEN 5 THEN 'Door No 5, P O Nagar, West Bengal, 0' || p_partkey WHEN 6 THEN p_partkey || ' Hauts-de-France Avenue, Texas'
+  WHEN 7 THEN '12 T Crs Foch App 3, Bouches-du-Rhône' WHEN 8 THEN 'Flat 3 Apartment ' || p_partkey || ', Tamil Nadu 600 001' WHEN 9 THEN '  ' ELSE NULL END"""
+
+
+def _map_sql(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+def _list_sql(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _phrases_sql(c: str) -> str:
+    for pattern, to in tables.PHRASES:
+        c = f"regexp_replace({c}, '{pattern[:-6]}([0-9])', '{to}\\1', 'g')" if pattern.endswith(r"(?=\d)") else f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+    return c
+
+
+def _names_sql(source: str) -> str:
+    """CTEs up to ``names`` (id, raw, name_n, name_c, legal, name_alt, is_dom, tokens) from ``source`` (id, raw)."""
+    alias = tables.ALIAS.removeprefix("(?i)")
+    return f"""j AS (SELECT id, raw, trim(regexp_replace(regexp_replace(coalesce(raw, ''), '{tables.JUNK}', ' ', 'g'), '{tables.PHONE}', ' ', 'g'), ' |') AS j FROM {source}),
+nd AS (SELECT id, raw, regexp_matches(j, '{tables.DOMAIN}') AS is_dom, CASE WHEN regexp_matches(j, '{tables.DOMAIN}') THEN regexp_extract(j, '{tables.DOMAIN}', 1) ELSE j END AS named FROM j),
+sp AS (SELECT *, regexp_extract(named, '(?is)^(.*?){alias}(.*)$', 1) AS l, regexp_extract(named, '(?is)^(.*?){alias}(.*)$', 2) AS r FROM nd),
+si AS (SELECT id, 0 AS part, CASE WHEN trim(r) <> '' THEN r ELSE named END AS s FROM sp UNION ALL SELECT id, 1, CASE WHEN trim(r) <> '' THEN l ELSE '' END FROM sp),
+ph AS (SELECT id, part, {_TOK.format(_phrases_sql(_base_sql('s')))} AS t FROM si),
+mi AS (SELECT id, part, CASE WHEN len(t) = 0 THEN [] ELSE string_split({_MERGED_SQL.format(t='t')}, ' ') END AS t FROM ph),
+mp AS (SELECT id, part, list_transform(t, lambda x: coalesce({_map_sql(tables.NAME_WORDS)}[x], x)) AS t FROM mi),
+ms AS (SELECT id, part, CASE WHEN len(t) > 1 AND t[1] = 'ms' THEN t[2:] ELSE t END AS t FROM mp),
+co AS (SELECT id, part, list_filter(t, lambda x, i: i = 1 OR x <> t[i - 1]) AS t FROM ms),
+cr AS (SELECT id, part, t, list_filter(t, lambda x: NOT list_contains({_list_sql(tables.NAME_DROP)}, x)) AS c FROM co),
+names AS (SELECT sp.id, raw, array_to_string(a.t, ' ') AS name_n, array_to_string(CASE WHEN len(a.c) = 0 THEN a.t ELSE a.c END, ' ') AS name_c,
+  array_to_string(list_sort(list_distinct(list_filter(a.t, lambda x: list_contains({_list_sql(tables.LEGAL)}, x)))), ' ') AS legal, array_to_string(b.c, ' ') AS name_alt, is_dom, a.t AS tokens
+  FROM sp JOIN cr a ON a.id = sp.id AND a.part = 0 JOIN cr b ON b.id = sp.id AND b.part = 1)"""
+
+
+def _addresses_sql(source: str) -> str:
+    """CTEs up to ``addrs`` (id, tokens, nums, zip, addr_n, addr_fr) from ``source`` (id, raw)."""
+    plain = "lower(strip_accents(trim(x)))"
+    key = f"trim(regexp_replace({plain}, '[\\s\\-''’.]+', ' ', 'g'))"
+    regions = "b"
+    for name, code in sorted(tx._REGION_CODES.items(), key=lambda kv: -len(kv[0])):
+        regions = f"regexp_replace({regions}, '\\b{name}\\b', '{code}', 'g')"
+    states = _phrases_sql(regions)
+    for name, code in sorted(tx._STATE_PHRASES.items(), key=lambda kv: -len(kv[0])):
+        states = f"regexp_replace({states}, '\\b{name}\\b', '{code}', 'g')"
+    admin = ", ".join("'" + k.replace("'", "''") + "': '" + v.replace("'", "''") + "'" for k, v in tx.ADMIN.items())
+    digits = "regexp_full_match({}, '[0-9]+')"
+    return f"""ca AS (SELECT id, array_to_string(list_transform(string_split(coalesce(raw, ''), ','), lambda x: coalesce(MAP {{{admin}}}[{key}], trim(x))), ', ') AS c FROM {source}),
+cb AS (SELECT id, {_base_sql('c')} AS b FROM ca),
+cs AS (SELECT id, regexp_replace(regexp_replace({states}, '([0-9])([a-z])', '\\1 \\2', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g') AS s FROM cb),
+ct AS (SELECT id, list_transform(list_filter(string_split(s, ' '), lambda x: x <> '' AND NOT list_contains({_list_sql(tables.ADDRESS_DROP)}, x)), lambda x: coalesce({_map_sql(tx._ADDRESS_WORDS)}[x], x)) AS t FROM cs),
+cn AS (SELECT id, t, list_filter(t, lambda x: {digits.format('x')}) AS n, list_filter(t, lambda x, i: NOT (x = 'no' AND {digits.format("coalesce(t[i + 1], '')")})) AS k FROM ct),
+addrs AS (SELECT id, t AS tokens, n AS numbers, array_to_string(t, ' ') AS addr_n, array_to_string(n, ' ') AS nums, coalesce(list_filter(n, lambda x: length(x) >= 5)[-1], '') AS zip,
+  array_to_string(list_transform(list_transform(k, lambda x, i: CASE WHEN x IN ('b', 't') AND i > 1 AND {digits.format('k[i - 1]')} THEN CASE x WHEN 'b' THEN 'bis' ELSE 'ter' END ELSE x END), lambda x: coalesce({_map_sql(tables.FRENCH_WORDS)}[x], x)), ' ') AS addr_fr FROM cn)"""
+
+
+_RAW = f"rn AS (SELECT p_partkey AS id, {_RAW_NAME} AS raw FROM part), ra AS (SELECT p_partkey AS id, {_RAW_ADDRESS} AS raw FROM part)"
+
+
+def _raw(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_RAW_NAME).alias("name"), F.expr(_RAW_ADDRESS).alias("address"), "p_brand")
+
+
+@query(f"WITH {_RAW}, {_names_sql('rn')} SELECT id, raw, name_n, name_c, legal, name_alt, is_dom FROM names")
 def name_fields(spark, sf_dir):
-    """A business name's canonical words, core, legal forms, alternative name."""
-    names = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("raw")).unionByName(
-        _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("raw"))
-    )
-    return names.select("id", "raw", tx.name_fields(F.col("raw")).alias("f")).select("id", "raw", "f.*")
+    """A business name's canonical words, core, legal forms, alternative name, domain."""
+    return _raw(spark, sf_dir).select("id", F.col("name").alias("raw"), tx.name_fields(F.col("name")).alias("f")).select("id", "raw", "f.*")
 
 
-@query()
+@query(f"WITH {_RAW}, {_addresses_sql('ra')} SELECT id, addr_n, nums, zip, addr_fr FROM addrs")
 def address_fields(spark, sf_dir):
     """An address's canonical words, numbers, post code; French conventions beside them."""
-    rows = _read(spark, sf_dir, "pages").select("page_id", tx.address_fields(F.col("url")).alias("f"), tx.french_address(tx.address_tokens(F.col("url"))).alias("fr"))
-    return rows.select("page_id", "f.*", F.array_join("fr", " ").alias("addr_fr"))
+    rows = _raw(spark, sf_dir).select("id", tx.address_fields(F.col("address")).alias("f"), tx.french_address(tx.address_tokens(F.col("address"))).alias("fr"))
+    return rows.select("id", "f.*", F.array_join("fr", " ").alias("addr_fr"))
 
 
 _SKEL = "x"
@@ -127,7 +194,7 @@ q AS (SELECT raw, CASE WHEN regexp_full_match(raw, '[0-9]+') THEN raw ELSE
 SELECT doc_id, string_agg(z, ' ' ORDER BY i) AS skeleton FROM w JOIN q USING (raw) GROUP BY doc_id""")
 def skeleton(spark, sf_dir):
     """consonant skeletons of whole texts."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.skeleton(tx.tokens(tx.base(F.col("text")))), " ").alias("skeleton"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", tx.skeleton_text(tx.base(F.col("text"))).alias("skeleton"))
     return docs.filter("skeleton <> ''")
 
 
@@ -146,17 +213,42 @@ def char_grams(spark, sf_dir):
     return _read(spark, sf_dir, "part").select(F.explode(tx.char_grams(tx.base(F.col("p_name")))).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
 
-@query()
+def _skeleton_sql(word: str) -> str:
+    x = f"CASE WHEN regexp_matches({word}, '[0-9]') AND regexp_matches({word}, '[a-z]') THEN translate({word}, '0134578', 'oleastb') ELSE {word} END"
+    for pattern, to in (("ph", "f"), ("[ckq]", "k"), ("w", "v"), ("z", "j"), ("x", "ks")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    cut = f"list_transform([{x}], lambda y: substr(y, 1, 1) || regexp_replace(substr(y, 2), '[aeiouyh]', '', 'g'))"
+    once = f"list_transform({cut}, lambda y: array_to_string(list_transform(range(1, length(y) + 1), lambda i: CASE WHEN i > 1 AND substr(y, i, 1) = substr(y, i - 1, 1) THEN '' ELSE substr(y, i, 1) END), ''))[1]"
+    return f"CASE WHEN regexp_full_match({word}, '[0-9]+') THEN {word} ELSE {once} END"
+
+
+_STRIP_SQL = "CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE ltrim(x, '0') END"
+
+
+@query(f"""WITH {_RAW}, {_names_sql('rn')}, {_addresses_sql('ra')},
+b AS (SELECT n.id, string_split(name_c, ' ') AS n0, a.tokens AS a, numbers AS d, zip FROM names n JOIN addrs a USING (id)),
+c AS (SELECT *, list_filter(n0, lambda x: x <> '') AS n, list_filter(a, lambda x: NOT regexp_full_match(x, '[0-9]+')) AS w, list_transform(d, lambda x: {_STRIP_SQL}) AS z FROM b),
+e AS (SELECT *, list_transform(n, lambda x: {_skeleton_sql('x')}) AS k FROM c),
+t AS (SELECT 2 AS version, unnest(list_concat(list_concat(list_transform(n, lambda x: 'n:' || x), list_transform(k, lambda x: 'k:' || x)), list_concat(list_concat(list_transform(w, lambda x: 'a:' || x), list_transform(z, lambda x: 'd:' || x)),
+    CASE WHEN len(z) = 0 THEN [] ELSE list_transform(list_filter(w, lambda x: length(x) >= 3), lambda x: 'hs:' || z[1] || '_' || x) END))) AS token FROM e
+  UNION ALL SELECT 1, unnest(list_concat(list_concat(list_transform(n, lambda x: 'n:' || x), list_transform(k, lambda x: 'k:' || x)), list_concat(list_transform(a, lambda x: 'a:' || x), list_concat(
+    CASE WHEN len(d) = 0 THEN [] ELSE ['h:' || d[1] || '_' || coalesce(list_filter(a, lambda x: regexp_full_match(x, '[a-z]{{3,}}'))[1], '')] END, CASE WHEN zip = '' THEN [] ELSE ['z:' || zip, 'nz:' || coalesce(n[1], '') || '_' || zip] END)))) FROM e)
+SELECT version, token, count(*) AS n FROM t GROUP BY 1, 2""")
 def typed_tokens(spark, sf_dir):
-    """typed blocking tokens, with how often each occurs."""
-    rows = _read(spark, sf_dir, "pages").select(_name_tokens("url").alias("n"), tx.address_tokens(F.col("url")).alias("a"))
-    tokens = rows.select(F.explode(tx.typed_tokens(F.col("n"), tx.skeleton(F.col("n")), F.col("a"))).alias("token"))
-    return tokens.groupBy("token").agg(F.count("*").alias("n"))
+    """typed blocking tokens of both versions, with how often each occurs."""
+    fields = _raw(spark, sf_dir).select(tx.name_fields(F.col("name")).alias("f"), tx.address_tokens(F.col("address")).alias("a"))
+    rows = fields.select(tx.tokens(F.col("f.name_c")).alias("n"), "a").withColumns({"k": tx.skeleton(F.col("n")), "d": tx.numbers(F.col("a"))})
+    one = tx.typed_tokens_v1(F.col("n"), F.col("k"), F.col("a"), F.col("d"), tx.zip_of(F.col("d")))
+    two = tx.typed_tokens(F.col("n"), F.col("k"), F.col("a"))
+    of = lambda v, t: F.transform(t, lambda x: F.struct(F.lit(v).alias("version"), x.alias("token")))
+    both = F.explode(F.concat(of(1, one), of(2, two))).alias("x")
+    return rows.select(both).groupBy("x.version", "x.token").agg(F.count("*").alias("n"))
 
 
 # ---- sparse retrieval ------------------------------------------------------------------------------------------------
 
-_MAX_SHARE = 0.2
+#: Targets of a language that a token may be in. The operator's default suits names; whole texts share far more words.
+_MAX_DF = 50
 
 
 def _docs(spark, sf_dir):
@@ -207,22 +299,21 @@ def excess_fillers(spark, sf_dir):
 
 
 _WEIGHTS = f"""{_D}, {_df_sql("source <> 'src0'", 'f')},
-i AS (SELECT grp, token, ln((1 + n) / (1 + df)) + 1 AS idf FROM f WHERE df <= greatest(1, n * {_MAX_SHARE})),
+i AS (SELECT grp, token, ln((1 + n) / (1 + df)) + 1 AS idf FROM f WHERE df <= {_MAX_DF}),
 tf AS (SELECT source, grp, id, token, count(*) AS tf FROM (SELECT source, grp, id, unnest(tokens) AS token FROM d) GROUP BY ALL),
 w0 AS (SELECT source, grp, id, token, (1 + ln(tf)) * idf AS w FROM tf JOIN i USING (grp, token)),
 w AS (SELECT source, grp, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM w0)"""
 
 
 def _weights(spark, sf_dir):
-    first, targets = _sides(spark, sf_dir)
-    of = sparse.idf(targets, _MAX_SHARE)
-    return sparse.weights(first, of), sparse.weights(targets, of)
+    return sparse.fitted(*_sides(spark, sf_dir), _MAX_DF)
 
 
-@query(f"WITH {_WEIGHTS} SELECT grp, id, token, round(w, 6) AS w FROM w WHERE source = 'src0'")
+@query(f"WITH {_WEIGHTS} SELECT grp, id, token, round(w, 6) AS w FROM w")
 def tfidf_weights(spark, sf_dir):
-    """Normalised weights of the first source, by the targets' frequencies."""
-    return _weights(spark, sf_dir)[0].withColumn("w", _r("w"))
+    """Normalised weights of both sides, by the targets' frequencies."""
+    first, targets = _weights(spark, sf_dir)
+    return first.unionByName(targets).select("grp", "id", "token", _r("w", "w"))
 
 
 _SCORED = f"""{_WEIGHTS}, s AS (SELECT a.grp, a.id AS q, b.id AS d, sum(a.w * b.w) AS score FROM w a JOIN w b ON a.grp = b.grp AND a.token = b.token
@@ -293,20 +384,60 @@ def pair_dot(spark, sf_dir):
     return dense.pair_dot(v.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")), v, v).withColumn("score", _r("score"))
 
 
-@query(f"""WITH {_DENSE}, {_REVERSE},
-u AS (SELECT q, d FROM r WHERE rank < 10 UNION SELECT q, d FROM rv WHERE rank < 2),
-j AS (SELECT u.q, u.d, f.rank AS dense_r, b.rank AS rdense_r, s.score FROM u
-  LEFT JOIN (SELECT * FROM r WHERE rank < 10) f ON f.q = u.q AND f.d = u.d
-  LEFT JOIN (SELECT * FROM rv WHERE rank < 2) b ON b.q = u.q AND b.d = u.d JOIN s ON s.q = u.q AND s.d = u.d),
-k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, d) - 1 AS dense_r2 FROM j)
-SELECT q, d, dense_r, rdense_r, round(score, 6) AS score, dense_r2 FROM k WHERE dense_r2 < 5 OR rdense_r = 0""")
+_GRAMS_SQL = "list_transform(range(1, length(' ' || p_name || ' ') - 1), lambda i: substr(' ' || p_name || ' ', i, 3))"
+_VEC_SQL = """v AS (SELECT p_partkey AS id, k, count(*) AS c FROM (SELECT p_partkey, (('0x' || substr(md5(unnest(""" + _GRAMS_SQL + """)), 1, 8))::UBIGINT % 64) AS k FROM part) GROUP BY 1, 2),
+l AS (SELECT id, sqrt(sum(c * c)) AS l FROM v GROUP BY 1)"""
+_HYBRID = f"""{_VEC_SQL},
+pt AS (SELECT p_partkey AS id, p_brand AS grp, string_split(p_name || ' ' || lower(p_type) || ' ' || p_size, ' ') AS tokens FROM part),
+pf AS (SELECT grp, token, count(*) AS df FROM (SELECT grp, unnest(list_distinct(tokens)) AS token FROM pt) GROUP BY 1, 2 HAVING count(*) <= 40),
+pn AS (SELECT grp, count(*) AS n FROM pt GROUP BY 1),
+pw0 AS (SELECT grp, id, token, (1 + ln(count(*))) * any_value(ln((1 + n) / (1 + df)) + 1) AS w FROM (SELECT grp, id, unnest(tokens) AS token FROM pt) JOIN pf USING (grp, token) JOIN pn USING (grp) GROUP BY 1, 2, 3),
+pw AS (SELECT grp, id, token, w / sqrt(sum(w * w) OVER (PARTITION BY grp, id)) AS w FROM pw0),
+al AS (SELECT a.grp, a.id AS q, b.id AS d FROM pt a JOIN pt b USING (grp) WHERE a.id % 50 = 0),
+ds0 AS (SELECT a.id AS q, b.id AS d, sum(a.c * b.c) / any_value(x.l * y.l) AS s FROM v a JOIN v b ON a.k = b.k JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id WHERE a.id % 50 = 0 GROUP BY 1, 2),
+ss0 AS (SELECT a.id AS q, b.id AS d, sum(a.w * b.w) AS s FROM pw a JOIN pw b ON a.grp = b.grp AND a.token = b.token WHERE a.id % 50 = 0 GROUP BY 1, 2),
+sc AS (SELECT grp, al.q, al.d, coalesce(x.s, 0) AS dense_s, y.s AS sparse0, coalesce(y.s, 0) AS sparse_s FROM al LEFT JOIN ds0 x USING (q, d) LEFT JOIN ss0 y USING (q, d)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY grp, q ORDER BY round(dense_s, 9) DESC, d) - 1 AS fr, row_number() OVER (PARTITION BY grp, d ORDER BY round(dense_s, 9) DESC, q) - 1 AS br,
+  CASE WHEN sparse0 > 1e-6 THEN row_number() OVER (PARTITION BY grp, q ORDER BY round(coalesce(sparse0, -1), 9) DESC, d) - 1 END AS sr FROM sc),
+un AS (SELECT q, d, CASE WHEN fr < 10 THEN fr END AS dense_r, CASE WHEN br < 2 THEN br END AS rdense_r, CASE WHEN sr < 6 THEN sr END AS sparse_r, dense_s, sparse_s FROM rk WHERE fr < 10 OR br < 2 OR sr < 6),
+hy AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dense_s, 9) DESC, d) - 1 AS dense_r2, row_number() OVER (PARTITION BY q ORDER BY round(sparse_s, 9) DESC, d) - 1 AS sparse_r2 FROM un)"""
+
+
+def _hybrid(spark, sf_dir):
+    """All pairs of the three paths, with both exact scores and both ranks: parts divisible by 50 against all of their brand."""
+    parts = _read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), tx.char_grams(F.col("p_name")).alias("grams"),
+        F.split(F.concat_ws(" ", "p_name", F.lower("p_type"), F.col("p_size").cast("string")), " ").alias("words"),
+    )
+    vectors = dense.hashed_vectors(parts.select("grp", "id", F.col("grams").alias("tokens"))).select("grp", "id", "vec")
+    texts = parts.select("grp", "id", F.col("words").alias("tokens"))
+    asked = F.col("id") % 50 == 0
+    q, d = vectors.filter(asked), vectors
+    wq, wd = sparse.fitted(texts.filter(asked), texts, 40)
+    paths = {"dense": dense.top_k(q, d, 10), "rdense": _turned(dense.top_k(d, q, 2)), "sparse": sparse.top_k(sparse.similarity(wq, wd), 6)}
+    pairs = dense.pair_dot(blocking.union_paths(paths), q, d).withColumnRenamed("score", "dense_s").join(texts.select("grp", F.col("id").alias("q")), "q")
+    pairs = pairs.join(sparse.pair_cosine(pairs.select("grp", "q", "d"), wq, wd).select("q", "d", F.col("score").alias("sparse_s")), ["q", "d"])
+    return blocking.rank_within(blocking.rank_within(pairs, ["q"], "dense_s", "dense_r2"), ["q"], "sparse_s", "sparse_r2")
+
+
+@query(f"""WITH {_HYBRID} SELECT q, d, dense_r, rdense_r, sparse_r, round(dense_s, 6) AS dense_s, round(sparse_s, 6) AS sparse_s, dense_r2, sparse_r2 FROM hy
+  WHERE dense_r2 < 5 OR sparse_r2 < 3 OR rdense_r = 0""")
 def hybrid_candidates(spark, sf_dir):
-    """Forward and reverse paths, exact scores, ranks and the rule."""
-    q, d = _vectors(spark, sf_dir)
-    forward, back = dense.top_k(q, d, 10), _turned(dense.top_k(d, q, 2))
-    pairs = dense.pair_dot(blocking.union_paths({"dense": forward, "rdense": back}), q, d)
-    ranked = blocking.rank_within(pairs, ["q"], "score", "dense_r2").withColumn("sparse_r2", F.lit(None).cast("long"))
-    return blocking.apply_rule(ranked, 5, 0).select("q", "d", "dense_r", "rdense_r", _r("score", "score"), "dense_r2")
+    """Dense, reverse and sparse paths, both exact scores, ranks and the rule."""
+    kept = blocking.apply_rule(_hybrid(spark, sf_dir), 5, 3)
+    return kept.select("q", "d", "dense_r", "rdense_r", "sparse_r", _r("dense_s", "dense_s"), _r("sparse_s", "sparse_s"), "dense_r2", "sparse_r2")
+
+
+@query(f"""WITH {_HYBRID}, tr AS (SELECT a.p_partkey AS q, b.p_partkey AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_name = b.p_name WHERE a.p_partkey % 50 = 0 AND a.p_partkey <> b.p_partkey),
+nt AS (SELECT count(*) AS total FROM tr), nq AS (SELECT count(DISTINCT q) AS queries FROM hy),
+gr AS (SELECT cd, cs, h.*, tr.q IS NOT NULL AS y FROM hy h LEFT JOIN tr ON tr.q = h.q AND tr.d = h.d, (VALUES (2), (5), (8)) a(cd), (VALUES (0), (3), (5)) b(cs))
+SELECT cd, cs, round(coalesce(count(CASE WHEN y AND (dense_r2 < cd OR sparse_r2 < cs OR rdense_r = 0) THEN 1 END) / nullif(any_value(total), 0), 0), 6) AS recall,
+  round(count(CASE WHEN dense_r2 < cd OR sparse_r2 < cs OR rdense_r = 0 THEN 1 END) / any_value(queries), 6) AS per_query FROM gr, nt, nq GROUP BY cd, cs""")
+def blocking_rule_grid(spark, sf_dir):
+    """Recall and size of the rule for a grid of both ranks' caps; parts of one name are each other's truth."""
+    parts = _read(spark, sf_dir, "part").select("p_brand", "p_name", "p_partkey")
+    truth = parts.filter("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "q").join(parts.withColumnRenamed("p_partkey", "d"), ["p_brand", "p_name"]).filter("q <> d").select("q", "d")
+    return blocking.rule_grid(_hybrid(spark, sf_dir), truth, [2, 5, 8], [0, 3, 5]).withColumns({c: _r(c) for c in ("recall", "per_query")})
 
 
 @query(f"""WITH {_SCORED}, t AS (SELECT q, d FROM r WHERE rank IN (0, 3)), n AS (SELECT count(*) AS total FROM t),
@@ -394,19 +525,19 @@ def expected_f(spark, sf_dir):
     return decide.expected_f(decide.exclusive(_pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_P}, o AS (SELECT *, row_number() OVER (PARTITION BY s1 ORDER BY p DESC, src, tgt) AS k FROM pairs WHERE p >= 0.02),
+l AS (SELECT s1, list(p ORDER BY k) AS p, count(*) AS n FROM o WHERE k <= 24 GROUP BY s1),
+w AS (SELECT s1, p, n, m, list_product(list_transform(p, lambda x, i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN x ELSE 1 - x END)) AS w FROM (SELECT s1, p, n, unnest(range(0, 1 << n::INTEGER)) AS m FROM l)),
+e AS (SELECT s1, k, round(sum(w * CASE WHEN bit_count(m & ((1 << k::INTEGER) - 1)) = 0 THEN 0 ELSE 1.25 * bit_count(m & ((1 << k::INTEGER) - 1)) / (1.25 * bit_count(m & ((1 << k::INTEGER) - 1)) + 0.25 * bit_count(m >> k::INTEGER) + k - bit_count(m & ((1 << k::INTEGER) - 1))) END), 11) AS v
+  FROM (SELECT s1, m, w, unnest(range(1, n + 1)) AS k FROM w) GROUP BY 1, 2),
+z AS (SELECT s1, k, v FROM e UNION ALL SELECT s1, 0, round(list_product(list_transform(p, lambda x: 1 - x)), 11) FROM l),
+b AS (SELECT s1, min(k) AS best FROM z JOIN (SELECT s1, max(v) AS v FROM z GROUP BY 1) USING (s1, v) GROUP BY 1)
+SELECT s1, src, tgt, p FROM o JOIN b USING (s1) WHERE k <= best""")
 def exact_expected_f(spark, sf_dir):
-    """The same by the Poisson-binomial distribution."""
+    """The same by the Poisson-binomial distribution; the SQL adds up all outcomes."""
     return decide.exact_expected_f(_pairs(spark, sf_dir))
 
 
-@query(f"""WITH {_P} SELECT s1, src, tgt, CASE WHEN tgt % 2 = 0 AND 60 + s1 % 40 >= 80 THEN 0.5 + 0.5 * p ELSE p END AS p FROM pairs""")
-def same_address_boost(spark, sf_dir):
-    """A lift where addresses are equal and names alike."""
-    rows = _pairs(spark, sf_dir).withColumns({"same_addr": F.col("tgt") % 2 == 0, "name_sim": (60 + F.col("s1") % 40).cast("double")})
-    return decide.same_address_boost(rows).select("s1", "src", "tgt", "p")
-
-
 _TRUTH = "truth AS (SELECT s1, src, tgt FROM pairs WHERE (s1 + tgt) % 3 = 0)"
 _ENTITY = f"""{_TRUTH},
 e0 AS (SELECT s1, count(CASE WHEN a AND b THEN 1 END) AS tp, count(CASE WHEN a THEN 1 END) AS n_pred, count(CASE WHEN b THEN 1 END) AS n_true
@@ -600,13 +731,57 @@ def extra_words(spark, sf_dir):
     return _name_pairs(spark, sf_dir).select("id", sim.extra_words(F.split("a", " "), F.split("b", " ")).alias("o")).select("id", "o.*")
 
 
-@query()
+def _ratios_sql(source: str, out: str) -> str:
+    """CTEs up to ``out`` (k, f, ratio, pratio, tsort, tset) from ``source`` (k, f, a, b), by a subsequence of rows of bits."""
+    return f"""{out}_t AS (SELECT k, f, a, b, {_TOK.format('a')} AS p, {_TOK.format('b')} AS q FROM {source}),
+{out}_u AS (SELECT k, f, a, b, array_to_string(list_sort(p), ' ') AS sa, array_to_string(list_sort(q), ' ') AS sb, list_sort(list_distinct(p)) AS x, list_sort(list_distinct(q)) AS y FROM {out}_t),
+{out}_v AS (SELECT *, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS both_, array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS rx, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS ry FROM {out}_u),
+{out}_w AS (SELECT *, trim(both_ || ' ' || rx) AS l, trim(both_ || ' ' || ry) AS r, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS s, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS g FROM {out}_v),
+{out}_pc AS (SELECT k, f, s AS p, unnest(list_concat(list_transform(range(0, length(g) - length(s) + 1), lambda i: substr(g, i + 1, length(s))), list_concat(
+  list_transform(range(1, length(s)), lambda i: substr(g, 1, i)), list_transform(range(1, length(s)), lambda i: substr(g, length(g) - i + 1, i))))) AS q FROM {out}_w WHERE s <> ''),
+{out}_nd AS (SELECT a AS p, b AS q FROM {out}_w UNION SELECT sa, sb FROM {out}_w UNION SELECT l, r FROM {out}_w UNION SELECT both_, l FROM {out}_w UNION SELECT both_, r FROM {out}_w UNION SELECT p, q FROM {out}_pc),
+{out}_m AS (SELECT p, q, ((1::HUGEINT << length(p)::INTEGER) - 1) AS full_, list_transform(string_split(q, ''), lambda c: list_sum(list_transform(range(0, length(p)), lambda i: CASE WHEN substr(p, i + 1, 1) = c THEN (1::HUGEINT << i::INTEGER) ELSE 0::HUGEINT END))::HUGEINT) AS m
+  FROM {out}_nd WHERE p <> '' AND q <> ''),
+{out}_l AS (SELECT p, q, 200.0 * (length(p) - bit_count(list_reduce(list_concat([full_], m), lambda z, h: ((z + (z & h)) | (z - (z & h))) & full_))) / (length(p) + length(q)) AS v FROM {out}_m
+  UNION ALL SELECT p, q, CASE WHEN p = '' AND q = '' THEN 100.0 ELSE 0.0 END FROM {out}_nd WHERE p = '' OR q = ''),
+{out}_pm AS (SELECT k, f, max(v) AS v FROM {out}_pc JOIN {out}_l USING (p, q) GROUP BY 1, 2),
+{out} AS (SELECT w.k, w.f, z1.v::DOUBLE AS ratio, (CASE WHEN s = '' THEN CASE WHEN g = '' THEN 100.0 ELSE 0.0 END ELSE pm.v END)::DOUBLE AS pratio, z2.v::DOUBLE AS tsort,
+  (CASE WHEN both_ <> '' AND (l = both_ OR r = both_) THEN 100.0 ELSE greatest(z3.v, CASE WHEN both_ = '' THEN 0 ELSE z4.v END, CASE WHEN both_ = '' THEN 0 ELSE z5.v END) END)::DOUBLE AS tset
+  FROM {out}_w w JOIN {out}_l z1 ON z1.p = a AND z1.q = b JOIN {out}_l z2 ON z2.p = sa AND z2.q = sb JOIN {out}_l z3 ON z3.p = l AND z3.q = r JOIN {out}_l z4 ON z4.p = both_ AND z4.q = l JOIN {out}_l z5 ON z5.p = both_ AND z5.q = r
+  LEFT JOIN {out}_pm pm ON pm.k = w.k AND pm.f = w.f)"""
+
+
+_LONG_NAME = "p_name || ' ' || lower(p_type) || ' ' || p_size"
+_LONG_NAMES = f"nl AS (SELECT p_partkey AS id, {_LONG_NAME} AS a FROM part), nn AS (SELECT x.id, x.a, y.a AS b FROM nl x JOIN nl y ON y.id = x.id + 1)"
+_RATIO_ROWS = "rr AS (SELECT id AS k, 'n' AS f, a, b FROM nn UNION ALL SELECT id, 's', replace(a, ' ', ''), replace(b, ' ', '') FROM nn)"
+
+
+@query(f"""WITH {_LONG_NAMES}, {_RATIO_ROWS}, {_ratios_sql('rr', 'rt')}
+SELECT x.k AS id, round(x.ratio, 6) AS ratio, round(x.pratio, 6) AS partial, round(x.tsort, 6) AS token_sort, round(x.tset, 6) AS token_set, round(y.ratio, 6) AS solid
+FROM rt x JOIN rt y ON y.k = x.k AND x.f = 'n' AND y.f = 's'""")
 def string_ratios(spark, sf_dir):
-    """Ratios of names."""
-    rows = _name_pairs(spark, sf_dir)
-    a, b = F.col("a"), F.col("b")
-    solid = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    return rows.select("id", _r(sim.ratio_of(a, b), "ratio"), _r(sim.partial_ratio_of(a, b), "partial"), _r(sim.token_sort_ratio(a, b), "token_sort"), _r(sim.token_set_ratio(a, b), "token_set"), _r(sim.ratio_of(solid(a), solid(b)), "solid"))
+    """Ratios of names of several words, and without their spaces."""
+    names = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr(_LONG_NAME).alias("a"))
+    rows = names.join(names.select((F.col("id") - 1).alias("id"), F.col("a").alias("b")), "id")
+    got = rows.select("id", sim.text_features(F.col("a"), F.col("b"), "ratio", "pratio", "tsort", "tset").alias("t"), sim.ratio_of(sim.solid(F.col("a")), sim.solid(F.col("b"))).alias("solid"))
+    return got.select("id", _r("t.ratio", "ratio"), _r("t.pratio", "partial"), _r("t.tsort", "token_sort"), _r("t.tset", "token_set"), _r("solid", "solid"))
+
+
+_ADDRESSES = "ad AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand || ' ' || p_size % 2 END AS addr_n, p_name AS name_f FROM part)"
+
+
+@query(f"""WITH {_P}, {_ADDRESSES}, sm AS (SELECT s1, src, tgt, x.name_f AS a, y.name_f AS b FROM pairs JOIN ad x ON x.id = s1 % 200 JOIN ad y ON y.id = tgt WHERE x.addr_n = y.addr_n AND x.addr_n <> ''),
+rr AS (SELECT DISTINCT a || '/' || b AS k, 'n' AS f, a, b FROM sm), {_ratios_sql('rr', 'rt')}
+SELECT s1, src, tgt, CASE WHEN tset >= 50 THEN 0.5 + 0.5 * p ELSE p END AS p FROM pairs LEFT JOIN sm USING (s1, src, tgt) LEFT JOIN rt ON k = sm.a || '/' || sm.b""")
+def same_address_boost(spark, sf_dir):
+    """A lift where a pair's records have one address and their names are alike."""
+    parts = _read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_brand || ' ' || p_size % 2 END").alias("addr_n"), F.col("p_name").alias("name_f")
+    )
+    pairs = _pairs(spark, sf_dir)
+    first = pairs.select("s1").distinct().join(parts, F.col("s1") % 200 == parts["id"]).select(F.col("s1").alias("id"), "addr_n", "name_f")
+    targets = parts.crossJoin(spark.createDataFrame([(2,), (3,)], "src int"))  # both sources have every part
+    return decide.same_address_boost(decide.mark_same_address(pairs, first, targets), 0.5, 50.0).select("s1", "src", "tgt", "p")
 
 
 _FORMS = """f AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'ltd' WHEN 2 THEN 'ltd pvt' ELSE 'inc' END AS a,
@@ -724,28 +899,76 @@ def apply_fillers(spark, sf_dir):
     return out.select("doc_id", F.md5(F.col("name_f").cast("binary")).alias("name_f"), F.size(tx.tokens(F.col("name_f"))).alias("n"))
 
 
-@query("SELECT DISTINCT c_nationkey AS grp FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("SELECT DISTINCT c_nationkey AS grp FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def unseen_groups(spark, sf_dir):
-    """F32, U4: groups that the other side lacks."""
-    return records.unseen(_read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp")), _read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp")))
+    """F32, U4: groups that the other side (suppliers in debt) lacks."""
+    debtors = _read(spark, sf_dir, "supplier").filter("s_acctbal < 0")
+    return records.unseen(_read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp")), debtors.select(F.col("s_nationkey").alias("grp")))
+
+
+_RECORDS = f"""{_RAW}, {_names_sql('rn')}, {_addresses_sql('ra')},
+fr0 AS (SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 11 IN (1, 4, 7) THEN 'France' ELSE 'x' || p_partkey % 3 END AS grp, 2 + p_partkey % 2 AS src FROM part),
+fd AS (SELECT n.id, grp, src, list_filter(string_split(name_c, ' '), lambda x: x <> '') AS c FROM names n JOIN fr0 USING (id)),
+fs AS (SELECT grp, token, count(CASE WHEN src = 3 THEN 1 END) / any_value(n1) AS f1, count(CASE WHEN src = 2 THEN 1 END) / any_value(n2) AS f2
+  FROM (SELECT grp, src, unnest(list_distinct(list_filter(c, lambda x: NOT regexp_full_match(x, '[0-9]+')))) AS token FROM fd) JOIN (SELECT grp, count(CASE WHEN src = 3 THEN 1 END) AS n1, count(CASE WHEN src = 2 THEN 1 END) AS n2 FROM fd GROUP BY grp) USING (grp) GROUP BY 1, 2),
+fl AS (SELECT grp, list(token) AS fill FROM fs WHERE f2 >= 0.001 AND f2 >= 1.8 * CASE WHEN f1 > 0 THEN f1 ELSE 1e-6 END GROUP BY grp),
+ff0 AS (SELECT id, grp, src, c, list_filter(c, lambda x: fill IS NULL OR NOT list_contains(fill, x)) AS k FROM fd LEFT JOIN fl USING (grp)),
+ff AS (SELECT id, grp, src, c, CASE WHEN len(k) = 0 THEN c ELSE k END AS ft FROM ff0),
+rec AS (SELECT n.id, n.raw AS name, name_n, name_c, c, array_to_string(list_transform(c, lambda x: {_skeleton_sql('x')}), ' ') AS name_k, array_to_string(ft, ' ') AS name_f, list_transform(ft, lambda x: {_skeleton_sql('x')}) AS fk,
+  name_alt, legal, is_dom, CASE WHEN grp = 'France' THEN addr_fr ELSE addr_n END AS addr_n, numbers, zip FROM names n JOIN addrs a ON a.id = n.id JOIN ff ON ff.id = n.id)"""
 
 
 def _part_records(spark, sf_dir):
-    raw = _read(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("id"), F.col("p_brand").alias("grp"), F.concat_ws(" ", "p_name", F.when(F.col("p_partkey") % 3 == 0, "Ltd")).alias("name"),
-        F.concat(F.col("p_size").cast("string"), F.lit(" "), F.col("p_type"), F.lit(" "), (10000 + F.col("p_partkey") % 977).cast("string")).alias("address"), F.lit(2).alias("src"),
+    raw = _raw(spark, sf_dir).select(
+        "id", F.expr("CASE WHEN id % 11 IN (1, 4, 7) THEN 'France' ELSE 'x' || id % 3 END").alias("grp"), "name", "address", (2 + F.col("id") % 2).cast("int").alias("src")
     )
     rows = records.normalize(raw)
-    return records.apply_fillers(rows, rows.limit(0).select("grp", F.lit("").alias("token")))
+    texts = rows.select("grp", "id", "src", tx.tokens(F.col("name_c")).alias("tokens"))
+    return records.apply_fillers(rows, sparse.fillers(texts.filter("src = 3"), texts.filter("src = 2")))
 
 
-@query()
+_TEXT_FIELDS = {
+    "n": "x.name_c, y.name_c", "nf": "x.name_n, y.name_n", "nk": "x.name_k, y.name_k", "nns": "replace(x.name_c, ' ', ''), replace(y.name_c, ' ', '')",
+    "raw": "lower(coalesce(x.name, '')), lower(coalesce(y.name, ''))", "nx": "x.name_f, y.name_f", "nxk": "array_to_string(x.fk, ' '), array_to_string(y.fk, ' ')", "a": "x.addr_n, y.addr_n",
+    "m1": "CASE WHEN x.name_alt <> '' THEN x.name_alt ELSE x.name_c END, y.name_c", "m2": "x.name_c, CASE WHEN y.name_alt <> '' THEN y.name_alt ELSE y.name_c END",
+}
+_TEXT_ROWS = "fp (k, f, a, b) AS (" + " UNION ALL ".join(f"SELECT x.id, '{f}', {ab} FROM rec x JOIN rec y ON y.id = x.id + 1" for f, ab in _TEXT_FIELDS.items()) + ")"
+
+
+def _picked_sql(**kinds: str) -> str:
+    return ", ".join(f"round(max(CASE WHEN f = '{f}' THEN {kind} END), 6) AS {f}_{kind}" for f, some in kinds.items() for kind in some.split())
+
+
+_MISSING = "len(list_filter({0}, lambda t: len(list_filter({1}, lambda u: t = u OR (length(t) >= 3 AND levenshtein(t, u) <= 1))) = 0))::DOUBLE"
+
+
+@query(f"""WITH {_RECORDS}, {_TEXT_ROWS}, {_ratios_sql('fp', 'rt')},
+tf AS (SELECT k, {_picked_sql(n='ratio pratio tsort tset', nf='ratio tset', nk='ratio tset', nns='ratio pratio', raw='ratio', nx='ratio tset tsort', nxk='ratio', a='ratio tsort tset pratio', m1='tset', m2='tset')} FROM rt GROUP BY k),
+nm AS (SELECT x.id AS s1, y.id AS tgt, x.name_c AS c1, y.name_c AS c2, x.name_k AS k1, y.name_k AS k2, x.name_f AS f1, y.name_f AS f2, x.fk AS w1, y.fk AS w2, x.name_alt AS t1, y.name_alt AS t2, x.legal AS l1, y.legal AS l2, x.is_dom AS d1, y.is_dom AS d2,
+  x.addr_n AS e1, y.addr_n AS e2, list_distinct(x.c) AS u1, list_distinct(y.c) AS u2, x.c[1] AS q1, y.c[1] AS q2, x.numbers AS n1, y.numbers AS n2, x.zip AS z1, y.zip AS z2 FROM rec x JOIN rec y ON y.id = x.id + 1),
+sn AS (SELECT *, list_transform(n1, lambda x: {_STRIP_SQL}) AS a, list_transform(n2, lambda x: {_STRIP_SQL}) AS b, CASE WHEN z1 = '' THEN '' ELSE list_transform([z1], lambda x: {_STRIP_SQL})[1] END AS y1, CASE WHEN z2 = '' THEN '' ELSE list_transform([z2], lambda x: {_STRIP_SQL})[1] END AS y2 FROM nm),
+hn AS (SELECT *, list_distinct(a) AS sa, list_distinct(b) AS sb, list_filter(a, lambda x: x <> y1) AS ha, list_filter(b, lambda x: x <> y2) AS hb FROM sn),
+i AS (SELECT *, len(list_intersect(sa, sb)) AS x, len(list_distinct(list_concat(sa, sb))) AS w, len(ha) > 0 AND len(hb) > 0 AS o, ha[1] AS h1, hb[1] AS h2, list_filter(ha, lambda x: length(x) >= 3) AS big FROM hn)
+SELECT s1, (2 + tgt % 2)::INTEGER AS src, tgt, tf.* EXCLUDE (k, m1_tset, m2_tset), round(CASE WHEN c1 = c2 THEN 1 ELSE jaro_winkler_similarity(c1, c2) END, 6) AS n_jw, (c1 = c2)::INTEGER::DOUBLE AS n_exact, levenshtein(c1, c2)::DOUBLE AS n_lev, (k1 = k2)::INTEGER::DOUBLE AS nk_exact,
+ (t1 <> '' OR t2 <> '')::INTEGER::DOUBLE AS has_alt, CASE WHEN t1 <> '' OR t2 <> '' THEN greatest(m1_tset, m2_tset) ELSE -1.0 END AS alt_tset,
+ len(u1)::DOUBLE AS n_tok1, len(u2)::DOUBLE AS n_tok2, len(list_intersect(u1, u2))::DOUBLE AS n_common, (coalesce(q1, '') = coalesce(q2, ''))::INTEGER::DOUBLE AS n_first_eq, length(c1)::DOUBLE AS n_len1, length(c2)::DOUBLE AS n_len2,
+ round(CASE WHEN f1 = f2 THEN 1 ELSE jaro_winkler_similarity(f1, f2) END, 6) AS nx_jw, (f1 = f2)::INTEGER::DOUBLE AS nx_exact, (array_to_string(w1, ' ') = array_to_string(w2, ' '))::INTEGER::DOUBLE AS nxk_exact, d1::INTEGER::DOUBLE AS dom1, d2::INTEGER::DOUBLE AS dom2, (e2 = '')::INTEGER::DOUBLE AS a_empty2,
+ round(CASE WHEN e1 = e2 THEN 1 ELSE jaro_winkler_similarity(e1, e2) END, 6) AS a_jw, length(e1)::DOUBLE AS a_len1, length(e2)::DOUBLE AS a_len2,
+ (l1 <> '' AND l2 <> '')::INTEGER::DOUBLE AS leg_both, CASE WHEN l1 <> '' AND l2 <> '' THEN (l1 = l2)::INTEGER ELSE -1 END::DOUBLE AS leg_eq, (l1 <> '' AND l2 <> '' AND len(list_intersect(string_split(l1, ' '), string_split(l2, ' '))) = 0)::INTEGER::DOUBLE AS leg_conflict,
+ {_MISSING.format('list_distinct(w1)', 'w2')} AS nx_miss1, {_MISSING.format('list_distinct(w2)', 'w1')} AS nx_miss2, len(list_intersect(list_distinct(w1), list_distinct(w2)))::DOUBLE AS nx_common,
+ round(CASE WHEN w > 0 THEN x / w ELSE -1.0 END, 6) AS num_jac, x::DOUBLE AS num_inter, len(sa)::DOUBLE AS num_n1, len(sb)::DOUBLE AS num_n2,
+ {_undefined('o', 'h1 = h2')} AS hno_eq, {_undefined('o', 'starts_with(h1, h2) OR starts_with(h2, h1)')} AS hno_prefix,
+ {_undefined('o', 'ends_with(h1, h2) OR ends_with(h2, h1)')} AS hno_suffix, {_undefined('o', 'list_contains(sb, h1) OR list_contains(sa, h2)')} AS hno_in,
+ {_undefined('o', 'levenshtein(h1, h2)')} AS hno_lev, {_undefined('o', 'len(list_intersect(list_distinct(ha), list_distinct(hb))) > 0')} AS hno_any,
+ {_undefined('o', 'len(ha) > ' + _unfit_sql('ha', 'hb'))} AS hno_anyfix, {_undefined('o AND len(big) > 0', _unfit_sql('big', 'hb'))} AS hno_big_miss,
+ {_undefined('len(sb) > 0', _unfit_sql('sa', 'sb'))} AS num_miss1, {_undefined('len(sa) > 0', _unfit_sql('sb', 'sa'))} AS num_miss2,
+ {_undefined("z1 <> '' AND z2 <> ''", 'z1 = z2')} AS zip_eq, {_undefined("z1 <> '' AND z2 <> ''", 'substr(z1, 1, 3) = substr(z2, 1, 3)')} AS zip_p3 FROM i JOIN tf ON k = s1""")
 def pair_features(spark, sf_dir):
-    """X1-X14, appendix B: all string and number features of neighbouring parts."""
+    """X1-X14, appendix B: all 62 string and number features of neighbouring parts, with fillers found in their names."""
     rows = _part_records(spark, sf_dir)
-    pairs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s1"), F.lit(2).alias("src"), (F.col("p_partkey") + 1).alias("tgt"))
+    pairs = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("s1"), (2 + (F.col("p_partkey") + 1) % 2).cast("int").alias("src"), (F.col("p_partkey") + 1).alias("tgt"))
     out = features.pair_features(pairs, rows, rows)
-    return out.select("s1", "src", "tgt", *[_r(c, c) for c in out.columns if c not in ("s1", "src", "tgt")])
+    return out.select("s1", "src", "tgt", *[_r(F.col(c).cast("double"), c) for c in out.columns if c not in ("s1", "src", "tgt")])
 
 
 def _cos_sql(name: str, tokens: str, least: int) -> str:
@@ -757,24 +980,27 @@ def _cos_sql(name: str, tokens: str, least: int) -> str:
 {name}_s AS (SELECT a.id AS q, b.id AS d, sum(a.w * b.w) AS s FROM {name}_w a JOIN {name}_w b ON a.grp = b.grp AND a.token = b.token WHERE a.id % 2 = 1 AND b.id % 2 = 0 GROUP BY 1, 2)"""
 
 
-_GRAMS_SQL = "list_transform(range(1, length(' ' || p_name || ' ') - 1), lambda i: substr(' ' || p_name || ' ', i, 3))"
+_ADDR_SQL = "lower(p_type) || ' ' || p_size"
+_NAME_F_SQL = "string_split(p_name, ' ')[2]"
+_COSINES = {
+    "n_idf": _cos_sql("n_idf", "string_split(p_name, ' ')", 1), "n_c3": _cos_sql("n_c3", _GRAMS_SQL, 1), "nx_idf": _cos_sql("nx_idf", f"[{_NAME_F_SQL}]", 1),
+    "a_idf": _cos_sql("a_idf", f"string_split({_ADDR_SQL}, ' ')", 1), "a_c3": _cos_sql("a_c3", _GRAMS_SQL.replace("p_name", f"({_ADDR_SQL})"), 2),
+}
 
 
-@query(f"""WITH {_cos_sql('n_idf', "string_split(p_name, ' ')", 1)}, {_cos_sql('n_c3', _GRAMS_SQL, 1)}, {_cos_sql('a_c3', _GRAMS_SQL.replace('p_name', 'p_type'), 2)},
+@query(f"""WITH {', '.join(_COSINES.values())},
 p AS (SELECT a.p_brand AS grp, a.p_partkey AS q, b.p_partkey AS d FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 2 = 1 AND b.p_partkey % 2 = 0)
-SELECT p.*, round(coalesce(x.s, 0), 6) AS n_idf, round(coalesce(y.s, 0), 6) AS n_c3, round(coalesce(z.s, 0), 6) AS a_c3
-FROM p LEFT JOIN n_idf_s x USING (q, d) LEFT JOIN n_c3_s y USING (q, d) LEFT JOIN a_c3_s z USING (q, d)""")
+SELECT p.*, {', '.join(f'round(coalesce(x{k}.s, 0), 6) AS {name}' for k, name in enumerate(_COSINES))}
+FROM p {' '.join(f'LEFT JOIN {name}_s x{k} USING (q, d)' for k, name in enumerate(_COSINES))}""")
 def feature_cosines(spark, sf_dir):
-    """Cosines fitted on both sides together, of words and of 3-grams, with a least frequency."""
-    parts = _read(spark, sf_dir, "part")
-    of = lambda tokens: parts.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), tokens.alias("tokens"))
-    halves = lambda t: (t.filter("id % 2 = 1"), t.filter("id % 2 = 0"))
-    one = parts.filter("p_partkey % 2 = 1").select(F.col("p_brand").alias("grp"), "p_size", F.col("p_partkey").alias("q"))
-    pairs = one.join(parts.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("grp"), "p_size", F.col("p_partkey").alias("d")), ["grp", "p_size"]).select("grp", "q", "d")
-    out = pairs
-    for name, tokens, least in (("n_idf", F.split("p_name", " "), 1), ("n_c3", tx.char_grams(F.col("p_name")), 1), ("a_c3", tx.char_grams(F.col("p_type")), 2)):
-        out = out.join(features.fitted_cosine(pairs, *halves(of(tokens)), name, least), ["grp", "q", "d"])
-    return out.select("grp", "q", "d", *[_r(c, c) for c in ("n_idf", "n_c3", "a_c3")])
+    """The five cosines, fitted on both sides together, of words and of 3-grams, in one pass."""
+    parts = _read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), "p_size", F.col("p_name").alias("name_c"), F.get(F.split("p_name", " "), F.lit(1)).alias("name_f"),
+        F.concat_ws(" ", F.lower("p_type"), F.col("p_size").cast("string")).alias("addr_n"),
+    )
+    one, two = parts.filter("id % 2 = 1"), parts.filter("id % 2 = 0")
+    pairs = one.select("grp", "p_size", F.col("id").alias("q")).join(two.select("grp", "p_size", F.col("id").alias("d")), ["grp", "p_size"]).select("grp", "q", "d")
+    return features.fitted_cosines(pairs, one, two).select("grp", "q", "d", *[_r(c, c) for c in features.COSINES])
 
 
 _HARD = f"""{_P}, h AS (SELECT *, ((s1 + tgt) % 3 = 0)::INTEGER AS y, row_number() OVER (PARTITION BY s1, src ORDER BY p DESC, tgt) - 1 AS dense_r2,
@@ -809,10 +1035,6 @@ def word_swaps(spark, sf_dir):
     return features.swaps(pairs).select("id", _r("swap_jw", "swap_jw"), "same_addr")
 
 
-_VEC_SQL = """v AS (SELECT p_partkey AS id, k, count(*) AS c FROM (SELECT p_partkey, (('0x' || substr(md5(unnest(""" + _GRAMS_SQL + """)), 1, 8))::UBIGINT % 64) AS k FROM part) GROUP BY 1, 2),
-l AS (SELECT id, sqrt(sum(c * c)) AS l FROM v GROUP BY 1)"""
-
-
 @query(f"""WITH {_VEC_SQL} SELECT a.id AS q, b.id AS d, round(sum(CASE WHEN a.k = b.k THEN a.c * b.c ELSE 0 END) / any_value(x.l * y.l), 6) AS score
 FROM v a JOIN v b ON b.id = a.id + 1 JOIN l x ON x.id = a.id JOIN l y ON y.id = b.id GROUP BY 1, 2""")
 def hashed_vectors(spark, sf_dir):
