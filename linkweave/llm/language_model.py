@@ -1,8 +1,9 @@
 """Language-model scores: a log-bilinear neural model, trained in numpy with noise-contrastive estimation.
 
 Counts of all training tokens are summed over the cluster. The model's classes are the ``CLASSES`` most frequent words,
-the end of a text and one class for all other words, within which a word's probability is its smoothed share of their
-counts. The two words before predict the next: a context vector (their embeddings, each weighted by its place) times the
+the end of a text, ``BINS`` bins of the next ``LOOKUP`` words by falling frequency, each of about the same mass, and one
+class for all other words; in a bin and in the last class a word's probability is its smoothed share of their counts. The
+two words before predict the next: a context vector (their embeddings, each weighted by its place) times the
 target's vector, plus a bias that begins as the log unigram probability.
 
 Every partition trains on all its training documents, from parameters warmed up on a bounded sample; parameters are then
@@ -11,9 +12,10 @@ words is tabulated by one matrix product, exp(A) @ exp(B + bias).T, so that each
 exactly.
 
 The ``LOOKUP`` most frequent words of at most ``WORD_BYTES`` bytes are broadcast with their counts, a bounded size. Other
-words' counts reach their documents by a join.
+words' counts reach their documents by a join. Where more words tie than there's room for, some of them, by a hash, are
+in the lookup and others in the last class; the end always has its class.
 
-Defined cases: a null text counts as empty and has the end token alone; a null id counts as the empty string (so it's held
+Defined cases: a very long text is scored whole, with memory in proportion to it; a null text counts as empty and has the end token alone; a null id counts as the empty string (so it's held
 out); repeated rows count and are scored each; with no training documents all words are unknown; an empty table gives
 no rows; other columns are ignored, whatever their names.
 """
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from linkweave.runtime import pick, settle, ship
 
-#: Classes besides the end and the rest, dimensions, noise samples to a batch and their weight, tokens to a batch.
-CLASSES, DIMENSIONS, NOISE, RATIO, TOKENS = 2046, 24, 128, 16, 2048
+#: Words with a class of their own, bins of others, dimensions, noise samples to a batch and their weight, tokens to a batch.
+CLASSES, BINS, DIMENSIONS, NOISE, RATIO, TOKENS = 2046, 64, 24, 128, 16, 2048
 RATE = 0.07
 #: Words whose counts are broadcast, their longest size; documents that warm up the model; models averaged at once.
 LOOKUP, WORD_BYTES, WARM_DOCS, FAN = 200_000, 64, 2000, 32
@@ -145,14 +147,26 @@ class LogBilinear:
 
 
 class Lookup:
-    """Class and count of the broadcast words."""
+    """Class and count of the broadcast words, by falling count, and each word's share of its class as a logarithm."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, classes: int):
+    def __init__(self, words: list[bytes], counts: np.ndarray, classes: int, bins: int = BINS):
         self.index = {w: k for k, w in enumerate(words)}
         self.counts = counts
-        self.classes = np.where(np.arange(len(words)) < classes, np.arange(len(words)) + 2, REST)
+        self.classes = np.arange(len(words)) + 2
+        tail = counts[classes:].astype(np.float64)
+        if len(tail):
+            before = np.cumsum(tail) - tail
+            self.classes[classes:] = 2 + classes + np.minimum(bins - 1, before * bins // tail.sum()).astype(np.int64)
         if END in self.index:
             self.classes[self.index[END]] = LAST
+        self.n_classes = 2 + classes + bins
+        binned = self.classes >= 2 + classes
+        mass, size = np.zeros(self.n_classes), np.zeros(self.n_classes)
+        np.add.at(mass, self.classes[binned], counts[binned])
+        np.add.at(size, self.classes[binned], 1)
+        self.inner = np.zeros(len(words))
+        of = self.classes[binned]
+        self.inner[binned] = np.log10(counts[binned] + 0.1) - np.log10(mass[of] + 0.1 * size[of])
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Where each word is, -1 where it isn't."""
@@ -219,17 +233,20 @@ def _average(models: DataFrame) -> bytes | None:
 
 
 def _frequent(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    """The most frequent words, LOOKUP at most, by falling count: all those from a count on, found from a histogram."""
-    steps = counts.groupBy(F.floor(F.log2("c") * 32).alias("step")).count().orderBy(F.desc("step")).collect()  # bounded: 32 for each doubling
-    room, least = LOOKUP, None
-    for row in steps:
-        room -= row["count"]
-        if room < 0:
+    """The most frequent words, about LOOKUP at most, by falling count, from a histogram of counts; the end is always there."""
+    step = F.floor(F.log2("c") * 32)
+    room, least, part = LOOKUP, None, None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # bounded: 32 for each doubling
+        if row["count"] > room:
+            part = row["step"], 0.9 * room / row["count"]
             break
-        least = row["step"]
-    if least is None:
-        return [], np.empty(0, np.int64)
-    top = counts.filter(F.floor(F.log2("c") * 32) >= least).toPandas()
+        room, least = room - row["count"], row["step"]
+    taken = F.col("word") == END
+    if least is not None:
+        taken = taken | (step >= least)
+    if part is not None:
+        taken = taken | ((step == part[0]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(part[1] * (1 << 20))))
+    top = counts.filter(taken).toPandas()
     order = sorted(zip(-top["c"].to_numpy(np.int64), map(bytes, top["word"]), strict=True))
     return [w for _, w in order], np.array([-c for c, _ in order], np.int64)
 
@@ -240,10 +257,10 @@ def fit(rows: DataFrame, counts: DataFrame):
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     words, c = _frequent(counts.filter(F.octet_length("word") <= WORD_BYTES))
     table = Lookup(words, c, CLASSES)
-    unigram = np.zeros(CLASSES + 2)
+    unigram = np.zeros(table.n_classes)
     np.add.at(unigram, table.classes, c)
     unigram[REST] += n - c.sum()
-    rest_n, rest_v = float(unigram[REST]), v - int((table.classes != REST).sum())
+    rest_n, rest_v = float(unigram[REST]), v - len(words)
     unigram = np.maximum(unigram, 0.1)
     lookup = spark.sparkContext.broadcast(table)
     ends = int(c[words.index(END)]) if END in words else 0
@@ -263,11 +280,15 @@ def fit(rows: DataFrame, counts: DataFrame):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigram) and score (the model's), in log10."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col)
     counts = settle(count_words(rows), "word-counts")
-    totals, lookup, model = fit(rows, counts)
+    return score_by(rows, counts, *fit(rows, counts))
+
+
+def score_by(rows: DataFrame, counts: DataFrame, totals: dict, lookup, model: LogBilinear) -> DataFrame:
+    """``score`` of (doc_id, text) by what ``fit`` gave."""
+    spark = rows.sparkSession
     tables = spark.sparkContext.broadcast((model.flat(), np.maximum(model.noise, 1e-12), model.normaliser()))
     base_floor = np.log10(totals["n"] + 0.1 * (totals["v"] + 1))
     rest_floor = np.log10(totals["rest_n"] + 0.1 * (totals["rest_v"] + 1))
@@ -292,12 +313,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 logs = (near[b, classes] + far[a, classes] - z[b, a]).sum(dtype=np.float64) / np.log(10)
                 known = at >= 0
                 c = log_c[at[known]]
-                rest = classes == REST
                 out["held_out"].append(is_held_out(doc_id))
                 out["n_tokens"].append(len(words))
                 out["n_known"].append(int(known.sum()))
                 out["base"].append(c.sum() - len(words) * base_floor)
-                out["score"].append(logs + log_c[at[known & rest]].sum() - rest.sum() * rest_floor)
+                out["score"].append(logs + table.inner[at[known]].sum() - (~known).sum() * rest_floor)
                 out["rare"].append(list(Counter(words[k] for k in np.flatnonzero(~known)).items()))
             kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
             arrays = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=False)]
