@@ -15,6 +15,7 @@ from linkweave.functions import similarity as sim
 from linkweave.functions import tables
 from linkweave.functions import text as tx
 from linkweave.operators import adapt, blocking, context, decide, dense, evaluate, features, learn, records, sparse, validate
+from linkweave.plans import linkage
 from linkweave.runtime import fresh_path
 from linkweave.sources import tables as src
 from linkweave.streaming.incremental import unscored
@@ -878,6 +879,50 @@ def link_documents(spark, sf_dir):
     return first.join(lists, "s1", "left").fillna("", ["ids"])
 
 
+#: Files of a small linkage task made of parts: noisy copies in two target sources, and what belongs together.
+_ENTITIES = {
+    1: ("true", "p_name || ' ' || p_type || ' Private Limited'", "p_partkey || ' ' || p_brand || ' Street, Sector ' || p_size || ', 1' || lpad(cast(p_partkey as string), 5, '0')"),
+    2: ("p_partkey % 4 <> 0", "upper(p_name) || ' ' || p_type || ' Pvt Ltd'", "p_partkey || ' ' || p_brand || ' St, Sec ' || p_size || ', 1' || lpad(cast(p_partkey as string), 5, '0')"),
+    3: ("p_partkey % 3 = 0", "p_name || ' d/b/a ' || p_name || ' ' || p_type || ' & Co'", "'No ' || p_partkey || ', ' || p_brand || ' Street'"),
+}
+
+
+def _entity_files(spark, sf_dir, paths):
+    parts = _read(spark, sf_dir, "part").repartition(4, "p_partkey")
+    for half, split in enumerate(("train", "test")):
+        mine = parts.filter(F.col("p_partkey") % 2 == half)
+        for k, (which, name, address) in _ENTITIES.items():
+            ids = F.concat(F.lit(f"S{k}-"), F.col("p_partkey").cast("string"))
+            country = F.expr("CASE p_partkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'India' ELSE 'France' END")
+            src.write_tsv(mine.filter(which).select(ids.alias("entity_id"), F.expr(name).alias("business_name"), F.expr(address).alias("business_address"), country.alias("country")), paths.source(split, k))
+    links = F.array_compact(F.array(*[F.when(F.expr(_ENTITIES[k][0]), F.concat(F.lit(f"S{k}-"), F.col("p_partkey").cast("string"))) for k in (2, 3)]))
+    truth = parts.filter("p_partkey % 2 = 0").select(F.concat(F.lit("S1-"), F.col("p_partkey").cast("string")).alias("source1_entity_id"), F.array_join(links, ",").alias("matched_entity_ids"))
+    src.write_tsv(truth, paths.truth())
+
+
+@query("""WITH r(rule) AS (VALUES ('malformed row'), ('duplicate s1'), ('duplicate id'), ('self match'), ('wrong prefix'), ('missing s1'), ('unexpected s1'), ('unknown id')),
+f(file) AS (VALUES ('matching_results.tsv'), ('candidate_pairs.tsv'))
+SELECT file, rule, 0::BIGINT AS n FROM r, f UNION ALL SELECT 'matching_results.tsv', 'outside candidates', 0
+UNION ALL SELECT 'matching_results.tsv', 'entities', count(*) FROM part WHERE p_partkey % 2 = 1
+UNION ALL SELECT 'matching_results.tsv', 'macro F0.5 of 0.9 or more', 1""")
+def link_files(spark, sf_dir):
+    """K1, M1-M8, K2, V3: a whole run from files to files, learnt on half of the entities, on the other half; its report."""
+    root = fresh_path(spark, "linkage")
+    paths = src.Paths(f"{root}/data", f"{root}/work", f"{root}/out")
+    _entity_files(spark, sf_dir, paths)
+    settings = linkage.Settings(dense=10, reverse=2, sparse=10, cap_dense=5, cap_sparse=3, folds=2, first="forest", learners=("forest",))
+    linkage.train(spark, paths, settings)
+    matches = linkage.infer(spark, paths, "test", settings)
+    key = F.substring_index(F.col("s1"), "-", -1).cast("long")
+    universe = src.read_entities(spark, paths.source("test", 1)).select(F.col("entity_id").alias("s1"))
+    truth = universe.withColumn("k", key).select("s1", F.explode(F.array_compact(F.array(*[F.when(F.expr(_ENTITIES[n][0].replace("p_partkey", "k")), F.lit(n)) for n in (2, 3)]))).alias("src"), "k")
+    truth = truth.select("s1", "src", F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("tgt"))
+    good = evaluate.macro(evaluate.per_entity(universe, matches, truth)).select(F.lit("macro F0.5 of 0.9 or more").alias("rule"), (F.col("macro_f") >= 0.9).cast("long").alias("n"))
+    size = src.read_truth(spark, f"{paths.out}/matching_results.tsv").agg(F.count("*").alias("n")).select(F.lit("entities").alias("rule"), "n")
+    more = size.unionByName(good).select(F.lit("matching_results.tsv").alias("file"), "rule", "n")
+    return linkage.check(spark, paths).select("file", "rule", "n").unionByName(more)
+
+
 # ---- records, pair features and second stage ---------------------------------------------------------------------------
 
 
