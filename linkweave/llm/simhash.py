@@ -1,14 +1,16 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked within a Hamming distance by vantage-point trees.
 
 A tree over a bounded sample of fingerprints deals all of them over shards: each node has a vantage point and a radius,
-one inside and one outside child. A fingerprint belongs to one leaf; where it lies within the link distance of a
+one inside and one outside child. The sample grows with the number of shards, and shards that turn out large are dealt
+again by trees of their own. A fingerprint belongs to one leaf; where it lies within the link distance of a
 boundary that it's inside of, it also visits the leaves beyond, so each pair within the distance meets in a leaf
 (triangle inequality). A leaf is searched by a tree of its own in the same way, down to blocks that are compared whole.
 The sample shapes the shards, never the result: every pair within the distance is found.
 
 Equal fingerprints are one node from the start, and a leaf gives a spanning forest of its links, not all pairs.
 
-Defined cases: a null or empty text has fingerprint zero, linked like any other; repeated rows each give a row; a null
+Defined cases: a null or empty text has fingerprint zero, linked like any other; a very long text's shingles are counted
+in chunks; repeated rows each give a row; an empty table gives no rows; of equal ids any may stay in ``keep_one``; a null
 id is never a component's smallest id unless all its ids are null; other columns are ignored, whatever their names.
 """
 
@@ -28,8 +30,10 @@ from linkweave.llm.hot import join_unique
 from linkweave.runtime import beside, pick, settle, ship
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
-#: Fingerprints that shape the shards, members that a shard should have, and the shards' number in powers of two.
-SAMPLE, SHARD, LEAST_DEPTH, MOST_DEPTH = 8192, 16384, 6, 16
+#: Fingerprints for each shard that shape them, members that a shard should have, and the shards' number in powers of two.
+SAMPLE, SHARD, LEAST_DEPTH, MOST_DEPTH = 16, 16384, 6, 16
+#: Rows from which a shard is dealt again; shards dealt again at once, and fingerprints that shape each one's tree.
+LARGE, AT_ONCE, RESAMPLE = 8 * SHARD, 1024, 512
 #: Members of a block that is compared whole, fingerprints compared with it at once, shingles counted at once.
 BLOCK, ROWS, CHUNK = 256, 4096, 1 << 15
 
@@ -113,9 +117,9 @@ def shard_tree(sample: np.ndarray, depth: int) -> list:
     return nodes
 
 
-def route(nodes: list, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(leaf, index, member) for every leaf that a fingerprint belongs to or visits."""
-    out, todo = [], [(0 if nodes else -1, np.arange(len(fp)), np.ones(len(fp), bool))]
+def route(nodes: list, fp: np.ndarray, distance: int, member: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, index, member) for every leaf that a fingerprint belongs to or visits; visitors stay visitors."""
+    out, todo = [], [(0 if nodes else -1, np.arange(len(fp)), np.ones(len(fp), bool) if member is None else member)]
     while todo:
         node, index, member = todo.pop()
         if not len(index):
@@ -153,8 +157,11 @@ class Forest:
             np.minimum.at(self.root, high, low)
 
 
-def link_within(fp: np.ndarray, member: np.ndarray, distance: int) -> np.ndarray:
-    """The root position of each fingerprint after all links of a member with a member or visitor."""
+def link_within(fp: np.ndarray, member: np.ndarray, distance: int, beside: np.ndarray | None = None, most: int = 64) -> np.ndarray:
+    """The root position of each fingerprint after all links of a member with a member or visitor.
+
+    With ``beside``, fingerprints of other bits, these must be within ``most`` bits too.
+    """
     forest = Forest(len(fp))
     todo = [(np.arange(len(fp)), member)]
     while todo:
@@ -178,33 +185,84 @@ def link_within(fp: np.ndarray, member: np.ndarray, distance: int) -> np.ndarray
             for j in range(0, n_own, BLOCK):
                 part = mine[j : j + BLOCK]
                 x, y = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[part][None, :]) <= distance)
+                if beside is not None:
+                    near = np.bitwise_count(beside[rows[x]] ^ beside[part[y]]) <= most
+                    x, y = x[near], y[near]
                 forest.join(rows[x], part[y])
     return forest.find(np.arange(len(fp)))
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """From distinct ``fp`` longs: edges (a, b) that connect all fingerprints within ``distance`` of each other."""
-    spark = nodes.sparkSession
-    ship(spark)
+def _divide(sample: np.ndarray, rows: int, distance: int) -> list:
+    """A tree for a shard of ``rows`` rows, none where parting doesn't help, as in a dense group."""
+    tree = shard_tree(sample, max(1, min(7, int(np.ceil(np.log2(rows / SHARD))))))
+    leaf = route(tree, sample, distance)[0]
+    return tree if tree and np.bincount(leaf).max() <= 0.7 * len(sample) else []
+
+
+def _dealt(nodes: DataFrame, distance: int) -> DataFrame:
+    """(leaf, fp, member) for every shard that a fingerprint belongs to or visits, with ``beside`` if ``nodes`` has it."""
+    more = [c for c in nodes.columns if c == "beside"]
+    schema = "leaf long, fp long, member boolean" + ", beside long" * len(more)
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
     depth = min(MOST_DEPTH, max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, n) / SHARD)))))
+    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(max(8192, SAMPLE << depth)).toPandas()["fp"].to_numpy(np.int64)  # 2^20 at most
     tree = shard_tree(sample.view(np.uint64), depth)
 
     def deal(frames):
         for pdf in frames:
             fp = pdf["fp"].to_numpy(np.int64)
             leaf, index, member = route(tree, fp.view(np.uint64), distance)
-            yield pd.DataFrame({"leaf": leaf.astype(np.int32), "fp": fp[index], "member": member})
+            yield pd.DataFrame({"leaf": leaf, "fp": fp[index], "member": member} | {c: pdf[c].to_numpy()[index] for c in more})
+
+    dealt = settle(nodes.select("fp", *more).mapInPandas(deal, schema), "shards")
+    ready, following = None, (1 << depth) + 1
+    for _ in range(16):  # each time shards shrink by a third or so
+        large = dealt.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > LARGE).orderBy(F.desc("rows"), "leaf").limit(AT_ONCE)
+        sizes = {r.leaf: r["rows"] for r in large.collect()}
+        if not sizes:
+            break
+        share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, int((RESAMPLE << 20) / v) + 1)])
+        mine = F.col("leaf").isin(list(sizes))
+        drawn = dealt.filter(mine & F.col("member") & (F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share[F.col("leaf")])).select("leaf", "fp").toPandas()
+        trees, starts = {}, {}
+        for k, rows in sizes.items():
+            trees[k] = _divide(drawn["fp"][drawn["leaf"] == k].to_numpy(np.int64).view(np.uint64), rows, distance)
+            starts[k], following = following, following + 129
+        dense = [k for k in sizes if not trees[k]]
+        if dense:
+            part = dealt.filter(F.col("leaf").isin(dense))
+            ready = part if ready is None else ready.unionByName(part)
+
+        def again(frames, trees=trees, starts=starts):
+            for pdf in frames:
+                for k, group in pdf.groupby("leaf"):
+                    if k not in trees:
+                        yield group
+                    elif trees[k]:
+                        fp = group["fp"].to_numpy(np.int64)
+                        leaf, index, member = route(trees[k], fp.view(np.uint64), distance, group["member"].to_numpy(bool))
+                        yield pd.DataFrame({"leaf": starts[k] + leaf, "fp": fp[index], "member": member} | {c: group[c].to_numpy()[index] for c in more})
+
+        dealt = settle(dealt.mapInPandas(again, schema), "shards")
+    return dealt if ready is None else ready.unionByName(dealt)
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, most: int = 64) -> DataFrame:
+    """From distinct ``fp`` longs: edges (a, b) that connect all fingerprints within ``distance`` of each other.
+
+    Where ``nodes`` has ``beside``, a fingerprint of other bits, linked ones must be within ``most`` of these too.
+    """
+    ship(nodes.sparkSession)
+    held = "beside" in nodes.columns
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy(np.int64)
-        root = link_within(fp.view(np.uint64), pdf["member"].to_numpy(bool), distance)
+        beside = pdf["beside"].to_numpy(np.int64).view(np.uint64) if held else None
+        root = link_within(fp.view(np.uint64), pdf["member"].to_numpy(bool), distance, beside, most)
         linked = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
-    dealt = nodes.select("fp").mapInPandas(deal, "leaf int, fp long, member boolean")
-    return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
+    return _dealt(nodes, distance).groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
