@@ -7,7 +7,8 @@ the window (or a whole shorter item) its words are hit, and the state names the
 Items go to executors in blocks of ``BLOCK_WORDS`` words: each block's automaton is broadcast with a bounded size, and
 a larger benchmark takes several passes over the documents, whose hits are merged per row.
 
-Defined cases: null and empty texts have no words; an item without words, or with a null text, matches nothing; an item
+Defined cases: null and empty texts have no words; a very long text is streamed whole, its words held at once; an empty
+documents table gives no rows; an item without words, or with a null text, matches nothing; an item
 with a null id marks words as hit but isn't listed; equal item ids count once; repeated documents each give a row; an
 empty benchmark hits nothing; other columns are ignored, whatever their names.
 """
@@ -189,7 +190,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Per document: row, doc_id, n_words, spans ([start, end) in words, merged) and items (distinct ids, sorted)."""
     ship(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return _find(rows, _automata(benchmark, window, block_words))
+    automata = _automata(benchmark, window, block_words)
+    return _find(settle(rows, "decontamination-rows") if len(automata) > 1 else rows, automata)  # passes meet by their rows' numbers
 
 
 def _automata(benchmark: DataFrame, window: int, block_words: int) -> list:
