@@ -2,11 +2,13 @@
 
 Open bins are kept by free space, in a bitset with one bit for each amount of space for which there is an open bin. A
 piece goes to the bin with the least space that holds it: the lowest set bit from its length on. With all bins open, the
-fullest closes first. Packers run side by side over shares of the pieces, dealt evenly whatever their ids; each takes
-its share from long to short.
+fullest closes first. Packers run side by side over shares of the pieces, dealt evenly whatever their ids, and take them
+as they come, in lots of ``LOT`` pieces; a lot's long pieces are placed before its short ones (a lot of 1 is placing
+strictly as they come). A packer holds one lot and its open bins, however large its share is.
 
-Defined cases: a null text counts as empty and has the end id alone; repeated rows are packed each; an empty table gives
-no rows; other columns are ignored, whatever their names.
+Defined cases: a null text counts as empty and has the end id alone; a very long text is cut, its ids held at once; equal
+lengths are placed in the order of their digests; repeated rows are packed each; an empty table gives no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from linkweave.runtime import pick, settle, ship
 
 TOKENS, END = 2048, 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Bins that a packer keeps open, and tokens that a packer's share has. A share has fewer bins than may be open.
-OPEN_BINS, SHARE = 16384, 2048 * 8192
+#: Bins that a packer keeps open, pieces of a lot, and tokens of a packer's share: some 16 times as many bins as are open.
+OPEN_BINS, LOT, SHARE = 1024, 1024, 2048 * 16384
 
 
 class Packer:
@@ -104,17 +106,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def pack(parts: DataFrame, capacity: int = TOKENS, open_bins: int = OPEN_BINS, share: int = SHARE) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = TOKENS, open_bins: int = OPEN_BINS, share: int = SHARE, lot: int = LOT) -> DataFrame:
     """``parts``, settled rows with a ``length`` of 1 to ``capacity``, with sequence_id and offset."""
     ship(parts.sparkSession)
     total = parts.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     n = max(1, -(-total // share))
-    dealt = parts.repartition(n).sortWithinPartitions(F.desc("length"), *[c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns])
+    # An order that has nothing to do with lengths, so that a task that runs again packs alike.
+    known = [c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns]
+    dealt = parts.repartition(n).sortWithinPartitions(F.xxhash64(*known), *known) if known else parts.repartition(n)
 
     def run(batches):
         packer, base = Packer(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            placed = np.array([packer.place(x) for x in batch.column("length").to_pylist()], np.int64).reshape(-1, 2)
+            lengths = batch.column("length").to_numpy()
+            placed = np.empty((len(lengths), 2), np.int64)
+            for at in range(0, len(lengths), lot):
+                for k in at + np.argsort(-lengths[at : at + lot], kind="stable"):
+                    placed[k] = packer.place(int(lengths[k]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(base + placed[:, 0]), pa.array(placed[:, 1])],
                 names=[*batch.schema.names, "sequence_id", "offset"],

@@ -1,25 +1,33 @@
 """Token ids by a public tokenizer, made per distinct stretch between spaces and remembered.
 
 Both vocabularies cut a text before they merge bytes, and no cut depends on what is beyond a single space between two
-other characters. So a text is parted there, and each distinct part is encoded once by the library. A part that isn't
-known is composed, where that's exact, of units that are: a word and the mark after it, the sides of a line break. The
-memory is bounded: it starts anew when it has ``REMEMBER`` parts (some 250 bytes each).
+other characters. So a text is parted there, and where that's exact a part again: a word and the mark after it, the sides
+of a line break. Each distinct unit is encoded once by the library, words by its model and others by the whole of it. The
+memory is bounded: of two generations of ``REMEMBER`` units each (some 250 bytes a unit) the older goes when the younger
+is full, and what's met again becomes young.
+
+Strings of special tokens in a text become those tokens, as the library does by default: they have no white space, so
+each lies in one part. Shortcuts are taken for ASCII digits and marks, and for letters whose class is the same in all
+versions of Unicode and whose lower case is one letter (Latin, Greek and Cyrillic, without the dotted capital I); the
+library has the rest.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-REMEMBER = 1_000_000
-#: A text's parts are learned in slices of 1/``SLICES`` of the memory: a part takes at most three places, with its units,
-#: so a slice that is learned in two goes, the first of which began anew, doesn't begin anew again.
-SLICES = 4
+REMEMBER = 300_000
 
 _ADJACENT = re.compile(r"\s\s")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
+# Without the capital sigma, whose lower case depends on its place in Python alone.
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isalpha() and c != "\u03a3" and len(c.lower()) == 1 and unicodedata.is_normalized("NFC", c))
+#: A word or an ASCII number, and marks after it: two units whatever the marks are, as none of them is a letter.
+_ENDED = re.compile(f"(?:([{_LETTERS}]+)|([0-9]+))([!-/:-@\\[-`{{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -29,6 +37,9 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = _byte_letters()
+_SPACE = _BYTES[0x20]
+#: How byte-level vocabularies write the letters that shortcuts are taken for, beyond ASCII.
+_WIDE = {ord(c): c.encode().decode("latin-1").translate(_BYTES) for c in set(_LETTERS + _LETTERS.lower()) if not c.isascii()}
 
 
 class Encoder:
@@ -37,56 +48,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         # A space between parts belongs to the part after it, unless the tokenizer drops white space.
         self.space = "" if self.tokenizer.normalizer is not None else " "
-        self.known: dict[str, bytes] = {}  # parts with the space before them
-        self.first: dict[str, bytes] = {} if self.space else self.known  # parts without
-
-    def _units(self, part: str, spaced: bool) -> list[tuple[str, bool]]:
-        """Stretches that the tokenizer keeps apart whatever surrounds them; true for those with the space before."""
-        left, line, right = part.partition("\n")
-        if line and left and right and not left[-1].isspace() and not right[0].isspace():
-            return [*self._units(left, spaced), *([("\n", False)] if self.space else []), *self._units(right, False)]
-        if len(part) > 1 and part[-1] in ".," and part[-2].isalnum():
-            return [(part[:-1], spaced), (part[-1], False)]
-        return [(part, spaced)]
+        self.known: dict[str, bytes] = {}  # units with the space before them
+        self.first: dict[str, bytes] = {} if self.space else self.known  # units without
+        self.known_before: dict[str, bytes] = {}
+        self.first_before: dict[str, bytes] = {} if self.space else self.known_before
+        self.codes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.merge = self.tokenizer.model.tokenize
+
+    def _merged(self, unit: str) -> bytes:
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.merge(unit)])
 
     def _word(self, unit: str, spaced: bool) -> bytes | None:
-        """Ids of letters alone, which the library's model merges as one word; None for other units."""
-        if not self.space and not unit.isascii():
-            unit = self.tokenizer.normalizer.normalize_str(unit)
-        if not unit.isalpha():
-            return None
-        text = (self.space + unit) if spaced else unit
+        """Ids of letters or digits alone, and of marks after them, which the library's model merges; None for other units."""
+        marks = ""
+        if not (unit.isascii() and unit.isalpha()):
+            found = _ENDED.fullmatch(unit)
+            if not found:
+                return None
+            unit, digits, marks = found.groups()
+            if digits:
+                ids = self._merged(_SPACE + digits if spaced else digits) if self.space else b"".join([self._merged(d) for d in digits])
+                return ids + self._ids(marks, False) if marks else ids
         if not self.space:
-            text = text.lower()
-        letters = text.encode().decode("latin-1").translate(_BYTES)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-
-    def _learn(self, parts: set[str], spaced: bool) -> None:
-        if len(self.known) + len(parts) > REMEMBER:
-            self.known.clear()
-        if len(self.first) + len(parts) > REMEMBER:
-            self.first.clear()
-        units = {part: self._units(part, spaced) for part in parts}
-        new = {u for x in units.values() for u in x if u[0] not in (self.known if u[1] else self.first)}
-        order = []
-        for unit, s in new:
-            ids = self._word(unit, s)
-            if ids is None:
-                order.append((unit, s))
-            else:
-                (self.known if s else self.first)[unit] = ids
-        for k in range(0, len(order), 10_000):
-            some = order[k : k + 10_000]
-            texts = [self.space + x if s else x for x, s in some]
-            for (unit, s), got in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                (self.known if s else self.first)[unit] = np.array(got.ids, "<u4").tobytes()
-        memory = self.known if spaced else self.first
-        for part, x in units.items():
-            if len(x) > 1:
-                memory[part] = b"".join([(self.known if s else self.first)[u] for u, s in x])
+            unit = unit.lower()
+        if not unit.isascii():
+            unit = unit.translate(_WIDE)
+        ids = self._merged(_SPACE + unit if spaced and self.space else unit)
+        return ids + self._ids(marks, False) if marks else ids
+
+    def _ids(self, part: str, spaced: bool) -> bytes:
+        """Ids of a part, or of a unit; true for those with the space before."""
+        memory, before = (self.known, self.known_before) if spaced else (self.first, self.first_before)
+        ids = memory.get(part)
+        if ids is not None:
+            return ids
+        ids = before.get(part) or self._word(part, spaced)
+        if ids is None:
+            left, line, right = part.partition("\n")
+            if line and left and right and not left[-1].isspace() and not right[0].isspace():
+                return self._ids(left, spaced) + (self._ids("\n", False) if self.space else b"") + self._ids(right, False)
+            got = self.tokenizer.encode_batch_fast([self.space + part if spaced else part], add_special_tokens=False)
+            ids = np.array(got[0].ids, "<u4").tobytes()
+        self._keep(memory, before, part, ids)
+        return ids
+
+    @staticmethod
+    def _keep(memory: dict[str, bytes], before: dict[str, bytes], part: str, ids: bytes) -> None:
+        if len(memory) >= REMEMBER:
+            before.clear()
+            before.update(memory)
+            memory.clear()
+        memory[part] = ids
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -98,20 +113,20 @@ class Encoder:
             head, *parts = _SINGLE.split(text)
         else:
             head, *parts = text.split(" ")
-        if head not in self.first:
-            self._learn({head}, False)
-        start = self.first[head]
-        try:
-            return start + b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            ids, size = [start], max(1, REMEMBER // SLICES)
-            for at in range(0, len(parts), size):
-                some = parts[at : at + size]
-                self._learn(set(some).difference(self.known), True)
-                if not all(map(self.known.__contains__, some)):  # the memory has just begun anew
-                    self._learn(set(some).difference(self.known), True)
-                ids += map(self.known.__getitem__, some)
-            return b"".join(ids)
+        first = self._ids(head, False)
+        known, before, merge, codes, space = self.known, self.known_before, self.merge, self.codes, self.space
+        found = list(map(known.get, parts))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    part = parts[k]
+                    if part.isalpha() and part.isascii():  # most new parts: ``_ids`` in short
+                        ids = before.get(part) or b"".join([codes[t.id] for t in merge(_SPACE + part if space else part.lower())])
+                        self._keep(known, before, part, ids)
+                        found[k] = ids
+                    else:
+                        found[k] = self._ids(part, True)
+        return first + b"".join(found)
 
 
 _MADE: dict[str, Encoder] = {}
