@@ -694,6 +694,66 @@ def folds(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(learn.fold_of(F.col("s1"), 10).alias("fold")).agg(F.countDistinct("s1").alias("n"))
 
 
+_FOLD_SQL = "(('0x' || substr(md5('42:' || s1), 1, 8))::UBIGINT % 10)::INTEGER"
+
+
+@query(f"""WITH {_P}, f AS (SELECT DISTINCT s1, {_FOLD_SQL} AS fold FROM pairs)
+SELECT fold, fold < 3 AS encoder, CASE WHEN fold >= 3 THEN (fold - 3) % 4 END AS cv, count(*) AS n FROM f GROUP BY ALL""")
+def split_folds(spark, sf_dir):
+    """M1: ten folds, those that encoders learn on, and the rankers' folds among the others."""
+    return _pairs(spark, sf_dir).select("s1").distinct().select(learn.split(F.col("s1")).alias("s")).select("s.*").groupBy("fold", "encoder", "cv").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_P}, {_TRUTH}, f AS (SELECT *, {_FOLD_SQL} AS fold FROM pairs),
+m AS (SELECT DISTINCT s1 FROM f WHERE fold >= 3 ORDER BY md5('42:' || s1), s1 LIMIT 400)
+SELECT s1, src, tgt, p, ((fold - 3) % 4)::INTEGER AS fold, ((s1 + tgt) % 3 = 0)::INTEGER AS y FROM f JOIN m USING (s1)""")
+def training_rows(spark, sf_dir):
+    """M2: the candidates of a number of first entities (a parameter) outside the encoders' folds, labelled."""
+    pairs = _pairs(spark, sf_dir)
+    return learn.label(pairs.join(learn.training_keys(pairs, 400), "s1"), _truth(pairs)).select("s1", "src", "tgt", "p", "fold", "y")
+
+
+@query(f"""WITH {_EF}, {_ENTITY} SELECT round(avg(1 - f), 6) AS mean_loss, round(sum(CASE WHEN n_true = 0 THEN 1 - f ELSE 0 END) / sum(1 - f), 6) AS singletons_share,
+  round(sum(CASE WHEN n_true > 0 AND n_pred = 0 THEN 1 - f ELSE 0 END) / sum(1 - f), 6) AS empty_share, round(sum(CASE WHEN n_true > 0 AND n_pred > 0 THEN 1 - f ELSE 0 END) / sum(1 - f), 6) AS partial_share FROM f""")
+def loss_shares(spark, sf_dir):
+    """E5: which entities the loss comes from."""
+    out = evaluate.loss_shares(_entities(spark, sf_dir))
+    return out.select(*[_r(c, c) for c in out.columns])
+
+
+@query(f"""WITH {_EF}, {_TRUTH}, c AS (SELECT s1, src, tgt, p FROM pairs WHERE p >= 0.1),
+a AS (SELECT 'false positive' AS kind, s1, src, tgt FROM ef ANTI JOIN truth USING (s1, src, tgt)), b AS (SELECT 'refused link' AS kind, t.* FROM truth t ANTI JOIN ef USING (s1, src, tgt) SEMI JOIN c USING (s1, src, tgt)),
+d AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || s1 || ':' || src || ':' || tgt), s1, src, tgt) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b))
+SELECT kind, s1, src, tgt, p FROM d LEFT JOIN c USING (s1, src, tgt) WHERE n <= 10""")
+def error_samples(spark, sf_dir):
+    """E5: ten errors of each kind (the report's size) at random, with their scores."""
+    pairs = _pairs(spark, sf_dir)
+    return evaluate.error_samples(decide.expected_f(decide.exclusive(pairs)), _truth(pairs), pairs.filter("p >= 0.1"), 10)
+
+
+@query("""SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier""")
+def union_by_name(spark, sf_dir):
+    """Rows of two sources by column name, columns that one lacks null there."""
+    a = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = _read(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return records.union_sources(a, b)
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice::FLOAT AS p_retailprice FROM part")
+def parquet_round_trip(spark, sf_dir):
+    """Doubles as floats, written to Parquet and read back."""
+    path = fresh_path(spark, "parts")
+    src.write_parquet(learn.as_floats(_read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")), path)
+    return spark.read.parquet(path)
+
+
+@query(f"SELECT p_partkey AS id, {_base_sql('p_name')} || ' || ' || {_base_sql('p_type')} AS ftext FROM part")
+def full_text(spark, sf_dir):
+    """what a pair scorer reads of a record."""
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), records.full_text(tx.base(F.col("p_name")), tx.base(F.col("p_type"))).alias("ftext"))
+
+
 # ---- similarities ----------------------------------------------------------------------------------------------------
 
 _NAMES = """n AS (SELECT a.p_partkey AS id, a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)"""
@@ -1170,12 +1230,15 @@ def validate_file(spark, sf_dir):
 
 @query()
 def adapted_scores(spark, sf_dir):
-    """Models of labelled groups and of pseudo-labels in another, cross-fitted; rows by unseen folds."""
+    """Models of labelled groups and of pseudo-labels in another, cross-fitted, if they pass the gate; rows by unseen folds."""
     docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
     n = F.size(tx.tokens(F.col("text")))
     rows = docs.select("doc_id", "lang", F.col("quality").alias("y"), learn.fold_of(F.col("doc_id"), 2).alias("fold"), n.cast("double").alias("words"), (F.length("text") / (n + 1)).alias("chars"))
     names = ["words", "chars"]
     labelled = rows.filter("y IS NOT NULL AND lang <> 'fr'")
-    french = learn.predict(rows.filter("lang = 'fr'").drop("y"), names, learn.fit_folds(labelled, names, 2), "p").withColumns({"src": F.lit(2), "tgt": F.col("doc_id"), "near": F.lit(False)})
+    before = learn.fit_folds(labelled, names, 2)
+    french = learn.predict(rows.filter("lang = 'fr'").drop("y"), names, before, "p").withColumns({"src": F.lit(2), "tgt": F.col("doc_id"), "near": F.lit(False)})
     pseudo = adapt.pseudo_labels(french, 0.9, 0.1).drop("p", "src", "tgt", "near")
-    return learn.predict(rows, names, learn.adapt_fit(labelled, pseudo, names)).select("doc_id", "lang", "fold", _r("p", "p"))
+    likelihood = lambda df: -df.agg(learn.log_loss(F.col("y"), F.col("p")).alias("x")).first().x
+    models = learn.adapt_gated(labelled, pseudo, names, before, likelihood, slack=0.05)
+    return learn.predict(rows, names, models).select("doc_id", "lang", "fold", _r("p", "p"))

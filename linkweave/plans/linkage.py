@@ -16,6 +16,7 @@ import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +125,9 @@ def train(spark: SparkSession, paths: Paths, settings: Settings = Settings()) ->
     truth = settle(truth.select(*PAIR), "truth")
     compared = settle(compare(candidates(first, targets, settings), first, targets), "compared")
     names = columns(compared)
-    rows = settle(learn.training_rows(compared, truth, settings.subset), "training-rows")
+    keys = settle(learn.training_keys(first.select(F.col("id").alias("s1")), settings.subset, settings.folds), "training-keys")
+    universe = keys.select("s1")
+    rows = settle(learn.label(compared.join(keys, "s1"), truth), "training-rows")
     stage1 = learn.fit_folds(rows, names, settings.folds, settings.first, paths.kept("train", "stage1"), settings.early_stop)
     # Context is of all candidates; those in training rows have the model that hasn't seen them.
     fold = rows.select(*PAIR, "fold", "y")
@@ -135,7 +138,6 @@ def train(spark: SparkSession, paths: Paths, settings: Settings = Settings()) ->
     for name in settings.learners:
         out = learn.predict(out, more, learn.fit_folds(second, more, settings.folds, name, paths.kept("train", "stage2"), settings.early_stop), f"p_{name}")
     out = settle(out.select(*PAIR, "y", "fold", "p1", *[f"p_{x}" for x in settings.learners]), "out-of-fold")
-    universe = rows.select("s1").distinct().unionByName(first.select(F.col("id").alias("s1")).join(rows.select("s1"), "s1", "left_anti").filter(~learn.split(F.col("s1"))["encoder"]))
     tried = []
 
     def score(scored: DataFrame) -> float:
@@ -204,6 +206,11 @@ def main(argv: list[str]) -> int:
     except (UnicodeDecodeError, FileNotFoundError) as error:
         print(error, file=sys.stderr)
         return 2
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        print(error, file=sys.stderr)
+        return 2
     broken = [r for r in report if r.n and r.rule != "outside candidates"]
     for r in report:
         if r.n:

@@ -143,6 +143,68 @@ def test_predict_uses_unseen_folds(spark):
     assert sum((r.p > 0.5) == bool(r.y) for r in got) > 190
 
 
+def test_models_are_kept_and_stop_early(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(k, float(k % 10), int(k % 10 > 4), k // 10 % 2) for k in range(200)], "id long, a double, y int, fold int")
+    path = str(tmp_path / "models")
+    first = learn.fit_folds(rows, ["a"], 2, path=path, early_stop=0.01)
+    assert all(len(m.treeWeights) < 20 for m in first)  # the loss falls no more after a few rounds
+    monkeypatch.setitem(learn.LEARNERS, "gbt", None)  # nothing is fitted again
+    again = learn.fit_folds(rows, ["a"], 2, path=path)
+    a, b = ({r.id: r.p for r in learn.predict(rows, ["a"], m).collect()} for m in (first, again))
+    assert a == b
+    assert learn.load_model(spark, path + "/none", "gbt") is None
+
+
+def test_blend_and_gate(spark):
+    rows = spark.createDataFrame([(1, 0.9, 0.2), (0, 0.4, 0.1), (1, 0.3, 0.95), (0, 0.35, 0.3)], "y int, a double, b double")
+    loss = lambda df: -df.agg(learn.log_loss(F.col("y"), F.col("p")).alias("x")).first().x
+    chosen, value = learn.best_blend(rows, ["a", "b"], loss)
+    assert chosen == ["a", "b"] and value > max(loss(rows.withColumn("p", F.col(c))) for c in "ab")
+    assert learn.best_blend(rows, ["a"], loss)[0] == ["a"]
+    assert learn.passes_gate(0.9, 0.91) and not learn.passes_gate(0.9, 0.89) and learn.passes_gate(0.9, 0.895, 0.01)
+
+
+def test_paths_and_small_files(spark, tmp_path):
+    paths = src.Paths.from_env({"LINKWEAVE_OUT": "/o"}, "/r")
+    assert (paths.source("test", 2), paths.truth(), paths.kept("train", "x"), paths.out) == ("/r/dataset/test_source2.tsv", "/r/dataset/train_ground_truth.tsv", "/r/work/train/x", "/o")
+    at = f"{tmp_path}/deep/decision.json"
+    for text in ("first", src.Decision(t=0.7).dumps()):
+        src.write_text(spark, at, text)
+        assert src.read_text(spark, at) == text
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.startswith(".")] == ["decision.json"]
+
+
+def test_check_and_its_exit_codes(spark, tmp_path, monkeypatch, capsys):
+    from linkweave.plans import linkage
+
+    paths = src.Paths(f"{tmp_path}/data", f"{tmp_path}/work", f"{tmp_path}/out")
+    for k in (1, 2, 3):
+        src.write_tsv(spark.createDataFrame([(f"S{k}-{n}", "a", "b", "US") for n in (1, 2)], src.ENTITY), paths.source("test", k))
+    for name, root in (("DATA", paths.data), ("WORK", paths.work), ("OUT", paths.out)):
+        monkeypatch.setenv(f"LINKWEAVE_{name}", root)
+    universe = spark.createDataFrame([("S1-1",), ("S1-2",)], "s1 string")
+    for file, ids in (("matching_results.tsv", "S2-1,S3-2"), ("candidate_pairs.tsv", "S2-1")):
+        src.write_id_lists(universe, spark.createDataFrame([("S1-1", ids)], "s1 string, ids string"), f"{paths.out}/{file}", linkage.HEADERS[file])
+    assert linkage.main(["check"]) == 0 and "warning" in capsys.readouterr().out  # a match outside its candidates
+    bad = src.Paths(paths.data, paths.work, f"{tmp_path}/bad")
+    monkeypatch.setenv("LINKWEAVE_OUT", bad.out)
+    for file, header in linkage.HEADERS.items():
+        src.write_id_lists(universe, spark.createDataFrame([("S1-1", "S2-9")], "s1 string, ids string"), f"{bad.out}/{file}", header)
+    assert linkage.main(["check"]) == 1 and "unknown id" in capsys.readouterr().out
+    assert linkage.main(["infer"]) == 2  # nothing was learnt
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from linkweave.runtime import shared_root
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(cluster)
+
+
 def test_tsv_round_trip(spark, tmp_path):
     (tmp_path / "s.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS2-1\ta "b\t\tFR\nS2-2\tx\n')
     got = src.read_entities(spark, str(tmp_path / "s.tsv")).orderBy("entity_id").collect()
