@@ -12,7 +12,7 @@ A text is stored once, with the places, digests and band keys of its paragraphs;
 place: a bounded sieve holds back all but keys that may have a partner, and only those meet by a shuffle. Equal lines
 (128 bits) are one from the start, so copies meet no bucket twice, and of buckets with the same members one is verified.
 In a bucket each line looks for one link to each component met so far, and a bucket gives a spanning forest, not all
-pairs. A bucket of more than ``BUCKET`` distinct lines is dealt in blocks that share some ``HUBS`` of its lines; where
+pairs. A bucket of more than ``BUCKET`` distinct lines or ``BUCKET_BYTES`` is dealt in blocks that share some ``HUBS`` of its lines; where
 these don't connect all of it, the lines outside its largest component meet all its blocks. Each class of linked
 paragraphs keeps its first (by row); others are removals. Documents that share a class are joined into components.
 
@@ -38,8 +38,9 @@ from linkweave.runtime import pick, settle, ship
 SHINGLE, SIMILARITY = 5, 0.8
 LINE, PASSAGE = 20, 25
 BANDS, ROWS = 6, 3
-#: Distinct lines that are verified as one bucket, lines that the blocks of a larger one share, rows worked on at once.
-BUCKET, HUBS, ROWS_AT_ONCE = 4000, 8, 1000
+#: Distinct lines, and their bytes, that are verified as one bucket, lines that the blocks of a larger one share, rows
+#: worked on at once.
+BUCKET, BUCKET_BYTES, HUBS, ROWS_AT_ONCE = 4000, 8 << 20, 8, 1000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(11)
@@ -240,7 +241,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return numbered.mapInArrow(run, f"row long, doc_id {kind}, text binary, lines array<struct<kind:tinyint,start:int,n:int,h1:bigint,h2:bigint,bands:array<bigint>>>, passages array<struct<start:int,h1:bigint,h2:bigint>>")
 
 
-def verify(ids: list[int], lines: list[bytes], sides: list[int]) -> list[tuple[int, int]]:
+def verify(ids: list[int], lines: list[bytes], sides: list[int], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
     """Links of a bucket's lines, or of two blocks of it (then only across): each line against components, until one links."""
     sets = [frozenset(shingles(word_hashes(x.split())).tolist()) for x in lines]
     groups: list[list[int]] = []
@@ -251,7 +252,7 @@ def verify(ids: list[int], lines: list[bytes], sides: list[int]) -> list[tuple[i
             for m in members:
                 if sides[k] != sides[m] or sides[k] == 2:
                     low, high = sorted((len(sets[k]), len(sets[m])))
-                    if low >= SIMILARITY * high and jaccard(sets[k], sets[m]) >= SIMILARITY:
+                    if low >= similarity * high and jaccard(sets[k], sets[m]) >= similarity:
                         linked.append(g)
                         out.append((ids[k], ids[m]))
                         break
@@ -262,11 +263,11 @@ def verify(ids: list[int], lines: list[bytes], sides: list[int]) -> list[tuple[i
     return out
 
 
-def _verify_sorted(batches):
+def _verify_sorted(batches, similarity: float):
     """``verify`` on each bucket of batches sorted by bucket; one call serves many buckets."""
 
     def links(rows: list) -> pa.RecordBatch:
-        found = verify(*map(list, zip(*rows, strict=True)))
+        found = verify(*map(list, zip(*rows, strict=True)), similarity)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     held, bucket = [], None
@@ -282,43 +283,48 @@ def _verify_sorted(batches):
         yield links(held)
 
 
-def _verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Edges from (bucket, x, y, id, side) and (id, line)."""
     order = ["bucket", "x", "y"]
     met = rows.join(texts, "id").select(*order, "id", "line", "side")
-    return met.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(_verify_sorted, "a long, b long")
+    return met.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(lambda batches: _verify_sorted(batches, similarity), "a long, b long")
 
 
-def line_links(keys: DataFrame, text_of) -> DataFrame:
+def line_links(keys: DataFrame, text_of, similarity: float = SIMILARITY) -> DataFrame:
     """From distinct (band, key, id): edges (a, b) between lines of at least the similarity.
 
     ``text_of`` maps a table of distinct ids to (id, line); only colliding lines are asked for.
     """
     keys = keys.select(F.xxhash64("band", "key").alias("bucket"), "id")
-    sizes = settle(keys.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
-    met = settle(join_unique(sieve(keys, "bucket", sizes), sizes.withColumn("n", F.col("size")), "bucket"), "collisions")
-    # Buckets with the same members are one; a set is known by its size and two hashes.
-    sets = met.groupBy("bucket").agg(F.first("size").alias("n"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("t"))
-    one = settle(sets.groupBy("n", "s", "t").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    met = settle(join_unique(met, one, "bucket").withColumn("blocks", F.ceil(F.col("size") / BUCKET).cast("int")), "met")
+    sizes = settle(keys.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    met = settle(join_unique(sieve(keys, "bucket", sizes), sizes, "bucket"), "collisions")
     texts = settle(text_of(met.select("id").distinct()), "line-texts")
+    met = settle(met.join(texts.select("id", F.octet_length("line").cast("long").alias("bytes")), "id"), "weighed")
+    # Buckets with the same members are one; a set is known by its size and two hashes.
+    sets = met.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("all"), F.bit_xor(F.xxhash64("id")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("t"))
+    in_blocks = lambda n, size: F.greatest(F.ceil(n / BUCKET), F.ceil(size / BUCKET_BYTES)).cast("int")
+    one = sets.groupBy("n", "all", "s", "t").agg(F.min("bucket").alias("bucket"))
+    one = settle(one.select("bucket", "n", F.col("n").alias("size"), in_blocks(F.col("n"), F.col("all")).alias("blocks")), "buckets")
+    met = settle(join_unique(met, one, "bucket"), "met")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(3), "id"), F.col("size")) < HUBS)
     inside = met.withColumn("x", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
-    edges = settle(_verified(inside.select("bucket", "x", F.col("x").alias("y"), "id", F.lit(2).alias("side")), texts), "line-links")
+    edges = settle(_verified(inside.select("bucket", "x", F.col("x").alias("y"), "id", F.lit(2).alias("side")), texts, similarity), "line-links")
     big = met.filter("blocks > 1")
     if big.isEmpty():
         return edges
     # Lines outside the largest component of their bucket meet all blocks of it.
     named = big.join(connected_components(edges), F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "id")).drop("node", "component")
     named = settle(named, "big-buckets")
-    parts = named.groupBy("bucket", "part").agg(F.count("*").alias("of"))
-    largest = settle(parts.groupBy("bucket").agg(F.max_by("part", "of").alias("most"), F.sum("of").alias("n"), F.max("of").alias("of")), "largest-parts")
-    named = join_unique(named, largest.withColumn("strips", F.ceil((F.col("n") - F.col("of")) / BUCKET).cast("int")).drop("of"), "bucket").filter("strips > 0")
+    parts = named.groupBy("bucket", "part").agg(F.count("*").alias("of"), F.sum("bytes").alias("bytes"))
+    largest = parts.groupBy("bucket").agg(F.max_by(F.struct("part", "of", "bytes"), "of").alias("x"), F.sum("of").alias("n"), F.sum("bytes").alias("all"))
+    strips = in_blocks(F.col("n") - F.col("x.of"), F.col("all") - F.col("x.bytes"))
+    largest = settle(largest.select("bucket", "n", F.col("x.part").alias("most"), strips.alias("strips")), "largest-parts")
+    named = join_unique(named, largest, "bucket").filter("strips > 0")
     strip = F.pmod(F.xxhash64("id"), F.col("strips")).cast("int")
     outer = named.filter("part <> most").select("bucket", strip.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "id", F.lit(0).alias("side"))
     every = named.select("bucket", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("x"), block.alias("y"), "id", F.lit(1).alias("side"))
-    return edges.unionByName(settle(_verified(outer.unionByName(every), texts), "line-links"))
+    return edges.unionByName(settle(_verified(outer.unionByName(every), texts, similarity), "line-links"))
 
 
 def _slices(batches):
