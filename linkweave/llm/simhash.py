@@ -32,8 +32,8 @@ from linkweave.runtime import beside, pick, settle, ship
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Fingerprints for each shard that shape them, members that a shard should have, and the shards' number in powers of two.
 SAMPLE, SHARD, LEAST_DEPTH, MOST_DEPTH = 16, 16384, 6, 16
-#: Rows from which a shard is dealt again; shards dealt again at once, and fingerprints that shape each one's tree.
-LARGE, AT_ONCE, RESAMPLE = 8 * SHARD, 1024, 512
+#: Times its due rows from which a shard is dealt again; shards dealt again at once, and fingerprints that shape each one's tree.
+LARGE, AT_ONCE, RESAMPLE = 8, 1024, 512
 #: Members of a block that is compared whole, fingerprints compared with it at once, shingles counted at once.
 BLOCK, ROWS, CHUNK = 256, 4096, 1 << 15
 
@@ -192,19 +192,19 @@ def link_within(fp: np.ndarray, member: np.ndarray, distance: int, beside: np.nd
     return forest.find(np.arange(len(fp)))
 
 
-def _divide(sample: np.ndarray, rows: int, distance: int) -> list:
-    """A tree for a shard of ``rows`` rows, none where parting doesn't help, as in a dense group."""
-    tree = shard_tree(sample, max(1, min(7, int(np.ceil(np.log2(rows / SHARD))))))
+def _divide(sample: np.ndarray, times: float, distance: int) -> list:
+    """A tree for a shard so many times too large, none where parting doesn't help, as in a dense group."""
+    tree = shard_tree(sample, max(1, min(7, int(np.ceil(np.log2(times))))))
     leaf = route(tree, sample, distance)[0]
     return tree if tree and np.bincount(leaf).max() <= 0.7 * len(sample) else []
 
 
-def _dealt(nodes: DataFrame, distance: int) -> DataFrame:
+def _dealt(nodes: DataFrame, distance: int, shard: int) -> DataFrame:
     """(leaf, fp, member) for every shard that a fingerprint belongs to or visits, with ``beside`` if ``nodes`` has it."""
     more = [c for c in nodes.columns if c == "beside"]
     schema = "leaf long, fp long, member boolean" + ", beside long" * len(more)
     n = nodes.count()
-    depth = min(MOST_DEPTH, max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, n) / SHARD)))))
+    depth = min(MOST_DEPTH, max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, n) / shard)))))
     sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(max(8192, SAMPLE << depth)).toPandas()["fp"].to_numpy(np.int64)  # 2^20 at most
     tree = shard_tree(sample.view(np.uint64), depth)
 
@@ -214,43 +214,44 @@ def _dealt(nodes: DataFrame, distance: int) -> DataFrame:
             leaf, index, member = route(tree, fp.view(np.uint64), distance)
             yield pd.DataFrame({"leaf": leaf, "fp": fp[index], "member": member} | {c: pdf[c].to_numpy()[index] for c in more})
 
-    dealt = settle(nodes.select("fp", *more).mapInPandas(deal, schema), "shards")
-    ready, following = None, (1 << depth) + 1
+    dealt = nodes.select("fp", *more).mapInPandas(deal, schema)  # cheaper dealt twice than written and then shuffled
+    ready, following = [], (1 << depth) + 1
     for _ in range(16):  # each time shards shrink by a third or so
-        large = dealt.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > LARGE).orderBy(F.desc("rows"), "leaf").limit(AT_ONCE)
+        large = dealt.groupBy("leaf").agg(F.count("*").alias("rows")).filter(F.col("rows") > LARGE * shard).orderBy(F.desc("rows"), "leaf").limit(AT_ONCE)
         sizes = {r.leaf: r["rows"] for r in large.collect()}
         if not sizes:
             break
-        share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, int((RESAMPLE << 20) / v) + 1)])
         mine = F.col("leaf").isin(list(sizes))
-        drawn = dealt.filter(mine & F.col("member") & (F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share[F.col("leaf")])).select("leaf", "fp").toPandas()
+        ready.append(dealt.filter(~mine))
+        dealt = settle(dealt.filter(mine), "large-shards")
+        share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, int((RESAMPLE << 20) / v) + 1)])
+        drawn = dealt.filter(F.col("member") & (F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < share[F.col("leaf")])).select("leaf", "fp").toPandas()
         trees, starts = {}, {}
         for k, rows in sizes.items():
-            trees[k] = _divide(drawn["fp"][drawn["leaf"] == k].to_numpy(np.int64).view(np.uint64), rows, distance)
+            trees[k] = _divide(drawn["fp"][drawn["leaf"] == k].to_numpy(np.int64).view(np.uint64), rows / shard, distance)
             starts[k], following = following, following + 129
         dense = [k for k in sizes if not trees[k]]
         if dense:
-            part = dealt.filter(F.col("leaf").isin(dense))
-            ready = part if ready is None else ready.unionByName(part)
+            ready.append(dealt.filter(F.col("leaf").isin(dense)))
 
         def again(frames, trees=trees, starts=starts):
             for pdf in frames:
                 for k, group in pdf.groupby("leaf"):
-                    if k not in trees:
-                        yield group
-                    elif trees[k]:
+                    if trees[k]:
                         fp = group["fp"].to_numpy(np.int64)
                         leaf, index, member = route(trees[k], fp.view(np.uint64), distance, group["member"].to_numpy(bool))
                         yield pd.DataFrame({"leaf": starts[k] + leaf, "fp": fp[index], "member": member} | {c: group[c].to_numpy()[index] for c in more})
 
         dealt = settle(dealt.mapInPandas(again, schema), "shards")
-    return dealt if ready is None else ready.unionByName(dealt)
+    for part in ready:
+        dealt = dealt.unionByName(part)
+    return dealt
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, most: int = 64) -> DataFrame:
-    """From distinct ``fp`` longs: edges (a, b) that connect all fingerprints within ``distance`` of each other.
+def links(nodes: DataFrame, distance: int = DISTANCE, most: int = 64, shard: int | None = None) -> DataFrame:
+    """From distinct, settled ``fp`` longs: edges (a, b) that connect all fingerprints within ``distance`` of each other.
 
-    Where ``nodes`` has ``beside``, a fingerprint of other bits, linked ones must be within ``most`` of these too.
+    Shards have some ``shard`` members. Where ``nodes`` has ``beside``, a fingerprint of other bits, linked ones must be within ``most`` of these too.
     """
     ship(nodes.sparkSession)
     held = "beside" in nodes.columns
@@ -262,7 +263,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE, most: int = 64) -> DataFra
         linked = root != np.arange(len(fp))
         return pd.DataFrame({"a": fp[linked], "b": fp[root[linked]]})
 
-    return _dealt(nodes, distance).groupBy("leaf").applyInPandas(search, "a long, b long")
+    return _dealt(nodes, distance, shard or SHARD).groupBy("leaf").applyInPandas(search, "a long, b long")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
