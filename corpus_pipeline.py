@@ -2,13 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 documents. Between stages ``run`` writes Parquet to the shared folder and reads it again.
+
+Defined cases: a null or empty text is rejected by the rules; of repeated rows and of near-duplicates one stays, that with
+the smallest id, a null id only where there's no other; very long texts go through whole; an empty table gives no rows;
+other columns stay up to packing, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import decontaminate, packing, quality, secrets, simhash
+from linkweave.llm import decontaminate, near_texts, packing, quality, secrets
 from linkweave.runtime import settle
 
 
@@ -18,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8) stays, found by SimHash."""
+    return near_texts.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
