@@ -960,7 +960,7 @@ def _entity_files(spark, sf_dir, paths):
     src.write_tsv(truth, paths.truth())
 
 
-@query("""WITH r(rule) AS (VALUES ('malformed row'), ('duplicate s1'), ('duplicate id'), ('self match'), ('wrong prefix'), ('missing s1'), ('unexpected s1'), ('unknown id')),
+@query("""WITH r(rule) AS (VALUES ('malformed row'), ('encoding error'), ('duplicate s1'), ('duplicate id'), ('self match'), ('wrong prefix'), ('missing s1'), ('unexpected s1'), ('unknown id')),
 f(file) AS (VALUES ('matching_results.tsv'), ('candidate_pairs.tsv'))
 SELECT file, rule, 0::BIGINT AS n FROM r, f UNION ALL SELECT 'matching_results.tsv', 'outside candidates', 0
 UNION ALL SELECT 'matching_results.tsv', 'entities', count(*) FROM part WHERE p_partkey % 2 = 1
@@ -1218,7 +1218,7 @@ def id_list_file(spark, sf_dir):
 
 
 @query(f"""WITH {_LISTS}, u AS (SELECT o_orderkey AS s1 FROM orders), y AS (SELECT DISTINCT s1, id FROM x)
-SELECT 'malformed row' AS rule, 0::BIGINT AS n, NULL::VARCHAR AS sample UNION ALL SELECT 'duplicate s1', 0, NULL UNION ALL SELECT 'duplicate id', 0, NULL
+SELECT 'malformed row' AS rule, 0::BIGINT AS n, NULL::VARCHAR AS sample UNION ALL SELECT 'encoding error', 0, NULL UNION ALL SELECT 'duplicate s1', 0, NULL UNION ALL SELECT 'duplicate id', 0, NULL
 UNION ALL SELECT 'self match', count(*), min(s1::VARCHAR) FROM y WHERE id LIKE 'S1-%' UNION ALL SELECT 'wrong prefix', count(*), min(s1::VARCHAR) FROM y WHERE id NOT SIMILAR TO 'S[123]-.*'
 UNION ALL SELECT 'missing s1', 0, NULL UNION ALL SELECT 'unexpected s1', 0, NULL""")
 def validate_file(spark, sf_dir):

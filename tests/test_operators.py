@@ -144,7 +144,8 @@ def test_predict_uses_unseen_folds(spark):
 
 
 def test_models_are_kept_and_stop_early(spark, tmp_path, monkeypatch):
-    rows = spark.createDataFrame([(k, float(k % 10), int(k % 10 > 4), k // 10 % 2) for k in range(200)], "id long, a double, y int, fold int")
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(k, float(k % 10), rng.randrange(2), k // 10 % 2) for k in range(200)], "id long, a double, y int, fold int")  # nothing to learn
     path = str(tmp_path / "models")
     first = learn.fit_folds(rows, ["a"], 2, path=path, early_stop=0.01)
     assert all(len(m.treeWeights) < 20 for m in first)  # the loss falls no more after a few rounds
@@ -280,6 +281,8 @@ def test_validate_file(spark, tmp_path):
         path.write_text(text)
         return {r.rule: r.n for r in validate.validate_file(spark, str(path), header, universe).collect() if r.n}
 
+    (tmp_path / "bytes.tsv").write_bytes(b"source1_entity_id\tmatched_entity_ids\nS1-1\tS2-\xff\nS1-2\t\n")
+    assert {r.rule: r.n for r in validate.validate_file(spark, str(tmp_path / "bytes.tsv"), header, universe).collect() if r.n} == {"encoding error": 1}
     assert report("") == {"empty file": 1}
     assert report("source1_entity_id,matched_entity_ids\n") == {"comma-separated": 1}
     assert report("a\tb\n") == {"header": 1}
