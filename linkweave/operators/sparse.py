@@ -14,14 +14,18 @@ from linkweave.runtime import let, settle
 MAX_DF, PAIRS = 20000, 1 << 22
 
 
+# Tokens are exploded with ``explode_outer``: for ``explode`` the optimiser adds a filter on their number, which makes them twice.
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """From (grp, id, tokens): (grp, id, token, tf)."""
-    return docs.select("grp", "id", F.explode("tokens").alias("token")).groupBy("grp", "id", "token").agg(F.count("*").alias("tf"))
+    tall = docs.select("grp", "id", F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
+    return tall.groupBy("grp", "id", "token").agg(F.count("*").alias("tf"))
 
 
 def _with_mark(tokens) -> Column:
     """Distinct tokens and the empty one, which no text has: its frequency is the number of documents."""
-    return F.explode(F.concat(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))), F.array(F.lit("")))).alias("token")
+    return F.explode_outer(F.concat(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))), F.array(F.lit("")))).alias("token")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -57,7 +61,7 @@ def fitted(first: DataFrame, targets: DataFrame, max_df: int = MAX_DF, most: int
     a posting list has ``max_df`` targets at most, but any number of first entities may have its token.
     """
     side = lambda df, k: df.select("grp", F.lit(k).alias("side"), "id", "tokens")
-    tall = side(first, 1).unionByName(side(targets, 2)).select("grp", "side", "id", F.explode("tokens").alias("token"))
+    tall = side(first, 1).unionByName(side(targets, 2)).select("grp", "side", "id", F.explode_outer("tokens").alias("token")).filter("token IS NOT NULL")
     counts = settle(tall.groupBy("grp", "side", "id", "token").agg(F.count("*").alias("tf")), "term-counts")
     n = targets.groupBy("grp").agg(F.count("*").alias("n"))
     df = counts.groupBy("grp", "token").agg(F.count_if(F.col("side") == 1).alias("qf"), F.count_if(F.col("side") == 2).alias("df"))
