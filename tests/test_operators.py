@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
-from linkweave.operators import blocking, decide, evaluate, features, learn, records, validate
+from linkweave.operators import blocking, decide, dense, evaluate, features, learn, records, validate
 from linkweave.sources import tables as src
 from linkweave.sources.tables import Decision
 from linkweave.streaming.incremental import score_stream
@@ -303,3 +304,19 @@ def test_sample_depends_on_keys_alone(spark):
     rows = spark.range(1000)
     a, b = ({r.id for r in learn.sample(df, "id", 50).collect()} for df in (rows, rows.repartition(7)))
     assert a == b and len(a) == 50
+
+
+def test_vectors_cost_a_pass_for_each_place(spark):
+    rows = spark.range(400).select("id", F.array(*[F.concat(F.lit(f"{k}-"), F.col("id").cast("string")) for k in range(6)]).alias("tokens"))
+    began = time.time()
+    out = dense.hashed_vectors(rows, 2048).select(F.size("vec").alias("n"), F.round(dense.dot(F.col("vec"), F.col("vec")), 9).alias("one")).distinct().collect()
+    assert [tuple(r) for r in out] == [(2048, 1.0)]
+    assert time.time() - began < 15
+
+
+def test_vectors_are_not_broadcast(spark, tmp_path):
+    spark.range(50).select("id", F.lit("red ring").alias("name")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    v = dense.hashed_vectors(rows.select("id", tx.char_grams(F.col("name")).alias("tokens")))
+    met = dense.pair_dot(v.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")), v, v)
+    assert met.count() == 49 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
