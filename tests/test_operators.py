@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
-from linkweave.operators import blocking, decide, dense, evaluate, features, learn, records, validate
+from linkweave.operators import blocking, decide, dense, evaluate, features, learn, records, sparse, validate
 from linkweave.sources import tables as src
 from linkweave.sources.tables import Decision
 from linkweave.streaming.incremental import score_stream
@@ -320,3 +321,16 @@ def test_vectors_are_not_broadcast(spark, tmp_path):
     v = dense.hashed_vectors(rows.select("id", tx.char_grams(F.col("name")).alias("tokens")))
     met = dense.pair_dot(v.select(F.col("id").alias("q"), (F.col("id") + 1).alias("d")), v, v)
     assert met.count() == 49 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def broadcast_columns(df):
+    """What a plan sends to every executor, by the columns' names."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return set(re.findall(r"(\w+)#", " ".join(re.findall(r"BroadcastExchange[^\n]*\nInput[^\n]*?: \[(.*)\]", plan))))
+
+
+def test_cosines_broadcast_no_weights(spark, tmp_path):
+    spark.range(50).selectExpr("id % 2 AS grp", "id", "concat('red ring ', id) AS name").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).withColumn("tokens", tx.tokens(F.col("name")))
+    met = sparse.pair_cosine(rows.select("grp", F.col("id").alias("q"), (F.col("id") + 2).alias("d")), *sparse.fitted(rows, rows))
+    assert met.filter("score > 0").count() == 48 and not {"w", "wq", "wd"} & broadcast_columns(met)
