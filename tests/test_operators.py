@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
 from linkweave.operators import blocking, decide, dense, evaluate, features, learn, records, sparse, validate
+from linkweave.plans.catalog import QUERIES
 from linkweave.sources import tables as src
 from linkweave.sources.tables import Decision
 from linkweave.streaming.incremental import score_stream
@@ -334,3 +335,9 @@ def test_cosines_broadcast_no_weights(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "rows")).withColumn("tokens", tx.tokens(F.col("name")))
     met = sparse.pair_cosine(rows.select("grp", F.col("id").alias("q"), (F.col("id") + 2).alias("d")), *sparse.fitted(rows, rows))
     assert met.filter("score > 0").count() == 48 and not {"w", "wq", "wd"} & broadcast_columns(met)
+
+
+def test_rule_grid_searches_once_and_broadcasts_no_truth(spark):
+    out = QUERIES["blocking_rule_grid"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and not {"p_name", "q", "d"} & broadcast_columns(out)
