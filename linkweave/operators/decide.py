@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,9 @@ def by_config(pairs: DataFrame, config) -> DataFrame:
 THRESHOLDS = (0.4, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)
 FLOORS, BIASES = (0.3, 0.4, 0.5, 0.6), (1.0, 1.3, 1.6)
 
+#: Rows that are tallied together; an entity with more is tallied whole.
+TOGETHER = 1 << 17
+
 
 def config_grid(pairs: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, biases=BIASES) -> DataFrame:
     """(excl, rule, x, bias, s1, src, tgt): the pairs that every configuration chooses, in one job.
@@ -155,3 +160,110 @@ def config_grid(pairs: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, biases=B
     kept = met.filter((F.col("_k") <= -F.col("_best.k")) & (F.col("p") >= F.col("s1.x"))).withColumn("bias", column(biases))
     ef = kept.filter(F.col("_best._ef") > F.col("_none") * F.col("bias")).select("s1.excl", F.lit("ef").alias("rule"), "s1.x", "bias", "s1.s1", "src", "tgt")
     return cut.unionByName(ef)
+
+
+def _tally(p: np.ndarray, link: np.ndarray, n_true: np.ndarray, thresholds, floors, biases) -> np.ndarray:
+    """For entities with as many pairs each (rows of p, falling): by configuration sums of F, entities without links, and entities.
+
+    Configurations go by threshold, then by floor and bias; an entity counts where it has a prediction.
+    """
+    out = []
+
+    def add(n: np.ndarray, tp: np.ndarray) -> None:
+        some = n > 0
+        f = np.divide(1.25 * tp, 1.25 * tp + 0.25 * (n_true - tp) + n - tp, out=np.zeros(len(n)), where=some)
+        out.append((f.sum(), (some & (n_true == 0)).sum(), some.sum()))
+
+    for t in thresholds:
+        took = p >= t
+        add(took.sum(1), (took & link).sum(1))
+    k, rows = np.arange(1, p.shape[1] + 1), np.arange(len(p))
+    sums, misses = np.cumsum(p, axis=1), np.cumprod(1 - p, axis=1)
+    for x in floors:
+        within = p >= x / 2
+        last = np.maximum(within.sum(1) - 1, 0)
+        ef = np.where(within, np.round(1.25 * sums / (k + 0.25 * sums[rows, last][:, None]), 12), -np.inf)
+        best = ef.argmax(1)
+        took = within & (k <= best[:, None] + 1) & (p >= x)
+        n, tp = took.sum(1), (took & link).sum(1)
+        for bias in biases:
+            better = ef[rows, best] > misses[rows, last] * bias
+            add(n * better, tp * better)
+    return np.array(out, dtype=np.float64)
+
+
+def _tally_all(p: np.ndarray, first: np.ndarray, link: np.ndarray, start: np.ndarray, member: np.ndarray, grid) -> tuple[np.ndarray, int, int]:
+    """Both modes' tallies of whole entities, which begin at ``start``; their number, and how many have links."""
+    n_true = np.add.reduceat(link.astype(np.int64), start)
+    mine = np.maximum.reduceat(member, start)
+    entity = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(p))))
+    total = []
+    for mode in (~np.isnan(p), first & ~np.isnan(p)):
+        mode = mode & mine[entity]
+        q, yes, whose = p[mode], link[mode], entity[mode]
+        counts = np.bincount(whose, minlength=len(start))
+        at = np.cumsum(counts) - counts
+        parts = [np.zeros((len(grid[0]) + len(grid[1]) * len(grid[2]), 3))]
+        for c in np.unique(counts[counts > 0]):
+            own = np.flatnonzero(counts == c)
+            place = at[own][:, None] + np.arange(c)
+            parts.append(_tally(q[place], yes[place], n_true[own], *grid))
+        total.append(sum(parts))
+    return np.concatenate(total), int(mine.sum()), int((mine & (n_true > 0)).sum())
+
+
+def config_scores(pairs: DataFrame, truth: DataFrame, universe: DataFrame, thresholds=THRESHOLDS, floors=FLOORS, biases=BIASES) -> DataFrame:
+    """(excl, rule, x, bias, macro_f): what ``evaluate.grid_scores`` makes of ``config_grid``, without a row for each choice.
+
+    An entity's pairs meet once, sorted, and all configurations are tallied there. Pairs, of one row each, are dealt by
+    target and then by entity; nothing is multiplied by the configurations.
+    """
+    grid = tuple([float(v) for v in values] for values in (thresholds, floors, biases))
+    names = [("thr", t, 1.0) for t in grid[0]] + [("ef", x, b) for x in grid[1] for b in grid[2]]
+    names = [(excl, *name) for excl in (False, True) for name in names]
+    best = Window.partitionBy("src", "tgt").orderBy(F.desc("p"), "s1")
+    alone = pairs.select("s1", "src", "tgt", "p").withColumn("first", F.row_number().over(best) == 1)
+    alone = alone.filter(F.col("p") >= min([*grid[0], *(x / 2 for x in grid[1])]))
+    no, yes, kinds = F.lit(False), F.lit(True), dict(pairs.dtypes)
+    none = {c: F.lit(None).cast(kinds[c]).alias(c) for c in ("src", "tgt", "p")}
+    rows = alone.select("s1", "src", "tgt", "p", "first", no.alias("link"), no.alias("member"))
+    rows = rows.unionByName(truth.select("s1", "src", "tgt", none["p"], no.alias("first"), yes.alias("link"), no.alias("member")))
+    rows = rows.unionByName(universe.select("s1", *none.values(), no.alias("first"), no.alias("link"), yes.alias("member")))
+    met = rows.filter("s1 IS NOT NULL").repartition("s1").groupBy("s1", "src", "tgt").agg(*[F.max(c).alias(c) for c in ("p", "first", "link", "member")])
+    falling = met.sortWithinPartitions("s1", F.desc_nulls_last("p"), "src", "tgt").select("s1", F.col("p").cast("double").alias("p"), "first", "link", "member")
+
+    def tally(batches):
+        total, n, linked, held = np.zeros((len(names), 3)), 0, 0, []
+
+        def work(whole: list, ended: bool):
+            """Tally all entities that are whole, and give back the rest."""
+            table = pa.Table.from_batches(whole).combine_chunks()
+            s1 = table["s1"].combine_chunks()
+            start = np.append(0, 1 + np.flatnonzero(pc.not_equal(s1[1:], s1[:-1]).to_numpy(zero_copy_only=False)))
+            until = len(table) if ended else int(start[-1])
+            start = start[start < until]
+            if until:
+                column = lambda c: table[c].slice(0, until).to_numpy()
+                found = _tally_all(column("p").astype(np.float64), *[column(c).astype(bool) for c in ("first", "link")], start, column("member").astype(bool), grid)
+            else:
+                found = (0, 0, 0)
+            return found, table.slice(until).to_batches()
+
+        size, enough = 0, TOGETHER
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= enough:
+                (more, a, b), held = work(held, False)
+                total, n, linked, size = total + more, n + a, linked + b, sum(x.num_rows for x in held)
+                enough = max(TOGETHER, 2 * size)  # an entity of many pairs isn't looked through again and again
+        if held:
+            (more, a, b), held = work(held, True)
+            total, n, linked = total + more, n + a, linked + b
+        yield pa.RecordBatch.from_pydict({"c": pa.array(range(len(names)), pa.int32()), "f": total[:, 0], "wrong": total[:, 1], "some": total[:, 2], "n": [float(n)] * len(names), "linked": [float(linked)] * len(names)})
+
+    sums = falling.mapInArrow(tally, "c int, f double, wrong double, some double, n double, linked double").groupBy("c").agg(*[F.sum(x).alias(x) for x in ("f", "wrong", "some", "n", "linked")])
+    config = F.array(*[F.struct(F.lit(e).alias("excl"), F.lit(r).alias("rule"), F.lit(x).alias("x"), F.lit(b).alias("bias")) for e, r, x, b in names])
+    scored = sums.filter("some > 0").withColumn("k", F.get(config, F.col("c")))
+    return scored.select("k.*", F.try_divide(F.col("f") + F.col("n") - F.col("linked") - F.col("wrong"), F.col("n")).alias("macro_f"))

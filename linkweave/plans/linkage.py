@@ -142,7 +142,7 @@ def train(spark: SparkSession, paths: Paths, settings: Settings = Settings()) ->
 
     def score(scored: DataFrame) -> float:
         """The best macro F0.5 over the grid of decisions."""
-        scores = evaluate.grid_scores(decide.config_grid(scored.select(*PAIR, "p")), truth, universe, ["excl", "rule", "x", "bias"])
+        scores = decide.config_scores(scored.select(*PAIR, "p"), truth, universe)
         tried.append(scores.orderBy(F.desc("macro_f"), "rule", "excl", "x", "bias").first())
         return float(tried[-1].macro_f) if tried[-1] else 0.0
 

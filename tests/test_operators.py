@@ -341,3 +341,23 @@ def test_rule_grid_searches_once_and_broadcasts_no_truth(spark):
     out = QUERIES["blocking_rule_grid"](spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroups" not in plan and not {"p_name", "q", "d"} & broadcast_columns(out)
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 17])
+def test_config_scores_are_those_of_the_grid(spark, monkeypatch, together):
+    monkeypatch.setattr(decide, "TOGETHER", together)
+    rng = np.random.default_rng(5)
+    rows = {(f"e{min(s, 9)}", 2 + int(t) % 2, int(t)): round(float(p), 2) for s, t, p in zip(rng.integers(0, 30, 300), rng.integers(0, 60, 300), rng.random(300), strict=True)}
+    pairs = spark.createDataFrame([(*k, p) for k, p in rows.items()], "s1 string, src int, tgt long, p double")
+    truth = spark.createDataFrame([k for k in rows if k[2] % 3 == 0] + [("e4", 2, 999), ("alone", 2, 5), ("outside", 3, 7)], "s1 string, src int, tgt long")
+    universe = spark.createDataFrame([(f"e{k}",) for k in range(8)] + [("e9",), ("e9",), ("alone",), ("empty",)], "s1 string")
+    config = ["excl", "rule", "x", "bias"]
+    want = {tuple(r[c] for c in config): r.macro_f for r in evaluate.grid_scores(decide.config_grid(pairs), truth, universe, config).collect()}
+    scores = decide.config_scores(pairs, truth, universe)
+    assert {tuple(r[c] for c in config): r.macro_f for r in scores.collect()} == pytest.approx(want, abs=1e-12) and len(want) == 46
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
+
+
+def test_config_grid_multiplies_no_pairs(spark):
+    plan = QUERIES["config_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
