@@ -361,3 +361,22 @@ def test_config_scores_are_those_of_the_grid(spark, monkeypatch, together):
 def test_config_grid_multiplies_no_pairs(spark):
     plan = QUERIES["config_grid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_matched_cosines_compare_copies_once(spark, monkeypatch):
+    names, places = ["red ring", "blue ring", "", None, "old red bolt"], ["main 1", None, "high 2"]
+    rows = [(f"g{i % 2}", i % 3, i, names[i % 5], names[i % 4], places[i % 3]) for i in range(200)] + [(None, 1, 998, "a", "b", "c"), ("g0", None, 999, "a", "b", "c")]
+    every = spark.createDataFrame(rows, "grp string, size int, id long, name_c string, name_f string, addr_n string")
+    one, two = every.filter("id % 3 <> 1"), every.filter("id % 3 <> 0")
+    pairs = one.select("grp", "size", F.col("id").alias("q")).join(two.select("grp", "size", F.col("id").alias("d")), ["grp", "size"]).drop("size")
+    want = {(r.q, r.d): tuple(round(r[c], 9) for c in features.COSINES) for r in features.fitted_cosines(pairs, one, two).collect()}
+    compared, cosine = [], features._cosine
+    monkeypatch.setattr(features, "_cosine", lambda pairs, *rest: compared.append(pairs.count()) or cosine(pairs, *rest))
+    found = features.matched_cosines(one, two, ["grp", "size"]).collect()
+    assert {(r.q, r.d): tuple(round(r[c], 9) for c in features.COSINES) for r in found} == want
+    assert len(found) == len(want) > compared[0]
+
+
+def test_feature_cosines_make_pairs_last(spark):
+    plan = QUERIES["feature_cosines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "p_size" not in plan and "p_name" not in plan
