@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import similarity as sim
 from linkweave.functions import text as tx
 from linkweave.operators import blocking, decide, dense, evaluate, features, learn, records, sparse, validate
+from linkweave.plans import linkage
 from linkweave.plans.catalog import QUERIES
 from linkweave.sources import tables as src
 from linkweave.sources.tables import Decision
@@ -380,3 +381,13 @@ def test_matched_cosines_compare_copies_once(spark, monkeypatch):
 def test_feature_cosines_make_pairs_last(spark):
     plan = QUERIES["feature_cosines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "p_size" not in plan and "p_name" not in plan
+
+
+def test_candidates_are_searched_once(spark, monkeypatch):
+    plans, settle = {}, linkage.settle
+    monkeypatch.setattr(linkage, "settle", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or settle(df, name))
+    rows = [("US", f"S{k}-{i}", k, f"red ring {i}", f"red ring {i}", f"rd rng {i}", f"main {i}") for k in (1, 2, 3) for i in range(6)]
+    every = spark.createDataFrame(rows, "grp string, id string, src int, enc string, name_f string, name_fk string, addr_n string")
+    out = linkage.candidates(every.filter("src = 1"), every.filter("src > 1"), linkage.Settings(dense=3, reverse=1, sparse=3))
+    assert {(r.s1[1:], r.tgt[2:]) for r in out.collect()} >= {(f"1-{i}", f"-{i}") for i in range(6)}
+    assert "FlatMapCoGroups" not in plans["scored-pairs"]
