@@ -383,6 +383,12 @@ def test_feature_cosines_make_pairs_last(spark):
     assert "p_size" not in plan and "p_name" not in plan
 
 
+def test_feature_cosines_broadcast_no_records(spark):
+    plan = QUERIES["feature_cosines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sent = plan.count("BroadcastExchange")
+    assert sent == plan.count("BroadcastHashJoin [grp#") <= 2, plan  # the groups' sizes alone, for either side
+
+
 def test_candidates_are_searched_once(spark, monkeypatch):
     plans, settle = {}, linkage.settle
     monkeypatch.setattr(linkage, "settle", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or settle(df, name))
