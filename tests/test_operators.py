@@ -389,6 +389,28 @@ def test_feature_cosines_broadcast_no_records(spark):
     assert sent == plan.count("BroadcastHashJoin [grp#") <= 2, plan  # the groups' sizes alone, for either side
 
 
+@pytest.mark.parametrize(("block", "k"), [(1 << 18, 3), (40, 3), (40, 200)])
+def test_search_is_top_k_of_similarity(spark, block, k):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(12)}"
+    rows = [(f"g{i % 3}", f"{'é' * (i % 2)}{i}", i < 60, [word() for _ in range(rng.randrange(5))]) for i in range(150)]  # ties, and records without tokens
+    every = spark.createDataFrame([*rows, ("one side", "x", True, ["w1"])], "grp string, id string, first boolean, tokens array<string>")
+    q, d = sparse.fitted(every.filter("first"), every.filter("NOT first"), 20)
+    want, found = sparse.top_k(sparse.similarity(q, d), k), sparse.search(q, d, k, block)
+    tell = lambda df: sorted((r.grp, r.q, r.d, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert tell(found) == tell(want) and found.count() > 100
+    assert sparse.search(q.filter("false"), d, k, block).count() == 0
+
+
+def test_candidates_shuffle_no_pair_that_shares_a_token(spark, monkeypatch):
+    plans, settle = {}, linkage.settle
+    monkeypatch.setattr(linkage, "settle", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or settle(df, name))
+    rows = [("US", f"S{k}-{i}", k, f"red ring {i}", f"red ring {i}", f"rd rng {i}", f"main {i}") for k in (1, 2, 3) for i in range(6)]
+    every = spark.createDataFrame(rows, "grp string, id string, src int, enc string, name_f string, name_fk string, addr_n string")
+    linkage.candidates(every.filter("src = 1"), every.filter("src > 1"), linkage.Settings(dense=3, reverse=1, sparse=3))
+    assert not re.search(r"Join \[[^]]*token", plans["dense-pairs"])
+
+
 def test_candidates_are_searched_once(spark, monkeypatch):
     plans, settle = {}, linkage.settle
     monkeypatch.setattr(linkage, "settle", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or settle(df, name))
